@@ -7,91 +7,26 @@ alone for certain and pass straight through.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.llm import bloom
 from auditloom.llm.common import durable, join_group_facts, text_or_empty
 
-#: Bits a row, and the most bits of the filter: 2^27 bits are 16 MB, the bound of what is broadcast.
-BITS_A_ROW = 16
-MAX_BITS = 1 << 27
-PROBES = 2
-#: Bits of the piece in which tasks ship their part of the filter.
-PIECE_BITS = 1 << 18
-
-
-def probes(digest: pd.Series, bits: int) -> np.ndarray:
-    """The bits of each digest (binary SHA-256), one column a probe; bits is a power of two."""
-    raw = np.frombuffer(b"".join(digest), dtype="<u8").reshape(-1, 4)
-    return (raw[:, :PROBES] & np.uint64(bits - 1)).astype(np.int64)
-
-
-def _pack(ids: np.ndarray) -> bytes:
-    """Sorted distinct bit numbers as compressed gaps."""
-    return zlib.compress(np.diff(ids, prepend=0).astype("<u4").tobytes(), 1)
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), dtype="<u4").astype(np.int64))
-
-
-def repeated_bits(prints: DataFrame, bits: int) -> DataFrame:
-    """(piece, again): for each piece of the filter the bits that were set more than once, as compressed gaps."""
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(bits, dtype=np.uint8)
-        for pdf in batches:
-            for column in probes(pdf["digest"], bits).T:
-                hit, n = np.unique(column, return_counts=True)
-                counts[hit] = np.minimum(counts[hit] + n, 2)
-        rows = []
-        for level in (1, 2):
-            ids = np.flatnonzero(counts >= level)
-            pieces, starts = np.unique(ids // PIECE_BITS, return_index=True)
-            for piece, part in zip(pieces, np.split(ids, starts[1:])):
-                rows.append((int(piece), level, _pack(part - piece * PIECE_BITS)))
-        yield pd.DataFrame(rows, columns=["piece", "level", "ids"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        # A task ships at most two lists for a piece, so a group is bounded by the number of tasks.
-        counts = np.zeros(PIECE_BITS, dtype=np.uint8)
-        for data in pdf["ids"]:
-            ids = _unpack(data)
-            counts[ids] = np.minimum(counts[ids] + 1, 2)
-        return pd.DataFrame({"piece": [int(pdf["piece"].iloc[0])], "again": [_pack(np.flatnonzero(counts == 2))]})
-
-    # A bit that one task saw twice is shipped at both levels, so it counts twice at the merge as well.
-    parts = prints.select("digest").mapInPandas(build, "piece int, level int, ids binary")
-    return parts.select("piece", "ids").groupBy("piece").applyInPandas(merge, "piece int, again binary")
-
 
 def possibly_repeated(prints: DataFrame, n_rows: int) -> DataFrame:
     """prints with a boolean column `maybe`: false only for digests that occur once.
 
-    A filter beyond MAX_BITS isn't built: it stays at that size and lets more single rows through to the
+    The filter has a bounded size: at more rows it stays as it is and lets more single rows through to the
     exact grouping, which is right at any rate of false alarms.
     """
-    spark = prints.sparkSession
-    bits = min(MAX_BITS, 1 << max(18, (n_rows * BITS_A_ROW - 1).bit_length()))
-    again = np.zeros(bits // 8, dtype=np.uint8)
-    for row in repeated_bits(prints, bits).toLocalIterator():
-        piece = np.zeros(PIECE_BITS, dtype=np.uint8)
-        piece[_unpack(row["again"])] = 1
-        at = row["piece"] * PIECE_BITS // 8
-        again[at : at + PIECE_BITS // 8] = np.packbits(piece, bitorder="little")
-    shared = spark.sparkContext.broadcast(again)
+    again = bloom.build(prints, "digest", bloom.size_for(n_rows), times=2)
+    shared = prints.sparkSession.sparkContext.broadcast(again)
 
     @F.pandas_udf("boolean")
     def maybe(digest: pd.Series) -> pd.Series:
-        if digest.empty:
-            return pd.Series([], dtype=bool)
-        at = probes(digest, bits)
-        return pd.Series(((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1))
+        return pd.Series(bloom.among(digest, shared.value))
 
     return prints.withColumn("maybe", maybe("digest"))
 

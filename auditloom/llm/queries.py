@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+from auditloom.llm.op03_minhash import op3_minhash
 from auditloom.llm.op04_exact_dedup import ORACLE as OP4
 from auditloom.llm.op04_exact_dedup import op4_exact_dedup
 from auditloom.llm.op07_byte_bpe import op7_byte_bpe
@@ -24,6 +25,7 @@ def _shipped(query):
 
 
 _ALL = {
+    "op3_minhash": op3_minhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_toxicity": op10_toxicity,
