@@ -7,7 +7,9 @@ import functools
 from auditloom.llm.op03_minhash import op3_minhash
 from auditloom.llm.op04_exact_dedup import ORACLE as OP4
 from auditloom.llm.op04_exact_dedup import op4_exact_dedup
+from auditloom.llm.op06_mixing import op6_mixing
 from auditloom.llm.op07_byte_bpe import op7_byte_bpe
+from auditloom.llm.op09_sharding import op9_sharding
 from auditloom.llm.op10_toxicity import op10_toxicity
 from auditloom.session import ship_package
 
@@ -27,7 +29,9 @@ def _shipped(query):
 _ALL = {
     "op3_minhash": op3_minhash,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_mixing": op6_mixing,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
 QUERIES = {name: _shipped(query) for name, query in _ALL.items()}
