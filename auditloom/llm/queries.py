@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 
+from auditloom.llm.op01_warc import ORACLE as OP1
+from auditloom.llm.op01_warc import op1_warc
 from auditloom.llm.op03_minhash import op3_minhash
 from auditloom.llm.op04_exact_dedup import ORACLE as OP4
 from auditloom.llm.op04_exact_dedup import op4_exact_dedup
@@ -27,6 +29,7 @@ def _shipped(query):
 
 
 _ALL = {
+    "op1_warc": op1_warc,
     "op3_minhash": op3_minhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_mixing": op6_mixing,
@@ -35,4 +38,4 @@ _ALL = {
     "op10_toxicity": op10_toxicity,
 }
 QUERIES = {name: _shipped(query) for name, query in _ALL.items()}
-ORACLE = {"op4_exact_dedup": OP4}
+ORACLE = {"op1_warc": OP1, "op4_exact_dedup": OP4}
