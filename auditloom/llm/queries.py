@@ -9,6 +9,7 @@ from auditloom.llm.op01_warc import op1_warc
 from auditloom.llm.op03_minhash import op3_minhash
 from auditloom.llm.op04_exact_dedup import ORACLE as OP4
 from auditloom.llm.op04_exact_dedup import op4_exact_dedup
+from auditloom.llm.op05_embeddings import op5_embeddings
 from auditloom.llm.op06_mixing import op6_mixing
 from auditloom.llm.op07_byte_bpe import op7_byte_bpe
 from auditloom.llm.op09_sharding import op9_sharding
@@ -32,6 +33,7 @@ _ALL = {
     "op1_warc": op1_warc,
     "op3_minhash": op3_minhash,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_embeddings": op5_embeddings,
     "op6_mixing": op6_mixing,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_sharding": op9_sharding,
