@@ -56,3 +56,8 @@ def join_group_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], cou
     cool = marked.where(F.col("__hot").isNull()).drop("__hot").join(facts.where(F.col(count) <= floor), keys, how)
     warm = marked.where(F.col("__hot")).drop("__hot").join(F.broadcast(hot), keys, "inner")
     return cool.unionByName(warm)
+
+
+def small_or_shuffled(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df, which must be durable and narrow, marked for broadcast if it has at most so many rows; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

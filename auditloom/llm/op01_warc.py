@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import durable, join_group_facts, shared_dir, text_or_empty
+from auditloom.llm.common import durable, join_group_facts, shared_dir, small_or_shuffled, text_or_empty
 
 #: Payloads of at least so many bytes are written once; their repeats become revisit records.
 REVISIT_BYTES = 1000
@@ -26,8 +26,6 @@ REVISIT_BYTES = 1000
 GAP, SPAN = 1 << 16, 8 << 20
 #: About so many compressed bytes are read by one task.
 READ_BYTES = 16 << 20
-#: Revisits that are few enough to be sent to all tasks: about 40 MB.
-BROADCAST_ROWS = 400_000
 INDEX = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
 
 
@@ -84,9 +82,7 @@ def classify(pages: DataFrame) -> DataFrame:
     narrow = rows.where(F.col("payload_bytes") >= REVISIT_BYTES).select("page_id", "payload_digest")
     repeated = narrow.groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     revisits = join_group_facts(narrow, repeated, ["payload_digest"], "copies").where("page_id < first").select("page_id", F.col("payload_digest").alias("digest_"), "first").distinct()
-    revisits = durable(revisits.withColumnRenamed("page_id", "page_"))
-    if revisits.count() <= BROADCAST_ROWS:  # else the pages are shuffled by their ids
-        revisits = F.broadcast(revisits)
+    revisits = small_or_shuffled(durable(revisits.withColumnRenamed("page_id", "page_")))
     joined = rows.join(revisits, (F.col("page_id") == F.col("page_")) & (F.col("payload_digest") == F.col("digest_")), "left")
     return joined.select(*rows.columns, F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("first").alias("refers_to"))
 

@@ -6,6 +6,7 @@ import functools
 
 from auditloom.llm.op01_warc import ORACLE as OP1
 from auditloom.llm.op01_warc import op1_warc
+from auditloom.llm.op02_suffix_dedup import op2_suffix_dedup
 from auditloom.llm.op03_minhash import op3_minhash
 from auditloom.llm.op04_exact_dedup import ORACLE as OP4
 from auditloom.llm.op04_exact_dedup import op4_exact_dedup
@@ -31,6 +32,7 @@ def _shipped(query):
 
 _ALL = {
     "op1_warc": op1_warc,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_minhash": op3_minhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_embeddings": op5_embeddings,
