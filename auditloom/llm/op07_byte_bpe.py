@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from itertools import chain
 from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 import regex
 import sentencepiece
@@ -108,6 +109,15 @@ class Codec:
                 parts = list(map(self.known.__getitem__, tokens))
                 yield list(chain.from_iterable(map(itemgetter(0), parts))), ",".join(map(itemgetter(1), parts))
 
+    def counts(self, tokens: list[str]) -> list[int]:
+        """How many ids each pre-token has."""
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        new = set(tokens).difference(self.known)
+        if new:
+            self._learn(new)
+        return [len(self.known[t][0]) for t in tokens]
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -162,6 +172,22 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
     return docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text")).mapInPandas(run, schema).withColumnRenamed("id", key)
 
 
+def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """One row per row of documents: doc_id, source, n_tokens, ids array<int>, round_trip boolean. Null texts have no ids."""
+    name = distribute(docs.sparkSession, ranks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coder = codec(name, pattern)
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):  # ids take several times the memory of texts
+                some = pdf.iloc[at : at + 256]
+                rows = [(np.array(ids, dtype=np.int32), coder.decode(ids) == text.encode()) for text, (ids, _) in zip(some["text"], coder.encode(some["text"].tolist()))]
+                yield pd.DataFrame({"doc_id": some["doc_id"], "source": some["source"], "n_tokens": [len(r[0]) for r in rows], "ids": [r[0] for r in rows], "round_trip": [r[1] for r in rows]})
+
+    schema = "doc_id long, source string, n_tokens long, ids array<int>, round_trip boolean"
+    return docs.select("doc_id", "source", text_or_empty().alias("text")).mapInPandas(run, schema)
+
+
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -13,6 +13,7 @@ from auditloom.llm.op04_exact_dedup import op4_exact_dedup
 from auditloom.llm.op05_embeddings import op5_embeddings
 from auditloom.llm.op06_mixing import op6_mixing
 from auditloom.llm.op07_byte_bpe import op7_byte_bpe
+from auditloom.llm.op08_token_counts import op8_token_counts
 from auditloom.llm.op09_sharding import op9_sharding
 from auditloom.llm.op10_toxicity import op10_toxicity
 from auditloom.session import ship_package
@@ -38,6 +39,7 @@ _ALL = {
     "op5_embeddings": op5_embeddings,
     "op6_mixing": op6_mixing,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_token_counts": op8_token_counts,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
