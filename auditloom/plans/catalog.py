@@ -1,6 +1,6 @@
-"""Named queries over the driver's tables and their SQL."""
+"""All named queries over the driver's tables and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from auditloom.plans import core, detection  # noqa: F401
+from auditloom.plans.registry import ORACLE, QUERIES  # noqa: F401
