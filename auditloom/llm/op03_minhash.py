@@ -4,9 +4,9 @@ One permutation scatters the shingles over the universe, a second one, circularl
 gives all coordinates of a signature. Bands of coordinates propose partners, which full sets confirm.
 
 Groups are never expanded into all their pairs. Documents of equal sets form a class and only its least
-document goes on. Every member of a bucket is compared with the bucket's least and greatest member; what
-these links connect needs no further comparison. Only in buckets that still hold several components are
-the other pairs across components compared, in blocks of bounded size, by whole signatures first.
+document goes on. Every member of a bucket is compared with the bucket's least one; what these links connect
+needs no further comparison. Only in buckets that still hold several components the rest is compared across
+components, inside blocks of bounded size, and only links leave a block.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ BANDS, ROWS = 32, 4
 UNIVERSE = 1 << 18
 #: Share of equal coordinates below which a pair isn't worth its full sets: at 0.75 the risk is 2e-6.
 LIKELY = 0.57
-BLOCK = 512
+BLOCK = 256
 _WORDS_KNOWN = 300_000
 
 
@@ -123,12 +123,8 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b)], dtype="int64")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b) the links: 100 * intersection >= percent * union, on full sets."""
-    sigs = sketches.select("id", "sig")
-    likely = pairs.join(sigs.withColumnsRenamed({"id": "a", "sig": "sig_a"}), "a").join(sigs.withColumnsRenamed({"id": "b", "sig": "sig_b"}), "b")
-    pairs = durable(likely.where(_likely("sig_a", "sig_b")).select("a", "b"))
-    ids = durable(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set) of the ids, and by chance of a few others: a bounded filter goes to the scan, texts aren't shuffled."""
     wanted = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, "id", bloom.size_for(ids.count())))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,43 +133,74 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, percent: i
             pdf = pdf[bloom.among(pdf["id"], wanted.value)]
             yield pd.DataFrame({"id": pdf["id"], "set": [shingler.of(t).tobytes() for t in pdf["text"]]})
 
-    full = docs.mapInPandas(sets, "id long, set binary")
+    return docs.mapInPandas(sets, "id long, set binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b) the links: 100 * intersection >= percent * union, on full sets."""
+    sigs = sketches.select("id", "sig")
+    likely = pairs.join(sigs.withColumnsRenamed({"id": "a", "sig": "sig_a"}), "a").join(sigs.withColumnsRenamed({"id": "b", "sig": "sig_b"}), "b")
+    pairs = durable(likely.where(_likely("sig_a", "sig_b")).select("a", "b"))
+    full = _full_sets(docs, durable(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()))
     both = pairs.join(full.withColumnsRenamed({"id": "a", "set": "set_a"}), "a").join(full.withColumnsRenamed({"id": "b", "set": "set_b"}), "b")
     measured = both.select("a", "b", _common("set_a", "set_b").alias("common"), ((F.octet_length("set_a") + F.octet_length("set_b")) / 8).cast("long").alias("sizes"))
     return durable(measured.where(F.expr(f"100 * common >= {percent} * (sizes - common)")).select("a", "b").distinct())
 
 
-def _across(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the same bucket but of different components, likely by size and signature.
-
-    members: (bucket, id, label) of buckets that hold several labels. Buckets are dealt into blocks, and
-    each pair of blocks is one group of at most about 2 * BLOCK rows.
+def _links_in(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links that join components, among rows (id, label, n, sig, bands, set, side) that share a band; full sets decide."""
+    ids, n = pdf["id"].to_numpy(), pdf["n"].to_numpy()
+    label = np.unique(pdf["label"].to_numpy(), return_inverse=True)[1]
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+    bands = np.stack(pdf["bands"].to_numpy())
+    sets = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
+    side = pdf["side"].to_numpy()
+    across, found = side.any(), []  # two blocks are compared with each other only
+    for i in range(len(pdf) - 1):
+        rest = np.arange(i + 1, len(pdf))
+        rest = rest[side[rest] != side[i]] if across else rest
+        rest = rest[(label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
+        rest = rest[(bands[rest] == bands[i]).any(axis=1)]
+        rest = rest[(sig[rest] == sig[i]).mean(axis=1) >= LIKELY]
+        if not len(rest):
+            continue
+        own = sets[i]
+        lengths = np.array([len(sets[j]) for j in rest])
+        every = np.concatenate([sets[j] for j in rest])
+        at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+        common = np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum(lengths) - lengths)
+        for j in rest[100 * common >= percent * (lengths + len(own) - common)]:
+            if label[j] != label[i]:
+                found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def _across(members: DataFrame, docs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of the same bucket, as few as join them.
+
+    members: (bucket, id, label) of buckets that hold several labels. A document is at home in its largest
+    bucket, homes are cut into blocks, and two blocks are compared if a bucket reaches into both. So no pair
+    is emitted before it is verified, and a full set goes once to each pair of blocks, not to each partner.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n_in"))
-    dealt = join_group_facts(members, sizes, ["bucket"], "n_in").withColumn("blocks", F.ceil(F.col("n_in") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(sketches.select("id", "n", "sig"), "id")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "n", "sig")
+    dealt = durable(join_group_facts(members, sizes, ["bucket"], "n_in"))
+    at_home = dealt.groupBy("id", "label").agg(F.max(F.struct("n_in", "bucket")).alias("top")).select("id", "label", F.col("top.bucket").alias("top"))
+    counts = at_home.groupBy("top").agg(F.count("*").alias("n_home"))
+    at_home = join_group_facts(at_home, counts, ["top"], "n_home")
+    at_home = durable(at_home.select("id", "label", F.struct("top", F.pmod(F.xxhash64("id"), F.ceil(F.col("n_home") / BLOCK)).alias("block")).alias("home")))
+    reach = durable(dealt.select("bucket", "id").join(at_home.select("id", "home"), "id").select("bucket", "home").distinct())
+    other = reach.withColumnRenamed("home", "home2")
+    blocks = reach.join(other, "bucket").where("home <= home2").select(F.col("home").alias("h1"), F.col("home2").alias("h2")).distinct()
+    blocks = durable(blocks)
+    both = blocks.select("h1", "h2", F.col("h1").alias("home")).unionByName(blocks.where("h1 <> h2").select("h1", "h2", F.col("h2").alias("home")))
+    cards = at_home.join(sketches.select("id", "n", "sig", "bands"), "id").join(_full_sets(docs, at_home.select("id")), "id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = (pdf[pdf["own"] == k].reset_index(drop=True) for k in (i, j))
-        found = []
-        if len(left) and len(right):
-            r_sig = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(len(right), -1)
-            r_id, r_n, r_label = (right[c].to_numpy() for c in ("id", "n", "label"))
-            for one, n, label, sig in zip(left["id"], left["n"], left["label"], left["sig"]):
-                ok = (r_label != label) & (100 * np.minimum(r_n, n) >= percent * np.maximum(r_n, n))
-                if i == j:
-                    ok &= r_id > one
-                if ok.any():
-                    at = np.flatnonzero(ok)
-                    at = at[(r_sig[at] == np.frombuffer(sig, np.uint8)).mean(axis=1) >= LIKELY]
-                    found += [(min(one, x), max(one, x)) for x in r_id[at]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        return pd.DataFrame(_links_in(pdf, percent) if pdf["label"].nunique() > 1 else [], columns=["a", "b"], dtype="int64")
+
+    grouped = cards.join(both, "home").select("h1", "h2", "id", "label", "n", "sig", "bands", "set", ((F.col("h1") != F.col("h2")) & (F.col("home") == F.col("h2"))).alias("side")).groupBy("h1", "h2")
+    return durable(grouped.applyInPandas(compare, "a long, b long").distinct())
 
 
 def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 75) -> DataFrame:
@@ -192,16 +219,14 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
     reps = sketches.join(classes.select(F.col("rep").alias("id"), *same), ["id", *same])
     # The size of a set goes along with its id: pairs of unlike sizes can't be linked.
     in_bucket = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = in_bucket.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("lo"), F.max(F.struct("id", "n")).alias("hi"), F.count("*").alias("n_in")).where("lo.id < hi.id")
-    members = durable(in_bucket.join(shared, "bucket").select("bucket", "id", "n", "lo", "hi"))
-    star = members.select("id", "n", F.explode(F.array("lo", "hi")).alias("hub")).where("id <> hub.id").where(F.expr(f"100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)"))
-    star = star.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-    links = _verified(star, docs, sketches, percent)
+    shared = in_bucket.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("lo"), F.max("id").alias("hi")).where("lo.id < hi")
+    members = durable(in_bucket.join(shared, "bucket").select("bucket", "id", "n", "lo"))
+    star = members.where(F.expr(f"id <> lo.id and 100 * least(n, lo.n) >= {percent} * greatest(n, lo.n)"))
+    links = _verified(star.select(F.col("lo.id").alias("a"), F.col("id").alias("b")).distinct(), docs, sketches, percent)
     found = components(links)
-    labelled = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+    labelled = durable(members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label")))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n_in")).where("least < most and n_in > 2").select("bucket")
-    rest = _across(labelled.join(mixed, "bucket"), sketches, percent).join(star, ["a", "b"], "left_anti")
-    more = _verified(durable(rest), docs, sketches, percent)
+    more = _across(labelled.join(mixed, "bucket"), docs, sketches, percent)
     if not more.isEmpty():
         found = components(links.unionByName(more))
     facts = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"), "copies")

@@ -102,7 +102,7 @@ def temporal_paths(edges: DataFrame, pairs: DataFrame, max_hops: int, budget: in
             break
         found = _kept(found.unionByName(states))
     best = Window.partitionBy("pair").orderBy("cost", "hops", "path")
-    done = found.join(ends, (found["pair"] == ends["pair"]) & (found["node"] == ends["target"])).select(found["pair"], "cost", "hops", "path")
+    done = found.join(ends, "pair").where("node = target").select("pair", "cost", "hops", "path")
     return done.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
 
 

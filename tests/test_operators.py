@@ -1,0 +1,281 @@
+"""Golden cases and brute force for operators that SQL can't hold."""
+
+from __future__ import annotations
+
+import itertools
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from auditloom.functions import scalars as S
+from auditloom.operators import graph as G, incidents as I, joins as J, memory as R, metrics as M, scoring as A, windows as W
+from auditloom.sources import cdm, host_logs, tables
+from auditloom.streaming import windows as stream
+
+EDGE = "event_id long, src long, dst long, t long, op string, loss double, w long"
+
+
+def edges(spark, rows):
+    return spark.createDataFrame([(i, *r, 0) for i, r in enumerate(rows)], EDGE)
+
+
+def built(spark, rows, at, **settings):
+    got = I.build_incidents(edges(spark, rows), at, I.IncidentConfig(**settings)).collect()
+    return {(r.role, r.event_id) for r in got}, {r.incident for r in got}
+
+
+def test_bridge(spark):
+    rows = [(1, 2, 1, "a", 10.0), (2, 3, 2, "b", 0.1), (3, 4, 3, "b", 0.2), (4, 5, 4, "a", 11.0)]
+    got, incidents = built(spark, rows, 5.0, max_gap=10, context_hops=0)
+    assert incidents == {0}
+    assert got == {("seed", 0), ("seed", 3), ("connector", 1), ("connector", 2)}
+
+
+def test_common_ancestor(spark):
+    rows = [(1, 2, 5, "x", 10.0), (3, 4, 5, "x", 10.0), (9, 1, 2, "fork", 0.0), (9, 1, 4, "fork", 0.0), (8, 9, 3, "fork", 0.0), (8, 3, 4, "fork", 0.0)]
+    got, incidents = built(spark, rows, 5.0, max_gap=10, context_hops=0, ancestry_ops=("fork",), ancestry_hops=2)
+    assert len(incidents) == 1
+    assert got == {("seed", 0), ("seed", 1), ("connector", 3), ("connector", 4), ("connector", 5)}
+
+
+def test_two_stories_and_an_isolated_seed(spark):
+    chain = lambda n, t: [(n + i, n + i + 1, t + i, "a", 10.0 if i in (0, 4) else 0.1) for i in range(5)]
+    rows = chain(0, 0) + chain(10, 0) + [(0, 1, 0, "b", 11.0), (100, 101, 0, "a", 12.0)]
+    got, incidents = built(spark, rows, 5.0, max_gap=10, max_hops=4, context_hops=0)
+    assert len(incidents) == 3
+    assert sum(r == "seed" for r, _ in got) == 6 and sum(r == "connector" for r, _ in got) == 6
+
+
+def test_no_seeds_and_bad_losses(spark):
+    assert built(spark, [(1, 2, 1, "a", 1.0)], 5.0) == (set(), set())
+    with pytest.raises(Exception, match="finite"):
+        built(spark, [(1, 2, 1, "a", -1.0)], 5.0)
+
+
+@pytest.mark.parametrize("value", [-1, 1.5, True, float("inf")])
+def test_config_is_checked(value):
+    with pytest.raises(ValueError):
+        I.IncidentConfig(max_gap=value)
+
+
+def cheapest(rows, start, target, hops):
+    best = None
+    stack = [(start, -1, 0.0, 0, ())]
+    if start == target:
+        return 0.0
+    while stack:
+        node, at, cost, n, used = stack.pop()
+        if node == target and n:
+            best = cost if best is None else min(best, cost)
+            continue
+        if n < hops:
+            stack += [(d, t, cost + c, n + 1, (*used, i)) for i, (s, d, t, c) in enumerate(rows) if s == node and t >= at]
+    return best
+
+
+def test_temporal_paths_against_enumeration(spark):
+    cases, links, pairs = {}, [], []
+    for seed in range(12):
+        rng = random.Random(seed)
+        rows = [(rng.randrange(5), rng.randrange(5), rng.randrange(5), rng.random() * 2) for _ in range(12)]
+        hops = 4
+        for target in range(5):
+            cases[seed * 10 + target] = cheapest(rows, 0, target, hops)
+            pairs.append((seed * 10 + target, seed * 100, seed * 100 + target, 0, 10))
+        links += [(seed * 100 + i, seed * 100 + s, seed * 100 + d, t, c) for i, (s, d, t, c) in enumerate(rows)]
+    e = spark.createDataFrame(links, "event_id long, src long, dst long, t long, cost double")
+    p = spark.createDataFrame(pairs, "pair long, start long, target long, lo long, hi long")
+    got = {r.pair: r.cost for r in G.temporal_paths(e, p, 4).collect()}
+    for pair, want in cases.items():
+        assert (got.get(pair) is None) == (want is None)
+        assert want is None or got[pair] == pytest.approx(want)
+
+
+def test_spanning_tree_and_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randrange(12), rng.randrange(12), rng.random()) for _ in range(25)]
+    links = [(a, b, w) for a, b, w in links if a != b]
+    df = spark.createDataFrame(links, "a long, b long, weight double")
+    comp = {r.node: r.component for r in G.components(df).collect()}
+    for a, b, _ in links:
+        assert comp[a] == comp[b]
+    tree = G.spanning_trees(df.withColumn("component", F.lit(0).cast("long"))).collect()
+    assert len(tree) == len(comp) - len(set(comp.values()))
+
+
+def test_versions_order_by_time(spark):
+    rows = [(1, 2, 1, "a", 0.0), (2, 3, 2, "a", 0.0), (1, 2, 3, "a", 0.0), (2, 3, 4, "a", 0.0)]
+    got = {r.event_id: (r.src_version, r.dst_version) for r in W.versions(edges(spark, rows)).collect()}
+    assert got == {0: (0, 1), 1: (1, 1), 2: (0, 2), 3: (2, 2)}
+
+
+def test_hybrid_windows(spark):
+    rows = [(1, 2, t, "a", 0.0) for t in (0, 1, 2, 30, 31, 32, 33, 34)]
+    got = W.hybrid_windows(edges(spark, rows).withColumn("day", F.lit(0).cast("long")), 10, batch=2).orderBy("t").collect()
+    assert [r.hw for r in got] == [0, 0, 0, 0, 1, 1, 1, 1]
+
+
+def test_unique_pair_parts(spark):
+    rows = [(1, 2, 0, "a", 0.0), (2, 3, 1, "a", 0.0), (1, 2, 2, "a", 0.0), (2, 3, 3, "a", 0.0), (2, 3, 4, "a", 0.0)]
+    got = W.unique_pair_parts(edges(spark, rows), "w").orderBy("t").collect()
+    assert [r.part for r in got] == [0, 0, 1, 1, 2]
+
+
+def test_queues(spark):
+    windows = spark.createDataFrame([(i,) for i in range(5)], "w long")
+    overlap = spark.createDataFrame([(0, 2, 1), (1, 3, 1), (2, 4, 1), (3, 4, 1)], "a long, b long, shared long")
+    assert {(r.w, r.queue) for r in A.queues(windows, overlap).collect()} == {(0, 0), (1, 1), (2, 0), (3, 1), (4, 0)}
+    assert {(r.w, r.queue) for r in A.queues(windows, overlap, many=True).collect()} >= {(4, 0), (4, 1)}
+
+
+def test_alignment_faults(spark):
+    e = spark.createDataFrame([(1, 2, 5), (2, 3, 6)], "src long, dst long, t long")
+    good = e.withColumn("loss", F.lit(1.0))
+    keys = ("src", "dst", "t")
+    assert J.aligned(good, e, keys).count() == 2
+    for bad in (good.union(good.limit(1)), good.union(spark.createDataFrame([(9, 9, 9, 1.0)], good.schema))):
+        with pytest.raises(ValueError):
+            J.aligned(bad, e, keys)
+
+
+def test_band_join_is_exact(spark):
+    rng = random.Random(2)
+    times = [rng.randrange(200) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(times)), "event_id long, t long")
+    got = {(r.event_id, r.event_id_r) for r in J.band_join(df, df, 7).collect()}
+    assert got == {(i, k) for i, k in itertools.product(range(60), repeat=2) if abs(times[i] - times[k]) <= 7}
+
+
+def test_seed_thresholds(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "loss double")
+    assert A.threshold(df, "max_val_loss") == 4.0
+    assert A.threshold(df, "seed_percentile") == pytest.approx(3.96)
+    assert A.seeds(df, 2.0).count() == 2
+    with pytest.raises(ValueError):
+        A.threshold(df.limit(0), "max_val_loss")
+    with pytest.raises(ValueError):
+        A.reduced("magic")
+
+
+def test_metrics_by_hand(spark):
+    rows = spark.createDataFrame([(1, 0.9, 1, 1), (2, 0.8, 0, 1), (3, 0.8, 1, 1), (4, 0.1, 0, 0)], "node long, score double, y int, y_hat int")
+    assert M.roc_auc(rows).first().auc == pytest.approx(0.875)
+    assert M.average_precision(rows).first().ap == pytest.approx(0.5 + 0.5 * 2 / 3)
+    got = M.classifier_evaluation(rows).first()
+    assert (got.tp, got.fp, got.fn, got.tn, got.precision, got.recall) == (2, 1, 0, 1, 0.66667, 1.0)
+    one = rows.where("y = 0")
+    assert M.roc_auc(one).first().auc is None
+
+
+def test_coverage(spark):
+    members = spark.createDataFrame([(1, "seed", 1), (1, "seed", 2), (1, "connector", 3), (2, "seed", 3), (2, "context", 7)], "incident long, role string, node long")
+    truth = spark.createDataFrame([(1, 0), (3, 0), (6, 0)], "node long, attack long")
+    got = M.coverage(members, truth).first()
+    assert (got.coverage_seeds, got.coverage_core, got.fragmentation, got.mixed) == (pytest.approx(2 / 3), pytest.approx(2 / 3), 2.0, 0)
+    none = M.coverage(members, truth.limit(0)).first()
+    assert none.coverage_seeds is None
+
+
+def test_complete_epoch(spark):
+    events = spark.createDataFrame([(1,), (2,)], "event_id long")
+    scores = spark.createDataFrame([(2, 1), (2, 2), (10, 1), (10, 2), (11, 1)], "epoch long, event_id long")
+    assert I.complete_epoch(scores, events).first().epoch == 10
+
+
+def test_signature_blocks(spark):
+    nodes = spark.createDataFrame([("e", 1, "process"), ("e", 2, "file"), ("e", 3, "process")], "entry_id string, node long, type string")
+    events = spark.createDataFrame([("e", 0, 1, 2, 10, "1"), ("e", 1, 2, 3, 20, "2"), ("e", 2, 1, 3, 30, "2")], "entry_id string, event_id long, src long, dst long, t long, op string")
+    got = R.signatures(events, nodes, ("process", "file"), ("1", "2")).first().signature
+    assert len(got) + 5 == R.dimension(5, 2, 2) == 20
+    root5 = 5**0.5
+    assert got[:3] == pytest.approx([1 / root5, 0.5 / root5, 0]) and got[3:6] == pytest.approx([0.5 / root5, 1 / root5, 0])
+    assert got[6:] == pytest.approx([0, 0.5, 0, 0, 0, 0, 0, 0, 0])
+
+
+ENTRY = "entry_id string, label string, source_id string, host_id string, techniques array<string>, events array<string>"
+
+
+def test_memory_store(spark, tmp_path):
+    path = str(tmp_path / "memory")
+    one = spark.createDataFrame([("b", "malicious", "s", "h", ["T1"], ["e"]), ("a", "benign", "s", "h", [], ["e"])], ENTRY)
+    R.add(path, one)
+    assert [r.entry_id for r in R.entries(spark, path).collect()] == ["a", "b"]
+    with pytest.raises(ValueError):
+        R.add(path, one.limit(1))
+    bad = spark.createDataFrame([("c", "benign", "s", "h", ["T1"], ["e"])], ENTRY)
+    with pytest.raises(Exception, match="admissible"):
+        R.checked(bad).collect()
+
+
+def test_times_and_labels(spark):
+    df = spark.createDataFrame([("2018-04-10 14:30:00", "2019-09-23T11:23:45.5-04:00", 1523385000000000123)], "a string, b string, c long")
+    got = df.select(S.text_to_ns(F.col("a")).alias("a"), S.iso_to_ns(F.col("b")).alias("b"), S.ns_to_text(F.col("c")).alias("c")).first()
+    assert got.a == 1523385000 * 10**9
+    assert got.b == 1569252225 * 10**9 + 5 * 10**6  # the digits are milliseconds as they stand
+    assert got.c == "2018-04-10 14:30:00.000000123"
+    one = spark.createDataFrame([("a/b/c", "1.2:3", "", "12")], "p string, n string, e string, i string")
+    got = one.select(S.prefixes(F.col("p")).alias("p"), S.netflow_tokens(F.col("n")).alias("n"), S.path_tokens(F.col("e")).alias("e"), S.strict_long(F.col("i")).alias("i"), S.equal_parts(F.lit(7), 3).alias("q")).first()
+    assert got.p == ["a", "a/b", "a/b/c"] and got.n == ["1", ".", "2", ":", "3"] and got.e == [""] and got.i == 12 and got.q == [3, 2, 2]
+    with pytest.raises(Exception, match="not an integer"):
+        one.select(S.strict_long(F.col("p"))).collect()
+
+
+def test_cdm_logs(spark, tmp_path):
+    kind = lambda k, body: json.dumps({"datum": {f"com.bbn.tc.schema.avro.cdm18.{k}": body}}, separators=(",", ":"))
+    ref = lambda u: {"com.bbn.tc.schema.avro.cdm18.UUID": u}
+    lines = [
+        kind("NetFlowObject", {"uuid": "N", "localAddress": "1.1.1.1", "localPort": {"int": 5}, "remoteAddress": {"string": "2.2.2.2"}}),
+        kind("Subject", {"uuid": "S", "cmdLine": {"string": "ls"}, "properties": {"map": {"path": "/bin/ls"}}}),
+        kind("Subject", {"uuid": "S", "cmdLine": "ls -l", "properties": {"map": {}}}),
+        kind("FileObject", {"uuid": "F", "baseObject": {"properties": {"map": {"path": "/etc/x"}}}}),
+        kind("Event", {"uuid": "E1", "type": "EVENT_READ", "subject": ref("S"), "predicateObject": ref("F"), "timestampNanos": 7, "z": 0}),
+        kind("Event", {"uuid": "E2", "type": "EVENT_WRITE", "subject": ref("S"), "predicateObject": ref("N"), "timestampNanos": 8, "z": 0}),
+        kind("Event", {"uuid": "E3", "type": "EVENT_OTHER", "subject": ref("S"), "predicateObject": ref("N"), "timestampNanos": 9, "z": 0}),
+        kind("Event", {"uuid": "E4", "type": "EVENT_WRITE", "subject": ref("?"), "predicateObject": ref("N"), "timestampNanos": 9, "z": 0}),
+    ]
+    (tmp_path / "log.json").write_text("\n".join(lines))
+    log = cdm.lines(spark, str(tmp_path))
+    n, s, f = cdm.netflows(log).first(), cdm.subjects(log).first(), cdm.files(log).first()
+    assert (n.src_addr, n.src_port, n.dst_addr, n.dst_port) == ("1.1.1.1", "5", "2.2.2.2", "null")
+    assert (s.path, s.cmd, f.path) == ("null", "ls -l", "/etc/x")
+    nodes, events = cdm.ingest(spark, str(tmp_path))
+    assert {(r.uuid, r.index_id) for r in nodes.collect()} == {("N", 0), ("S", 1), ("F", 2)}
+    assert {(r.event_uuid, r.src, r.dst, r.t) for r in events.collect()} == {("E1", 2, 1, 7), ("E2", 1, 0, 8)}
+
+
+def test_host_logs(spark, tmp_path):
+    row = lambda i, action, obj, target, **props: json.dumps({"id": i, "hostname": "h1.x.com", "action": action, "object": obj, "actorID": "A", "objectID": target, "timestamp": "2019-09-23T11:23:45.012-04:00", "properties": props})
+    lines = [row("1", "READ", "FILE", "F", file_path="C:\\x", image_path="p"), row("2", "OPEN", "FLOW", "W", direction="inbound", src_ip="1"), row("3", "DELETE", "FILE", "F")]
+    (tmp_path / "log.json").write_text("\n".join(lines))
+    acts = host_logs.actions(spark, str(tmp_path), "h1", ("READ", "OPEN"))
+    nodes = host_logs.host_nodes(acts)
+    got = {(r.uuid, r.node_type, r.path, r.src_addr) for r in nodes.collect()}
+    assert got == {("A", "subject", None, None), ("F", "file", "C:/x", None), ("W", "netflow", None, "1")}
+    assert {(r.src, r.dst) for r in host_logs.host_events(acts, nodes).collect()} == {("F", "A"), ("W", "A")}
+
+
+def test_label_files(spark, tmp_path):
+    (tmp_path / "attacks").mkdir()
+    (tmp_path / "attacks" / "one.csv").write_text("u1,\"{'file': 'x'}\",5\nu2,\"{'file': 'y'}\",6\nu2,\"{'file': 'y'}\",6\n")
+    assert {(r.attack, r.node) for r in tables.read_attack_labels(spark, str(tmp_path / "attacks")).collect()} == {("one", 5), ("one", 6)}
+    (tmp_path / "full.csv").write_text("node_id,is_malicious\n1,0\n2,1\n")
+    assert tables.read_complete_labels(spark, str(tmp_path / "full.csv")).count() == 2
+    (tmp_path / "twice.csv").write_text("node_id,is_malicious\n1,0\n1,1\n")
+    with pytest.raises(ValueError):
+        tables.read_complete_labels(spark, str(tmp_path / "twice.csv"))
+    (tmp_path / "truth.txt").write_text("abc\n\ndef,\"{'subject': 'q'}\",9\n")
+    assert {tuple(r) for r in tables.read_ground_truth(spark, str(tmp_path / "truth.txt")).collect()} == {("abc", "threatrace", None), ("def", "{'subject': 'q'}", 9)}
+    (tmp_path / "scores.csv").write_text("loss,srcnode,dstnode,time,edge_type\n0.5,1,2,1700000000000000001,3\n")
+    assert tables.read_scores(spark, str(tmp_path / "scores.csv")).first().time == 1700000000000000001
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    source.repartition(3).write.parquet(str(tmp_path / "events"))
+    live = stream.run_once(stream.window_scores(stream.read_events(spark, str(tmp_path / "events"))), "hours")
+    batch = source.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour")).agg(F.count("*").alias("n"), F.max("value").alias("max_loss"))
+    assert {(r.window.start, r.n, r.max_loss) for r in live.collect()} == {(r.window.start, r.n, r.max_loss) for r in batch.collect()}
+    once = stream.run_once(stream.distinct_events(stream.read_events(spark, str(tmp_path / "events"))), "once", "append")
+    assert once.count() == source.count()
