@@ -17,11 +17,11 @@ DEFAULTS = {
 }
 
 
-def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and benchmarks; a cluster brings its own."""
+def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g", **more: str) -> SparkSession:
+    """A local session for tests and benchmarks, with more settings if given; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cpus}]").config("spark.ui.enabled", "false")
     builder = builder.config("spark.driver.memory", memory).config("spark.sql.shuffle.partitions", str(partitions))
-    for key, value in DEFAULTS.items():
+    for key, value in {**DEFAULTS, **more}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

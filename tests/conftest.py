@@ -14,9 +14,8 @@ from auditloom.session import local_session, ship_package
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(4, 4, "4g")
-    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    folders = {"spark.checkpoint.dir": tmp_path_factory.mktemp("shared"), "spark.sql.warehouse.dir": tmp_path_factory.mktemp("warehouse")}
+    session = local_session(4, 4, "4g", **{k: f"file://{v}" for k, v in folders.items()})
     ship_package(session)
     yield session
     session.stop()

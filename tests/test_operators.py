@@ -277,5 +277,5 @@ def test_stream_equals_batch(spark, tmp_path):
     live = stream.run_once(stream.window_scores(stream.read_events(spark, str(tmp_path / "events"))), "hours")
     batch = source.groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour")).agg(F.count("*").alias("n"), F.max("value").alias("max_loss"))
     assert {(r.window.start, r.n, r.max_loss) for r in live.collect()} == {(r.window.start, r.n, r.max_loss) for r in batch.collect()}
-    once = stream.run_once(stream.distinct_events(stream.read_events(spark, str(tmp_path / "events"))), "once", "append")
+    once = stream.run_once(stream.distinct_events(stream.read_events(spark, str(tmp_path / "events")), "60 days"), "once", "append")
     assert once.count() == source.count()
