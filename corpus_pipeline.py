@@ -24,15 +24,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id."""
     ship_package(spark)
-    found = durable(op04_exact_dedup.exact_dedup(docs).where(~F.col("kept")).select("doc_id", "text_sha256"))
-    return _without(docs, found)
+    found = durable(op04_exact_dedup.exact_dedup(docs).where(~F.col("kept")).select("doc_id", "keep_id", "text_sha256"))
+    left = _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256"))
+    # Rows repeated with the doc_id that stays: of these alone, one row each.
+    again = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256").distinct()
+    if again.isEmpty():
+        return left
+    marked = left.withColumn("text_sha256", F.sha2(text_or_empty(), 256))
+    once = marked.join(again, ["doc_id", "text_sha256"], "left_semi").dropDuplicates(["doc_id", "text_sha256"])
+    return marked.join(again, ["doc_id", "text_sha256"], "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the least doc_id."""
     ship_package(spark)
     found = op03_minhash.near_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return _without(docs, durable(found))
+    return _without(docs, found)
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -41,7 +48,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     marked = docs
     if "text_sha256" in dropped.columns:
         marked, keys = docs.withColumn("text_sha256", F.sha2(text_or_empty(), 256)), ["doc_id", "text_sha256"]
-    return marked.join(small_or_shuffled(dropped), keys, "left_anti").select(*COLUMNS)
+    return marked.join(small_or_shuffled(durable(dropped)), keys, "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
