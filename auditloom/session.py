@@ -32,7 +32,9 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors once a session, for clusters on which it isn't installed."""
+    """Sends this package to the executors once a session, for clusters on which it isn't installed, and bounds Arrow batches."""
+    # Rows may hold very long texts: small batches bound what a Python worker and its buffers hold at once.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if spark.sparkContext.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
