@@ -57,17 +57,19 @@ def build(rows: DataFrame, key: str, bits: int, times: int = 1) -> np.ndarray:
     """
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(bits, dtype=np.uint8)
+        once, twice = np.zeros(bits // 8, dtype=np.uint8), np.zeros(bits // 8, dtype=np.uint8)
         for pdf in batches:
             for column in probes(pdf[key], bits).T:
                 hit, n = np.unique(column, return_counts=True)
-                counts[hit] = np.minimum(counts[hit] + n, 2)
+                byte, bit = hit >> 3, np.left_shift(1, hit & 7).astype(np.uint8)
+                more = (n > 1) | ((once[byte] & bit) > 0)
+                np.bitwise_or.at(twice, byte[more], bit[more])
+                np.bitwise_or.at(once, byte, bit)
         out = []
-        for level in range(1, times + 1):  # a bit that one task set twice is shipped at both levels
-            ids = np.flatnonzero(counts >= level)
-            pieces, starts = np.unique(ids // PIECE_BITS, return_index=True)
-            for piece, part in zip(pieces, np.split(ids, starts[1:])):
-                out.append((int(piece), _pack(part - piece * PIECE_BITS)))
+        for filled in (once, twice)[:times]:  # a bit that one task set twice is shipped at both levels
+            pieces = filled.reshape(-1, PIECE_BITS // 8)
+            for piece in np.flatnonzero(pieces.any(axis=1)):
+                out.append((int(piece), _pack(np.flatnonzero(np.unpackbits(pieces[piece], bitorder="little")))))
         yield pd.DataFrame(out, columns=["piece", "ids"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -35,7 +35,7 @@ WINDOW = 128
 GRAM = 8
 SHARED = LENGTH - WINDOW + 1
 #: Texts are worked on in heaps of about so many bytes.
-HEAP = 4 << 20
+HEAP = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
