@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Sequence
 
@@ -61,3 +62,11 @@ def join_group_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], cou
 def small_or_shuffled(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """df, which must be durable and narrow, marked for broadcast if it has at most so many rows; else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffles and checkpoints that no frame needs any more; it does so when both heaps are collected."""
+    gc.collect()
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import durable, join_group_facts
+from auditloom.llm.common import durable, release
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """(a, b, m): each edge with m, the least of a and its neighbours; a hub's edges don't meet in one task."""
-    least = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
-    return join_group_facts(edges, least, ["a"], "n")
+    """(a, b, m): each edge with m, the least of a and its neighbours; adaptive execution splits the rows of a hub."""
+    least = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    return edges.join(least, "a")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -24,8 +24,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _star(both).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = durable(large)
+        large = _star(both).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = durable(large)  # repeated links are harmless until the round's end
         small = _star(large)
         pairs = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         edges = durable(pairs.distinct())
@@ -34,4 +34,5 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             roots = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
         seen = state
+        release(links.sparkSession)
     raise RuntimeError(f"no fixed point after {rounds} rounds")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.llm import bloom
-from auditloom.llm.common import durable, join_group_facts, text_or_empty
+from auditloom.llm.common import durable, join_group_facts, release, text_or_empty
 from auditloom.llm.components import components
 
 WORDS = 5
@@ -176,6 +176,37 @@ def _links_in(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return found
 
 
+def _mostly_shared(docs: DataFrame, members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of members the rows whose documents have at least percent of their shingles in others of them as well.
+
+    A link needs that many in one partner alone, so none is lost; what shares only a passage drops out here.
+    """
+    ids = durable(members.select("id").distinct())
+    size = ids.join(sketches, "id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    full = _full_sets(docs, ids)
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                yield pd.DataFrame({"token": np.frombuffer(b"".join(pdf["set"].iloc[at : at + 256]), np.int64)})
+
+    again = docs.sparkSession.sparkContext.broadcast(bloom.build(full.mapInPandas(tokens, "token long"), "token", bloom.size_for(size), times=2))
+
+    def enough(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [np.frombuffer(x, np.int64) for x in pdf["set"]]
+            yield pd.DataFrame({"id": pdf["id"][[100 * int(bloom.among(pd.Series(x), again.value).sum()) >= percent * len(x) for x in own]]})
+
+    kept = full.mapInPandas(enough, "id long").distinct()
+    return members.join(kept, "id", "left_semi")
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Of (bucket, id, label) the rows of buckets that hold several labels."""
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
+    return durable(labelled.join(mixed, "bucket"))
+
+
 def _across(members: DataFrame, docs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components of the same bucket, as few as join them.
 
@@ -224,9 +255,11 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
     star = members.where(F.expr(f"id <> lo.id and 100 * least(n, lo.n) >= {percent} * greatest(n, lo.n)"))
     links = _verified(star.select(F.col("lo.id").alias("a"), F.col("id").alias("b")).distinct(), docs, sketches, percent)
     found = components(links)
+    release(docs.sparkSession)
     labelled = durable(members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label")))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n_in")).where("least < most and n_in > 2").select("bucket")
-    more = _across(labelled.join(mixed, "bucket"), docs, sketches, percent)
+    mixed = _mixed(_mostly_shared(docs, _mixed(labelled), sketches, percent))
+    release(docs.sparkSession)
+    more = _across(mixed, docs, sketches, percent)
     if not more.isEmpty():
         found = components(links.unionByName(more))
     facts = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"), "copies")
