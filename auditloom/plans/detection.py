@@ -256,6 +256,12 @@ def relaxed(spark, d):
     return M.relaxed(predictions(spark, d), edges(spark, d).where("split = 'test'"), 1)
 
 
+@query("relaxed_two_hops", "tp:l fp:l fn:l precision:d recall:d f1:d")
+def relaxed_two_hops(spark, d):
+    """E14, G25 in full: within two hops. `relaxed` and its SQL stay at one; tests hold this against brute force."""
+    return M.relaxed(predictions(spark, d), edges(spark, d).where("split = 'test'"))
+
+
 @query("threshold_curve", "i:l tp:l fp:l fn:l tn:l", """WITH {E}, m AS (SELECT min(score) AS lo, max(score) AS hi FROM pred), g AS (SELECT i, lo + (hi - lo) * i / 299 AS thr FROM m, (SELECT unnest(range(0, 300)) AS i))
     SELECT i, count(CASE WHEN y = 1 AND score > thr THEN 1 END) AS tp, count(CASE WHEN y = 0 AND score > thr THEN 1 END) AS fp, count(CASE WHEN y = 1 AND score <= thr THEN 1 END) AS fn, count(CASE WHEN y = 0 AND score <= thr THEN 1 END) AS tn FROM g, pred GROUP BY i""")
 def threshold_curve(spark, d):
