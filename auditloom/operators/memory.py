@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.functions.scalars import cosine
+from auditloom.operators.graph import _kept as durable
 
+#: Of nearest references a task holds about so many rows a label, and so many labels.
+PENDING = 500_000
+LABELS_HELD = 64
 LABELS = ("malicious", "benign")
 COLUMNS = ("entry_id", "label", "source_id", "host_id", "techniques", "events", "fingerprint")
 
@@ -94,14 +102,101 @@ def signatures(events: DataFrame, nodes: DataFrame, types: tuple[str, ...], rela
     return out_.select(key, F.concat(*parts).alias("signature"))
 
 
-def retrieve(queries: DataFrame, references: DataFrame, k: int, at: float) -> DataFrame:
+def _unit(signatures: pd.Series) -> np.ndarray:
+    """Rows of norm one; a zero vector stays zero, so that its similarity is 0."""
+    raw = np.stack([np.asarray(x, np.float64) for x in signatures])
+    norms = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+    return np.divide(raw, norms, out=np.zeros_like(raw), where=norms > 0)
+
+
+class _Nearest:
+    """Of each query the k nearest of the references so far, ties by id; holds at most about PENDING rows."""
+
+    def __init__(self, n: int, k: int, at: float):
+        self.k, self.at, self.best, self.rows, self.n = k, at, np.full((n, k), -np.inf), [], 0
+
+    def add(self, s: np.ndarray, ids: np.ndarray, labels: np.ndarray, exact) -> None:
+        both = np.concatenate([self.best, s], axis=1)
+        self.best = np.partition(both, -self.k, axis=1)[:, -self.k :]
+        # The product of matrices may differ in its last bits from row to row: pairs near the limit are taken along.
+        q, r = np.nonzero(s >= np.maximum(self.best.min(axis=1), self.at)[:, None] - 1e-9)
+        if len(q):
+            self.rows.append(pd.DataFrame({"q": q, "entry_id": ids[r], "label": labels[r], "similarity": exact(q, r)}))
+            self.n += len(q)
+            if self.n > PENDING:
+                self.prune()
+
+    def prune(self) -> pd.DataFrame | None:
+        if not self.rows:
+            return None
+        rows = pd.concat(self.rows, ignore_index=True)
+        rows = rows[rows["similarity"] >= self.at].sort_values(["q", "similarity", "entry_id"], ascending=[True, False, True])
+        rows = rows.groupby("q", sort=False).head(self.k)
+        self.rows, self.n = [rows], len(rows)
+        return rows
+
+
+def _block_scores(block: DataFrame, references: DataFrame, k: int, at: float) -> DataFrame | None:
+    """(query, entry_id, label, similarity, strong): what each partition has for a block of queries."""
+    asked = block.select("query", "signature").where("signature is not null").toPandas()
+    if asked.empty:
+        return None
+    sent = references.sparkSession.sparkContext.broadcast((asked["query"].to_numpy(), _unit(asked["signature"])))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, wanted = sent.value
+        any_, by_label = _Nearest(len(names), 1, -np.inf), {}
+
+        def out(found: _Nearest, strong: bool) -> Iterator[pd.DataFrame]:
+            rows = found.prune()
+            if rows is not None and len(rows):
+                yield pd.DataFrame({"query": names[rows["q"]], "entry_id": rows["entry_id"], "label": rows["label"], "similarity": rows["similarity"], "strong": strong})
+
+        for pdf in batches:
+            for start in range(0, len(pdf), 1000):
+                part = pdf.iloc[start : start + 1000]
+                unit, ids, labels = _unit(part["signature"]), part["entry_id"].to_numpy(), part["label"].to_numpy()
+                s = np.clip(wanted @ unit.T, -1.0, 1.0)
+
+                def exact(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+                    return np.concatenate([np.clip(np.einsum("ij,ij->i", wanted[q[i : i + 50_000]], unit[r[i : i + 50_000]]), -1.0, 1.0) for i in range(0, len(q), 50_000)])
+
+                any_.add(s, ids, labels, exact)
+                for label in pd.unique(labels):
+                    own = np.flatnonzero(labels == label)
+                    pick = lambda q, r, own=own: exact(q, own[r])
+                    by_label.setdefault(label, _Nearest(len(names), k, at)).add(s[:, own], ids[own], labels[own], pick)
+                if len(by_label) > LABELS_HELD:
+                    for found in by_label.values():
+                        yield from out(found, True)
+                    by_label = {}
+        for found in by_label.values():
+            yield from out(found, True)
+        yield from out(any_, False)
+
+    kinds = {**dict(references.dtypes), **dict(block.dtypes)}
+    schema = f"query {kinds['query']}, entry_id {kinds['entry_id']}, label {kinds['label']}, similarity double, strong boolean"
+    return references.select("entry_id", "label", "signature").where("signature is not null").mapInPandas(scan, schema)
+
+
+def retrieve(queries: DataFrame, references: DataFrame, k: int, at: float, block: int = 2048) -> DataFrame:
     """Of each query (query, signature) and label the k most similar references (entry_id, label, signature) at or above the threshold.
 
-    A query without any gets its closest reference of all with strong = false. Queries are few and are sent to
-    all tasks; the references stay where they are.
+    A query without any gets its closest reference of all with strong = false. Queries may be as many as the
+    references: they go out in blocks of about the given size, and each partition of the references returns
+    only its own nearest ones.
     """
-    scored = references.crossJoin(F.broadcast(queries.withColumnRenamed("signature", "__q"))).select("query", "entry_id", "label", cosine(F.col("signature"), F.col("__q")).alias("similarity"))
+    asked = durable(queries.select("query", "signature"))
+    blocks = max(1, math.ceil(asked.count() / block))
     order = [F.col("similarity").desc(), F.col("entry_id")]
-    strong = scored.where(F.col("similarity") >= at).withColumn("rank", F.row_number().over(Window.partitionBy("query", "label").orderBy(*order)).cast("long")).where(F.col("rank") <= k).withColumn("strong", F.lit(True))
-    closest = scored.groupBy("query").agg(F.min_by(F.struct("entry_id", "label", "similarity"), F.struct(-F.col("similarity"), "entry_id")).alias("c")).select("query", "c.*", F.lit(1).cast("long").alias("rank"), F.lit(False).alias("strong"))
-    return strong.unionByName(closest.join(strong.select("query").distinct(), "query", "left_anti"))
+    done = asked.sparkSession.createDataFrame([], "none int").select(*(F.lit(None).cast(t).alias(c) for c, t in (("query", dict(asked.dtypes)["query"]), ("entry_id", dict(references.dtypes)["entry_id"]), ("label", dict(references.dtypes)["label"]), ("similarity", "double"), ("rank", "long"), ("strong", "boolean"))))
+    for i in range(blocks):
+        scored = _block_scores(asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i), references, k, at)
+        if scored is None:
+            continue
+        scored = durable(scored)
+        strong = scored.where("strong").withColumn("rank", F.row_number().over(Window.partitionBy("query", "label").orderBy(*order)).cast("long")).where(F.col("rank") <= k)
+        closest = scored.where("not strong").groupBy("query").agg(F.min_by(F.struct("entry_id", "label", "similarity"), F.struct(-F.col("similarity"), "entry_id")).alias("c")).select("query", "c.*", F.lit(1).cast("long").alias("rank"), F.lit(False).alias("strong"))
+        weak = closest.join(strong.select("query").distinct(), "query", "left_anti")
+        done = done.unionByName(durable(strong.select(*done.columns).unionByName(weak.select(*done.columns))))
+    return done

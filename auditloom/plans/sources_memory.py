@@ -8,6 +8,7 @@ from auditloom.functions import scalars as S
 from auditloom.operators import features, memory as R, provenance as P
 from auditloom.plans.core import edges, nodes
 from auditloom.plans.registry import query
+from auditloom.session import ship_package
 from auditloom.sources import tables
 
 
@@ -36,6 +37,7 @@ def signatures(spark, d):
     r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY similarity DESC, entry_id) AS rank FROM s WHERE similarity >= 0.2) SELECT query, label, entry_id, rank, similarity, true AS strong FROM r WHERE rank <= 3""")
 def retrieval(spark, d):
     """Five stated queries against all vectors."""
+    ship_package(spark)
     v = spark.read.parquet(f"{d}/embeddings.parquet")
     q = v.orderBy("vec_id").limit(5).select(F.col("vec_id").alias("query"), F.col("embedding").alias("signature"))
     return R.retrieve(q, v.select(F.col("vec_id").alias("entry_id"), "label", F.col("embedding").alias("signature")), 3, 0.2)
@@ -45,11 +47,37 @@ def retrieval(spark, d):
     r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, entry_id) AS rank FROM s) SELECT query, label, entry_id, rank, similarity, false AS strong FROM r WHERE rank = 1""")
 def weak_retrieval(spark, d):
     """M7: without a strong match the closest entry is returned and marked."""
+    ship_package(spark)
     v = spark.read.parquet(f"{d}/embeddings.parquet")
     q = v.orderBy("vec_id").limit(5).select(F.col("vec_id").alias("query"), F.transform("embedding", lambda x: -x).alias("signature"))
     return R.retrieve(q, v.select(F.col("vec_id").alias("entry_id"), "label", F.col("embedding").alias("signature")), 3, 0.99)
 
 
+ALL_QUERIES = """WITH q AS (SELECT vec_id AS query, list_transform(embedding, lambda x: {sign} * x) AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS entry_id, label, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS similarity FROM embeddings, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY similarity DESC, entry_id) AS rank FROM s WHERE similarity >= {at}), c AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, entry_id) AS rank FROM s WHERE query NOT IN (SELECT query FROM r))
+    SELECT query, label, entry_id, rank, similarity, true AS strong FROM r WHERE rank <= 3 UNION ALL SELECT query, label, entry_id, rank, similarity, false FROM c WHERE rank = 1"""
+
+
+def all_retrieved(spark, d, sign: int, at: float):
+    """Every vector whose id is divisible by 50, times the sign, against all vectors."""
+    ship_package(spark)
+    v = spark.read.parquet(f"{d}/embeddings.parquet")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.transform("embedding", lambda x: sign * x).alias("signature"))
+    return R.retrieve(q, v.select(F.col("vec_id").alias("entry_id"), "label", F.col("embedding").alias("signature")), 3, at)
+
+
+@query("retrieval_all", "query:l label:l entry_id:l rank:l similarity:d strong:b", ALL_QUERIES.replace("{sign}", "1").replace("{at}", "0.2"))
+def retrieval_all(spark, d):
+    """Queries grow with the vectors."""
+    return all_retrieved(spark, d, 1, 0.2)
+
+
+@query("weak_retrieval_all", "query:l label:l entry_id:l rank:l similarity:d strong:b", ALL_QUERIES.replace("{sign}", "-1").replace("{at}", "0.99"))
+def weak_retrieval_all(spark, d):
+    """M7: the same without strong matches."""
+    return all_retrieved(spark, d, -1, 0.99)
+
+
 @query("adjacency", "src:l dst:l edgeLabel:s srcType:s dstType:s", "WITH {E} SELECT src, dst, op AS edgeLabel, src_type AS srcType, dst_type AS dstType FROM e WHERE split = 'test'")
 def adjacency(spark, d):
     """S25."""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from auditloom.operators import metrics as M
+from auditloom.operators import memory as R, metrics as M
 from auditloom.plans import catalog, core, detection
 
 DATA = "/root/testdata/sf0.001"
@@ -45,3 +46,31 @@ def test_relaxed_two_hops(spark):
     tp, fp, fn = relaxed_by_hand(rows, links, 2)
     assert (got.tp, got.fp, got.fn) == (tp, fp, fn) != relaxed_by_hand(rows, links, 1)
     assert got.recall == pytest.approx(tp / (tp + fn), abs=1e-6)
+
+
+def test_retrieve_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(240, 6)).round(1)
+    v[200:] = v[rng.integers(0, 40, 40)]  # equal vectors: ties go to the least id
+    v[7] = 0
+    rows = [(i, int(i % 3), x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "entry_id long, label long, signature array<double>").repartition(5)
+    asked = df.where("entry_id % 4 = 0 or entry_id = 7").selectExpr("entry_id as query", "signature")
+    got = {tuple(r) for r in R.retrieve(asked, df, 2, 0.9, block=9).select("query", "entry_id", "label", "rank", "strong").collect()}
+    norm = lambda x: x / np.sqrt((x * x).sum()) if x.any() else x
+    want = set()
+    for q in [i for i in range(240) if i % 4 == 0 or i == 7]:
+        near = sorted((-round(float(norm(v[q]) @ norm(v[i])), 9), i) for i in range(240))
+        strong = [x for x in near if x[0] <= -0.9]
+        for label in range(3):
+            want |= {(q, i, label, rank, True) for rank, (_, i) in enumerate([x for x in strong if x[1] % 3 == label][:2], 1)}
+        if not strong:
+            want.add((q, near[0][1], near[0][1] % 3, 1, False))
+    assert got == want
+
+
+def test_all_vectors_are_asked(spark):
+    ids = {r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
+    assert len(ids) > 5
+    for name in ("retrieval_all", "weak_retrieval_all"):
+        assert {r["query"] for r in catalog.QUERIES[name](spark, DATA).collect()} == ids
