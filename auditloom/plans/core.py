@@ -120,6 +120,13 @@ def truth_matches(spark, d):
     return P.flagged(want, P.endpoints(edges(spark, d)), "node", "in_").agg(F.sum("in_").alias("found"), F.sum(1 - F.col("in_")).alias("missing"))
 
 
+@query("truth_matches_all", "found:l missing:l", "WITH {E} SELECT count(CASE WHEN node IN (SELECT node FROM ends WHERE split = 'test') THEN 1 END) AS found, count(CASE WHEN node NOT IN (SELECT node FROM ends WHERE split = 'test') THEN 1 END) AS missing FROM (SELECT DISTINCT node FROM truth)")
+def truth_matches_all(spark, d):
+    """All nodes of the ground truth, looked up among those of the test period."""
+    e = edges(spark, d)
+    return P.flagged(truth(e).select("node").distinct(), P.endpoints(e.where("split = 'test'")), "node", "in_").agg(F.sum("in_").alias("found"), F.sum(1 - F.col("in_")).alias("missing"))
+
+
 def attacks(spark):
     base = 1706227200000000000
     rows = [(a, base + a * P.DAY, base + a * P.DAY + 20 * P.HOUR) for a in range(3)]
@@ -190,6 +197,16 @@ def asof_previous(spark, d):
     return joins.asof_join(back, marks, ["src"], "mark", backward=False).withColumnRenamed("mark_asof", "after")
 
 
+@query("asof_previous_all", "event_id:l before:l after:l", """WITH {E}, m AS (SELECT DISTINCT src, t FROM e WHERE op = 'error'), b AS (SELECT x.event_id, max(m.t) AS before FROM e x JOIN m ON m.src = x.src AND m.t < x.t GROUP BY x.event_id), a AS (SELECT x.event_id, min(m.t) AS after FROM e x JOIN m ON m.src = x.src AND m.t > x.t GROUP BY x.event_id)
+    SELECT e.event_id, before, after FROM e LEFT JOIN b ON e.event_id = b.event_id LEFT JOIN a ON e.event_id = a.event_id""")
+def asof_previous_all(spark, d):
+    """J12 over all edges."""
+    e = edges(spark, d).select("event_id", "src", "t", "op")
+    marks = e.where("op = 'error'").select("src", "t", F.col("t").alias("mark"))
+    back = joins.asof_join(e, marks, ["src"], "mark").withColumnRenamed("mark_asof", "before")
+    return joins.asof_join(back, marks, ["src"], "mark", backward=False).withColumnRenamed("mark_asof", "after")
+
+
 @query("two_event_paths", "n:l", "WITH {E} SELECT count(*) AS n FROM e a JOIN e b ON a.dst = b.src AND a.t <= b.t AND a.event_id <> b.event_id AND a.w = b.w WHERE a.split = 'test' AND b.split = 'test'")
 def two_event_paths(spark, d):
     """J13."""
@@ -242,6 +259,14 @@ def appended_events(spark, d):
     return windows.numbered(both, "split")
 
 
+@query("appended_events_all", "split:s event_id:l t:l rn:l", "WITH {E}, x AS (SELECT split, event_id, t FROM e UNION ALL SELECT split, event_id + 10000000, t + 1 FROM e WHERE op = 'error') SELECT split, event_id, t, row_number() OVER (PARTITION BY split ORDER BY t, event_id) - 1 AS rn FROM x")
+def appended_events_all(spark, d):
+    """U2 in every split; each is ordered by itself."""
+    e = edges(spark, d)
+    more = e.where("op = 'error'").select((F.col("event_id") + 10_000_000).alias("event_id"), (F.col("t") + 1).alias("t"), "split")
+    return windows.numbered(e.select("event_id", "t", "split").unionByName(more), "split")
+
+
 @query("hour_windows", "w:l n:l first_t:l last_t:l", "WITH {E} SELECT w, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM e GROUP BY w")
 def hour_windows(spark, d):
     """T1, T3."""
@@ -311,6 +336,14 @@ def node_versions(spark, d):
     return windows.versions(edges(spark, d).where("split = 'val'"))
 
 
+@query("node_versions_all", "event_id:l src_version:l dst_version:l", """WITH {E}, x AS (SELECT event_id, t, src AS node, 0 AS a FROM e UNION ALL SELECT event_id, t, dst, 1 FROM e),
+    v AS (SELECT event_id, a, sum(a) OVER (PARTITION BY node ORDER BY t, event_id, a ROWS UNBOUNDED PRECEDING) AS v FROM x)
+    SELECT event_id, max(CASE WHEN a = 0 THEN v END) AS src_version, max(CASE WHEN a = 1 THEN v END) AS dst_version FROM v GROUP BY event_id""")
+def node_versions_all(spark, d):
+    """W8 over all edges."""
+    return windows.versions(edges(spark, d))
+
+
 @query("next_windows", "node:l w:l w_end:l", "WITH {E} SELECT node, w, lead(w) OVER (PARTITION BY node ORDER BY w) AS w_end FROM (SELECT DISTINCT node, w FROM ends WHERE split = 'test')")
 def next_windows(spark, d):
     """W9."""
@@ -350,6 +383,25 @@ def last_messages(spark, d):
     return windows.last_message(edges(spark, d).where("split = 'val'"), "w")
 
 
+@query("last_neighbours_all", "w:l node:l neighbours:s")
+def last_neighbours_all(spark, d):
+    """W11, T7 over all edges: neighbours carry over from split to split. Tests hold it against brute force."""
+    out = windows.last_neighbours(edges(spark, d), 5, "w")
+    return out.withColumn("neighbours", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ","))
+
+
+@query("last_updates_all", "event_id:l node:l last_t:l", "WITH {E} SELECT event_id, node, max(t) OVER (PARTITION BY node ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_t FROM ends")
+def last_updates_all(spark, d):
+    """W12, T9 over all edges: times carry over from split to split."""
+    return windows.last_update(edges(spark, d))
+
+
+@query("last_messages_all", "w:l node:l last_op:s", "WITH {E} SELECT w, node, op AS last_op FROM (SELECT w, node, op, row_number() OVER (PARTITION BY w, node ORDER BY t DESC, event_id DESC) AS rn FROM ends) WHERE rn = 1")
+def last_messages_all(spark, d):
+    """W13, T8 over all edges."""
+    return windows.last_message(edges(spark, d), "w")
+
+
 @query("time_disorder", "n:l", "WITH {E}, s AS (SELECT w, min(t) AS lo, max(t) AS hi FROM e GROUP BY w) SELECT count(*) AS n FROM (SELECT lo, max(hi) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM s) WHERE lo < past")
 def time_disorder(spark, d):
     """W14, T10."""
@@ -499,6 +551,22 @@ def summed_neighbours(spark, d):
     return features.summed_neighbours(e, v).select("node", F.col("vector")[0].alias("x"))
 
 
+@query("neighbour_corpus_all", "node:l n:l", f"WITH {{E}}, {NODES}, k AS (SELECT node, len(list_filter(string_split(replace(label, '/', ' / '), ' '), lambda x: x <> '')) AS n FROM nodes) SELECT k.node, k.n + coalesce(sum(o.n), 0) AS n FROM k LEFT JOIN (SELECT DISTINCT src, dst FROM e) p ON p.src = k.node LEFT JOIN k o ON o.node = p.dst GROUP BY k.node, k.n")
+def neighbour_corpus_all(spark, d):
+    """L2, F9 over all edges."""
+    e = edges(spark, d)
+    tokens = nodes(e).select("node", S.path_tokens(F.col("label")).alias("tokens"))
+    return features.neighbour_corpus(e, tokens).select("node", F.size("tokens").alias("n"))
+
+
+@query("summed_neighbours_all", "node:l x:d", "WITH {E} SELECT dst AS node, sum(src % 7) AS x FROM e GROUP BY dst")
+def summed_neighbours_all(spark, d):
+    """L12 over all edges."""
+    e = edges(spark, d)
+    v = P.endpoints(e).distinct().select("node", F.array((F.col("node") % 7).cast("double")).alias("vector"))
+    return features.summed_neighbours(e, v).select("node", F.col("vector")[0].alias("x"))
+
+
 @query("one_class", "vec_id:l score:d", """WITH x AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
     c AS (SELECT label, i, CASE WHEN abs(avg(v)) < 0.1 THEN CASE WHEN avg(v) < 0 THEN -0.1 ELSE 0.1 END ELSE avg(v) END AS c FROM x GROUP BY label, i),
     f AS (SELECT vec_id, x.label, sum((v - c) * (v - c)) AS d2 FROM x JOIN c ON x.label = c.label AND x.i = c.i GROUP BY vec_id, x.label), r AS (SELECT label, quantile_cont(sqrt(d2), 0.95) AS r FROM f GROUP BY label)
@@ -527,8 +595,8 @@ def confidence(spark, d):
 
 @query("negative_edges", "src:l dst:l")
 def negative_edges(spark, d):
-    """L20."""
-    return features.negatives(edges(spark, d).where("split = 'val'"))
+    """L20, over all edges: windows are groups."""
+    return features.negatives(edges(spark, d))
 
 
 @query("knn_outliers", "vec_id:l score:d")

@@ -25,7 +25,11 @@ def fingerprints(spark, d):
     SELECT k.day AS w, 58 - 13 AS dim, 0.5 AS n1, 0.5 AS n2, coalesce((SELECT n FROM r WHERE r.day = k.day AND op = 'view'), 0) / s * 0.5 AS view FROM k""")
 def signatures(spark, d):
     """Days of the validation period as entries."""
-    e = edges(spark, d).where("split = 'val'").withColumn("w", F.floor(F.col("w") / 24))
+    return day_signatures(edges(spark, d).where("split = 'val'"))
+
+
+def day_signatures(e):
+    e = e.withColumn("w", F.floor(F.col("w") / 24))
     types, ops = ("subject", "file"), ("click", "error", "purchase", "signup", "view")
     n = P.endpoints(e, "w").distinct().join(nodes(e).select("node", "type"), "node")
     s = R.signatures(e, n, types, ops, "w", budget=50_000_000)
@@ -33,6 +37,13 @@ def signatures(spark, d):
     return s.select("w", F.size("signature").alias("dim"), part(0, 3).alias("n1"), part(3, 9).alias("n2"), F.element_at("signature", 8).alias("view"))
 
 
+@query("signatures_all", "w:l dim:l n1:d n2:d view:d", """WITH {E}, x AS (SELECT *, w // 24 AS day FROM e), r AS (SELECT day, op, count(*) AS n FROM x GROUP BY day, op), k AS (SELECT day, sqrt(sum(n * n)) AS s FROM r GROUP BY day)
+    SELECT k.day AS w, 58 - 13 AS dim, 0.5 AS n1, 0.5 AS n2, coalesce((SELECT n FROM r WHERE r.day = k.day AND op = 'view'), 0) / s * 0.5 AS view FROM k""")
+def signatures_all(spark, d):
+    """All days as entries."""
+    return day_signatures(edges(spark, d))
+
+
 @query("retrieval", "query:l label:l entry_id:l rank:l similarity:d strong:b", """WITH q AS (SELECT vec_id AS query, embedding AS v FROM embeddings ORDER BY vec_id LIMIT 5), s AS (SELECT query, vec_id AS entry_id, label, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS similarity FROM embeddings, q),
     r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY similarity DESC, entry_id) AS rank FROM s WHERE similarity >= 0.2) SELECT query, label, entry_id, rank, similarity, true AS strong FROM r WHERE rank <= 3""")
 def retrieval(spark, d):
@@ -108,6 +119,14 @@ def graph_json(spark, d):
     return tables.graph_json(e.where("split = 'val'"), nodes(e).select("node", "type"))
 
 
+@query("graph_json_all", "value:s", """WITH {E}, n AS (SELECT DISTINCT node, CASE WHEN node >= 1000000 THEN 'file' ELSE 'subject' END AS type FROM ends), g AS (SELECT src AS node, list_sort(list(DISTINCT dst)) AS targets FROM e GROUP BY src)
+    SELECT '{"node":' || n.node || ',"type":"' || type || '","targets":[' || coalesce(array_to_string(targets, ','), '') || ']}' AS value FROM n LEFT JOIN g ON n.node = g.node""")
+def graph_json_all(spark, d):
+    """S28 over all edges."""
+    e = edges(spark, d)
+    return tables.graph_json(e, nodes(e).select("node", "type"))
+
+
 @query("vector_losses", "vec_id:l sce:d mse:d mae:d", """WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v, (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1) AS u FROM embeddings)
     SELECT vec_id, power(1 - list_cosine_similarity(v, u), 3) AS sce, list_inner_product(v, v) - 2 * list_inner_product(v, u) + list_inner_product(u, u) AS mse, list_sum(list_transform(range(1, 65), lambda i: abs(v[i] - u[i]))) AS mae FROM a""")
 def vector_losses(spark, d):

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from auditloom.operators import memory as R, metrics as M
+from auditloom.operators import features, memory as R, metrics as M
 from auditloom.plans import catalog, core, detection
 
 DATA = "/root/testdata/sf0.001"
@@ -74,3 +74,29 @@ def test_all_vectors_are_asked(spark):
     assert len(ids) > 5
     for name in ("retrieval_all", "weak_retrieval_all"):
         assert {r["query"] for r in catalog.QUERIES[name](spark, DATA).collect()} == ids
+
+
+def test_all_splits_take_part(spark):
+    e = core.edges(spark, DATA).collect()
+    assert {r.split for r in e} == {"train", "val", "test"}
+    for name in ("asof_previous_all", "node_versions_all", "last_updates_all"):
+        assert {r.event_id for r in catalog.QUERIES[name](spark, DATA).collect()} == {r.event_id for r in e}
+    want, last = {}, {}
+    ordered = sorted(e, key=lambda r: (r.t, r.event_id))
+    for w in sorted({r.w for r in e}):
+        now = [r for r in ordered if r.w == w]
+        for node in {n for r in now for n in (r.src, r.dst)}:
+            want[w, node] = ",".join(map(str, last.get(node, [])[-5:]))
+        for r in now:
+            last.setdefault(r.src, []).append(r.dst)
+            last.setdefault(r.dst, []).append(r.src)
+    assert {(r.w, r.node): r.neighbours for r in catalog.QUERIES["last_neighbours_all"](spark, DATA).collect()} == want
+
+
+def test_negatives_of_all_splits(spark):
+    e = core.edges(spark, DATA)
+    got = {(r.src, r.dst) for r in catalog.QUERIES["negative_edges"](spark, DATA).collect()}
+    part = lambda split: {(r.src, r.dst) for r in features.negatives(e.where(f"split = '{split}'")).collect()}
+    known = {(r.src, r.dst) for r in e.collect()}
+    assert got == (part("train") | part("val") | part("test")) - known
+    assert not got <= part("val")
