@@ -95,17 +95,26 @@ def binary_cross_entropy(logit: Column, y: Column) -> Column:
 def knn_outliers(train: DataFrame, rows: DataFrame, k: int = 10, sample: int = 5000) -> DataFrame:
     """(vec_id, score): the mean distance to the k nearest of a bounded sample of train, over the sample's own mean of that.
 
-    The sample of least hash is sent to all tasks.
+    Dimensions are standardised by the sample's means and deviations; one that is constant there is only
+    centred. The sample of least hash is sent to all tasks.
     """
-    some = train.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(F.col("vec_id").alias("__id"), F.col("embedding").alias("__e"))
+    some = train.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec_id", "embedding")
+    each = some.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    scale = each.agg(F.sort_array(F.collect_list(F.struct("i", "m", F.when(F.col("s") > 0, F.col("s")).otherwise(1.0).alias("s")))).alias("__s"))
+
+    def standard(df: DataFrame) -> DataFrame:
+        return df.crossJoin(F.broadcast(scale)).select("vec_id", F.zip_with("embedding", "__s", lambda x, p: (x.cast("double") - p["m"]) / p["s"]).alias("embedding"))
+
+    near_to = standard(some).withColumnsRenamed({"vec_id": "__id", "embedding": "__e"})
 
     def mean_distance(df: DataFrame) -> DataFrame:
-        gap = F.sqrt(F.aggregate(F.zip_with("embedding", "__e", lambda x, y: (x - y).cast("double") * (x - y)), F.lit(0.0), lambda s, x: s + x))
-        pairs = df.crossJoin(F.broadcast(some)).where("vec_id <> __id").select("vec_id", gap.alias("d"))
+        gap = F.sqrt(F.aggregate(F.zip_with("embedding", "__e", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+        pairs = standard(df).crossJoin(F.broadcast(near_to)).where("vec_id <> __id").select("vec_id", gap.alias("d"))
         near = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("vec_id").orderBy("d"))).where(F.col("rn") <= k)
         return near.groupBy("vec_id").agg(F.avg("d").alias("d"))
 
-    own = mean_distance(some.select(F.col("__id").alias("vec_id"), F.col("__e").alias("embedding"))).agg(F.avg("d").alias("base"))
+    # Of equal vectors alone the mean is 0, and the reference divides by a trifle.
+    own = mean_distance(some).agg(F.avg("d").alias("base")).select(F.when(F.col("base") > 0, F.col("base")).otherwise(1e-9).alias("base"))
     return mean_distance(rows.select("vec_id", "embedding")).crossJoin(F.broadcast(own)).select("vec_id", (F.col("d") / F.col("base")).alias("score"))
 
 

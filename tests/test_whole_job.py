@@ -100,3 +100,18 @@ def test_negatives_of_all_splits(spark):
     known = {(r.src, r.dst) for r in e.collect()}
     assert got == (part("train") | part("val") | part("test")) - known
     assert not got <= part("val")
+
+
+def test_knn_outliers_are_standardised(spark):
+    rng = np.random.default_rng(2)
+    v = np.column_stack([rng.normal(size=60) * 1000, rng.normal(size=60) * 0.01, np.full(60, 3.0)])
+    v[5, 1] = 0.2  # far out in the narrow dimension only
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in features.knn_outliers(df, df, 4).collect()}
+    dev = v.std(axis=0)
+    z = (v - v.mean(axis=0)) / np.where(dev > 1e-12, dev, 1)
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    mean = np.sort(d, axis=1)[:, :4].mean(axis=1)
+    assert [got[i] for i in range(60)] == pytest.approx((mean / mean.mean()).tolist())
+    assert max(got, key=got.get) == 5
