@@ -51,27 +51,27 @@ def trace(edges: DataFrame, points: DataFrame, scores: DataFrame | None = None,
         top = mean.withColumn("rn", F.row_number().over(best)).where("rn = 1").select("poi", "end")
         if method == "component":
             return on_way.join(top, ["poi", "end"], "left_semi").select("poi", "node")
-        return shortest(edges, top.select("poi", "end"), forward, hops=64)
+        return shortest(edges, top.select("poi", "end"), forward)
 
     return best_end(up, sources, False).unionByName(best_end(down, sinks, True)).unionByName(points.select(F.col("node").alias("poi"), "node")).distinct()
 
 
-def shortest(edges: DataFrame, ends: DataFrame, forward: bool, hops: int) -> DataFrame:
-    """(poi, node): nodes of the shortest path between the point and its end, of equal ones that of least nodes."""
+def shortest(edges: DataFrame, ends: DataFrame, forward: bool, rounds: int = 1000) -> DataFrame:
+    """(poi, node): nodes of the shortest path between the point and its end, of equal ones that of least nodes; rounds end when no end is left to find."""
     a, b = ("src", "dst") if forward else ("dst", "src")
     links = graph._kept(edges.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct())
     front = ends.select("poi", F.col("poi").alias("node"), F.array("poi").alias("path"))
     seen, done = graph._kept(front), None
-    for _ in range(hops):
+    for _ in range(rounds):
         hit = front.join(ends, (front["poi"] == ends["poi"]) & (front["node"] == ends["end"])).select(front["poi"], "path")
         done = graph._kept(hit if done is None else done.unionByName(hit))
         step = front.join(done.select("poi"), "poi", "left_anti").join(links, F.col("node") == F.col("__a")).select("poi", F.col("__b").alias("node"), F.concat("path", F.array("__b")).alias("path"))
         step = step.groupBy("poi", "node").agg(F.min("path").alias("path")).join(seen.select("poi", "node"), ["poi", "node"], "left_anti")
         front = graph._kept(step)
         if front.isEmpty():
-            break
+            return done.select("poi", F.explode("path").alias("node"))
         seen = graph._kept(seen.unionByName(front))
-    return done.select("poi", F.explode("path").alias("node"))
+    raise RuntimeError("a shortest path takes more rounds than allowed")
 
 
 def anomaly_subgraphs(edges: DataFrame, anomalous: DataFrame, per_type: int = 10, hops: int = 1, max_edges: int = 5000) -> DataFrame:

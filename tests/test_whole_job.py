@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from auditloom.operators import features, memory as R, metrics as M
+from auditloom.operators import features, memory as R, metrics as M, triage as T
 from auditloom.plans import catalog, core, detection
 
 DATA = "/root/testdata/sf0.001"
@@ -115,3 +115,11 @@ def test_knn_outliers_are_standardised(spark):
     mean = np.sort(d, axis=1)[:, :4].mean(axis=1)
     assert [got[i] for i in range(60)] == pytest.approx((mean / mean.mean()).tolist())
     assert max(got, key=got.get) == 5
+
+
+def test_shortest_paths_have_no_limit(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(70)], "src long, dst long").coalesce(1)
+    ends = spark.createDataFrame([(0, 70)], "poi long, end long")
+    assert {r.node for r in T.shortest(chain, ends, True).collect()} == set(range(71))
+    with pytest.raises(RuntimeError):
+        T.shortest(chain, ends, True, rounds=5)
