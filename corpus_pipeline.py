@@ -27,28 +27,45 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = durable(op04_exact_dedup.exact_dedup(docs).where(~F.col("kept")).select("doc_id", "keep_id", "text_sha256"))
     left = _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256"))
     # Rows repeated with the doc_id that stays: of these alone, one row each.
-    again = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256").distinct()
+    again = durable(found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256").distinct())
     if again.isEmpty():
         return left
     marked = left.withColumn("text_sha256", F.sha2(text_or_empty(), 256))
-    once = marked.join(again, ["doc_id", "text_sha256"], "left_semi").dropDuplicates(["doc_id", "text_sha256"])
-    return marked.join(again, ["doc_id", "text_sha256"], "left_anti").unionByName(once).select(*COLUMNS)
+    once = _matching(marked, again, "left_semi").dropDuplicates(["doc_id", "text_sha256"])
+    return _matching(marked, again, "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the least doc_id."""
+    """Of each component of near copies the row with the least doc_id, then the least digest; null comes after all others.
+
+    Rows are numbered by a 64-bit fingerprint of doc_id and text, so that decisions take effect row by row,
+    whether doc_id is null or comes twice.
+    """
     ship_package(spark)
-    found = op03_minhash.near_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return _without(docs, found)
+    digest = F.sha2(text_or_empty(), 256)
+    numbered = docs.withColumn("number", F.xxhash64(F.col("doc_id").isNull(), "doc_id", digest))
+    found = op03_minhash.near_dedup(numbered, key="number").select("number", "component_id").distinct()
+    found = durable(found)
+    several = found.groupBy("component_id").agg(F.count("*").alias("k")).where("k > 1").select("component_id")
+    members = durable(found.join(several, "component_id"))
+    if members.isEmpty():
+        return docs.select(*COLUMNS)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", digest.alias("digest"), "number")
+    places = numbered.select("number", place.alias("place")).join(small_or_shuffled(members), "number")
+    stays = places.groupBy("component_id").agg(F.min("place").getField("number").alias("number")).select("number")
+    dropped = durable(members.join(stays, "number", "left_anti").select("number"))
+    return numbered.join(small_or_shuffled(dropped), "number", "left_anti").select(*COLUMNS)
+
+
+def _matching(marked: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """marked, semi- or anti-joined with keys (doc_id, text_sha256); null is a doc_id like any other."""
+    other = keys.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    return marked.join(small_or_shuffled(other), (F.col("text_sha256") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__id")), how)
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for the rows that are dropped, by doc_id or by doc_id and digest; few are sent to the scan."""
-    keys = ["doc_id"]
-    marked = docs
-    if "text_sha256" in dropped.columns:
-        marked, keys = docs.withColumn("text_sha256", F.sha2(text_or_empty(), 256)), ["doc_id", "text_sha256"]
-    return marked.join(small_or_shuffled(durable(dropped)), keys, "left_anti").select(*COLUMNS)
+    """docs but for the rows that are dropped, by doc_id and digest; few are sent to the scan."""
+    return _matching(docs.withColumn("text_sha256", F.sha2(text_or_empty(), 256)), durable(dropped), "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
