@@ -213,3 +213,35 @@ def walks(edges: DataFrame, start: DataFrame, length: int, seed: int = 0) -> Dat
         done = ended if done is None else done.unionByName(ended)
         state = _kept(chosen.select("walk", F.col("m.__d").alias("node"), F.col("m.__t").alias("t"), F.concat("m.nodes", F.array("m.__d")).alias("nodes")))
     return done.unionByName(state.select("walk", "nodes"))
+
+
+def temporal_walks(edges: DataFrame, start: DataFrame, length: int, half_life: int | None = None, seed: int = 0) -> DataFrame:
+    """(walk, nodes): walks of at most `length` nodes from start(walk, node), forward in time, or backward from nodes that no edge leaves.
+
+    Times grow (backward: fall) strictly. Steps are uniform, or, with a half-life in ns, weighted by exp(-gap /
+    half_life); the choice is a hash of the walk, step and edge.
+    """
+    links = _kept(edges.select("event_id", "src", "dst", "t"))
+    lo = links.agg(F.min("t")).first()[0] or 0
+    leaves = links.select(F.col("src").alias("node")).distinct()
+    out = None
+    for ahead, how in ((True, "left_semi"), (False, "left_anti")):
+        a, b = ("src", "dst") if ahead else ("dst", "src")
+        steps = links.select("event_id", F.col(a).alias("__s"), F.col(b).alias("__d"), F.col("t").alias("__t"))
+        state, done = _kept(start.join(leaves, "node", how).select("walk", "node", F.lit(None).cast("long").alias("t"), F.array("node").alias("nodes"))), None
+        for step in range(length - 1):
+            later = F.col("__t") > F.col("t") if ahead else F.col("__t") < F.col("t")
+            moves = state.join(steps, (F.col("node") == F.col("__s")) & (F.col("t").isNull() | later))
+            # The least of -ln(u) / weight falls on each edge in proportion to its weight; here as logarithms.
+            u = (F.pmod(F.xxhash64("walk", F.lit(step), "event_id", F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+            gap = (F.col("__t") - F.lit(lo)) * (1 if ahead else -1)
+            key = F.ln(-F.ln(u)) + (gap / F.lit(float(half_life)) if half_life else F.lit(0.0))
+            chosen = moves.groupBy("walk").agg(F.min_by(F.struct("__d", "__t", "nodes"), F.struct(key, "event_id")).alias("m"))
+            path = F.concat("m.nodes", F.array("m.__d")) if ahead else F.concat(F.array("m.__d"), "m.nodes")
+            after = _kept(chosen.select("walk", F.col("m.__d").alias("node"), F.col("m.__t").alias("t"), path.alias("nodes")))
+            ended = state.join(after.select("walk"), "walk", "left_anti").select("walk", "nodes")
+            done = ended if done is None else done.unionByName(ended)
+            state = after
+        part = state.select("walk", "nodes") if done is None else done.unionByName(state.select("walk", "nodes"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -152,6 +152,33 @@ def campaign(edges: DataFrame, malicious: DataFrame, caps: tuple[int, ...] = (50
     return seen
 
 
+def campaign_edges(edges: DataFrame, malicious: DataFrame, caps: tuple[int, ...] = (500, 300, 200, 100)) -> DataFrame:
+    """(src, dst, op, hop): the campaign graph's edges, oriented by (hop, id) of their ends, so that it has no cycles.
+
+    Edges between malicious nodes are hop 0, those that leave what is reached so far come next; each hop is
+    limited to its cap by hash, as the reference limits it.
+    """
+    links = graph._kept(edges.where("src <> dst").select("src", "dst", "op").distinct())
+    pick = lambda df, k: df.orderBy(F.xxhash64("src", "dst", "op"), "src", "dst", "op").limit(k)
+    within = lambda df, end, nodes, how: df.join(nodes.select(F.col("node").alias(end)), end, how)
+    bad = malicious.select("node").distinct()
+    kept = graph._kept(pick(within(within(links, "src", bad, "left_semi"), "dst", bad, "left_semi"), caps[0]).withColumn("hop", F.lit(0)).select("src", "dst", "op", "hop"))
+    front = seen = graph._kept((bad if kept.isEmpty() else endpoints(kept).distinct()).withColumn("at", F.lit(0)))
+    for hop, cap in enumerate(caps[1:], 1):
+        out = within(within(links, "src", front, "left_semi"), "dst", seen, "left_anti").select("src", "dst", "op")
+        into = within(within(links, "dst", front, "left_semi"), "src", seen, "left_anti").select("src", "dst", "op")
+        part = graph._kept(pick(out.unionByName(into), cap).withColumn("hop", F.lit(hop)))
+        front = graph._kept(endpoints(part).distinct().join(seen, "node", "left_anti").withColumn("at", F.lit(hop)))
+        kept = kept.unionByName(part)
+        if front.isEmpty():
+            break
+        seen = graph._kept(seen.unionByName(front))
+    for end in ("src", "dst"):
+        kept = kept.join(seen.select(F.col("node").alias(end), F.struct("at", "node").alias(f"__{end}")), end)
+    first = kept.groupBy(F.least("__src", "__dst").getField("node").alias("src"), F.greatest("__src", "__dst").getField("node").alias("dst")).agg(F.min(F.struct("hop", "op")).alias("e"))
+    return first.select("src", "dst", "e.op", "e.hop")
+
+
 def slice_of(edges: DataFrame, start: DataFrame, lo: int, hi: int, hops: int) -> DataFrame:
     """Events of the time range between nodes within so many hops of start(node)."""
     part = edges.where(F.col("t").between(lo, hi))

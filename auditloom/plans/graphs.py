@@ -198,6 +198,14 @@ def random_walks(spark, d):
     return G.walks(e, s, 4).select("walk", F.size("nodes").alias("n"), F.element_at("nodes", -1).alias("last"))
 
 
+@query("temporal_walks", "walk:l n:l first:l last:l")
+def temporal_walks(spark, d):
+    """From all nodes of the test period, with a half-life of an hour."""
+    e = test_edges(spark, d)
+    s = P.endpoints(e).distinct().select(F.col("node").alias("walk"), "node")
+    return G.temporal_walks(e, s, 5, P.HOUR).select("walk", F.size("nodes").alias("n"), F.element_at("nodes", 1).alias("first"), F.element_at("nodes", -1).alias("last"))
+
+
 @query("node_view", "event_id:l other:l label:s", "WITH {E} SELECT event_id, other, CASE WHEN other >= 1000000 THEN '/data/d' || (other % 7) || '/f' || other ELSE '/usr/bin/u' || other END AS label FROM ends WHERE node = 1000005")
 def node_view(spark, d):
     """V1, V2, J16."""
@@ -233,6 +241,13 @@ def campaign(spark, d):
     return T.campaign(e, truth(e))
 
 
+@query("campaign_edges", "src:l dst:l op:s hop:l")
+def campaign_edges(spark, d):
+    """The edges between the nodes, without cycles."""
+    e = test_edges(spark, d)
+    return T.campaign_edges(e, truth(e))
+
+
 @query("time_slice", "event_id:l", f"WITH {{E}}, s AS (SELECT * FROM e WHERE t BETWEEN 1706400000000000000 AND 1706572800000000000), l AS (SELECT src AS a, dst AS b FROM s UNION SELECT dst, src FROM s), st AS (SELECT node FROM truth), h AS (SELECT node FROM st UNION SELECT b FROM l JOIN st ON a = node) SELECT event_id FROM s WHERE src IN (SELECT node FROM h) AND dst IN (SELECT node FROM h)")
 def time_slice(spark, d):
     """G32, V8."""

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from auditloom.operators import features, memory as R, metrics as M, triage as T
+from auditloom.operators import features, graph as G, memory as R, metrics as M, triage as T
 from auditloom.plans import catalog, core, detection
 
 DATA = "/root/testdata/sf0.001"
@@ -123,3 +123,21 @@ def test_shortest_paths_have_no_limit(spark):
     assert {r.node for r in T.shortest(chain, ends, True).collect()} == set(range(71))
     with pytest.raises(RuntimeError):
         T.shortest(chain, ends, True, rounds=5)
+
+
+def test_temporal_walks(spark):
+    rows = [(0, 1, 2, 5), (1, 2, 3, 6), (2, 2, 4, 4), (3, 1, 9, 10**9)]
+    e = spark.createDataFrame(rows, "event_id long, src long, dst long, t long")
+    start = spark.createDataFrame([(w, 1) for w in range(40)] + [(100, 3), (101, 4)], "walk long, node long")
+    got = {r.walk: r.nodes for r in G.temporal_walks(e, start, 4, 10).collect()}
+    assert all(got[w] == [1, 2, 3] for w in range(40))  # the late edge has next to no weight
+    assert got[100] == [1, 2, 3] and got[101] == [2, 4]  # backward, strictly falling times
+    even = {tuple(r.nodes) for r in G.temporal_walks(e, start.where("walk < 40"), 4).collect()}
+    assert even == {(1, 2, 3), (1, 9)}
+
+
+def test_campaign_edges(spark):
+    rows = [(5, 1, "a"), (1, 5, "b"), (9, 5, "c"), (9, 8, "d"), (8, 1, "e"), (20, 21, "f")]
+    e = spark.createDataFrame(rows, "src long, dst long, op string")
+    got = {tuple(r) for r in T.campaign_edges(e, spark.createDataFrame([(1,), (5,)], "node long")).collect()}
+    assert got == {(1, 5, "a", 0), (5, 9, "c", 1), (1, 8, "e", 1)}
