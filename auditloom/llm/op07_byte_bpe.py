@@ -16,17 +16,18 @@ from itertools import chain
 from operator import itemgetter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 import sentencepiece
-from pyspark import SparkFiles
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import text_or_empty
+from auditloom.llm.common import arrow_map, slices, text_or_empty
 
-#: Entries of a worker's memory of pre-tokens; it is emptied when full.
-CACHE = 300_000
+#: Entries and characters of a worker's memory of pre-tokens; it is emptied when either is reached, and after each task.
+CACHE = 60_000
+CACHE_CHARS = 4 << 20
 
 
 def _byte_map() -> list[str]:
@@ -91,9 +92,15 @@ class Codec:
         self.bytes_of = [bytes(map(CHAR_TO_BYTE.__getitem__, self.pieces.id_to_piece(i))) for i in range(n)]
         self.ints = list(range(n))  # one object for each id, however often the memory holds it
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
 
     def _learn(self, tokens: set[str]) -> None:
         new = list(tokens)
+        self.held += sum(map(len, new))
         mapped = [t.encode().decode("latin-1").translate(_TABLE) for t in new]
         for token, ids in zip(new, self.pieces.encode(mapped, num_threads=1)):
             self.known[token] = (tuple(map(self.ints.__getitem__, ids)), ",".join(map(str, ids)))
@@ -102,8 +109,8 @@ class Codec:
         """Of each text the ids, and the same in decimal joined by commas."""
         for at in range(0, len(texts), 32):
             split = list(map(self.pattern.findall, texts[at : at + 32]))
-            if len(self.known) >= CACHE:
-                self.known.clear()
+            if len(self.known) >= CACHE or self.held >= CACHE_CHARS:
+                self.forget()
             self._learn(set(chain.from_iterable(split)).difference(self.known))
             for tokens in split:
                 parts = list(map(self.known.__getitem__, tokens))
@@ -111,8 +118,8 @@ class Codec:
 
     def counts(self, tokens: list[str]) -> list[int]:
         """How many ids each pre-token has."""
-        if len(self.known) >= CACHE:
-            self.known.clear()
+        if len(self.known) >= CACHE or self.held >= CACHE_CHARS:
+            self.forget()
         new = set(tokens).difference(self.known)
         if new:
             self._learn(new)
@@ -125,67 +132,70 @@ class Codec:
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
-def codec(name: str, pattern: str) -> Codec:
-    """The worker's codec of a model file that the session has distributed."""
-    if (name, pattern) not in _codecs:
-        with open(SparkFiles.get(name), "rb") as f:
-            _codecs[name, pattern] = Codec(f.read(), pattern)
-    return _codecs[name, pattern]
+def codec(model: Broadcast, pattern: str) -> Codec:
+    """The worker's codec of a model that the driver has sent to the executors; one is kept, without its memory."""
+    key = (hashlib.sha256(model.value).hexdigest(), pattern)
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(model.value, pattern)
+    return _codecs[key]
+
 
+def distribute(spark, ranks: str) -> Broadcast:
+    """Serialises the model of a rank file and sends it to all executors: some bytes for each token of the vocabulary."""
+    return spark.sparkContext.broadcast(serialise(read_ranks(ranks)))
 
-def distribute(spark, ranks: str) -> str:
-    """Serialises the model of a rank file and ships it to all executors; returns its name there."""
-    import os
-    import tempfile
 
-    model = serialise(read_ranks(ranks))
-    name = f"byte-bpe-{hashlib.sha256(model).hexdigest()[:16]}.model"
-    path = os.path.join(tempfile.gettempdir(), name)
-    if not os.path.exists(path):
-        with open(path + f".{os.getpid()}", "wb") as f:
-            f.write(model)
-        os.replace(f.name, path)
-    spark.sparkContext.addFile(path)
-    return name
+def _lists(parts: list[list[int]]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(parts), np.int32, count=int(ends[-1]))))
 
 
 def encode_decode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row per document: key, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids array<int> and decoded binary.
 
-    Every whole text is encoded; null counts as empty, which has no ids. Repeated rows are encoded each on
-    its own. Other columns are ignored.
+    Every whole text is encoded; null counts as empty, which has no ids. Keys pass as they are, of whatever
+    type, null or repeated; repeated rows are encoded each on its own. Other columns are ignored, and an
+    empty table gives an empty result.
     """
-    name = distribute(docs.sparkSession, ranks)
+    model = distribute(docs.sparkSession, ranks)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = codec(name, pattern)
-        for pdf in batches:
-            rows = []
-            for doc_id, (ids, joined) in zip(pdf["id"], coder.encode(pdf["text"].tolist())):
-                back = coder.decode(ids)
-                row = (doc_id, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back).hexdigest())
-                rows.append((*row, ids, back) if with_ids else row)
-            yield pd.DataFrame(rows, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        coder = codec(model, pattern)
+        try:
+            for batch in slices(batches):
+                found = list(coder.encode(batch.column("text").to_pylist()))
+                back = [coder.decode(ids) for ids, _ in found]
+                out = {"id": batch.column("id"), "n_tokens": [len(ids) for ids, _ in found], "ids_sha256": [hashlib.sha256(j.encode()).hexdigest() for _, j in found], "decoded_sha256": [hashlib.sha256(b).hexdigest() for b in back]}
+                yield {**out, "ids": _lists([ids for ids, _ in found]), "decoded": back} if with_ids else out
+        finally:
+            coder.forget()
 
-    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
-    names = [c.split()[0] for c in schema.split(", ")]
-    return docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text")).mapInPandas(run, schema).withColumnRenamed("id", key)
+    given = docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text"))
+    schema = f"id {given.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
+    return arrow_map(given, run, schema).withColumnRenamed("id", key)
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """One row per row of documents: doc_id, source, n_tokens, ids array<int>, round_trip boolean. Null texts have no ids."""
-    name = distribute(docs.sparkSession, ranks)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = codec(name, pattern)
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):  # ids take several times the memory of texts
-                some = pdf.iloc[at : at + 256]
-                rows = [(np.array(ids, dtype=np.int32), coder.decode(ids) == text.encode()) for text, (ids, _) in zip(some["text"], coder.encode(some["text"].tolist()))]
-                yield pd.DataFrame({"doc_id": some["doc_id"], "source": some["source"], "n_tokens": [len(r[0]) for r in rows], "ids": [r[0] for r in rows], "round_trip": [r[1] for r in rows]})
-
-    schema = "doc_id long, source string, n_tokens long, ids array<int>, round_trip boolean"
-    return docs.select("doc_id", "source", text_or_empty().alias("text")).mapInPandas(run, schema)
+    """One row per row of documents: doc_id, source, n_tokens, ids array<int>, round_trip boolean.
+
+    Null texts have no ids; null and repeated doc_ids pass as they are; an empty table gives an empty result.
+    """
+    model = distribute(docs.sparkSession, ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        coder = codec(model, pattern)
+        try:
+            for batch in slices(batches, 64):  # ids take several times the memory of texts
+                texts = batch.column("text").to_pylist()
+                found = [ids for ids, _ in coder.encode(texts)]
+                whole = [coder.decode(ids) == text.encode() for ids, text in zip(found, texts)]
+                yield {"doc_id": batch.column("doc_id"), "source": batch.column("source"), "n_tokens": list(map(len, found)), "ids": _lists(found), "round_trip": whole}
+        finally:
+            coder.forget()
+
+    given = docs.select("doc_id", "source", text_or_empty().alias("text"))
+    return arrow_map(given, run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, source string, n_tokens long, ids array<int>, round_trip boolean")
 
 
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -1,154 +1,203 @@
 """Edit-aware token counts: a segment tree of pre-tokens per document, re-encoded only where edits reach.
 
 Pre-tokens are matched from left to right, and a match depends on what follows it only. So after an edit
-matching starts again a few characters before it, at the begin of a pre-token, and stops at the first begin
-beyond the edit that was one before as well: from there on all pre-tokens are as they were. Sums of
-characters and tokens are kept in a tree over blocks of pre-tokens, of which an edit changes single paths.
+matching starts again at the block of pre-tokens that holds a few characters before it, and stops at the first
+block beyond the edit that begins where one began before: from there on all pre-tokens are as they were.
+
+Trees are rows of a table: `chars` and `tokens` hold a segment tree over blocks of pre-tokens as a heap (sums at
+1, children of i at 2i and 2i + 1). Edits, also rows of a table, are applied to it and give the next one, so that
+a count is never taken again from the whole text.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import text_or_empty
+from auditloom.llm.common import arrow_map, shared_dir, slices, text_or_empty
 from auditloom.llm.op07_byte_bpe import Codec, codec, distribute
 
-#: Pre-tokens of a block when the tree is built, and of one that makes it be built anew.
+#: Pre-tokens of a block when it is made, and of one that is cut into several again.
 BLOCK = 32
-FULL = 8 * BLOCK
+FULL = 4 * BLOCK
 #: Characters before an edit from which matching starts: contractions look ahead by two characters.
 CONTEXT = 4
 
+EDITS = "array<struct<at:bigint,deleted:bigint,inserted:string>>"
+
 
 class CountTree:
     """The token count of one text under edits."""
 
-    def __init__(self, text: str, coder: Codec) -> None:
-        self.coder, self.text, self.encoded = coder, text, 0
-        self._build(self._lengths(coder.pattern.findall(text)))
-
-    def _lengths(self, tokens: list[str]) -> list[tuple[int, int]]:
-        self.encoded += len(tokens)
-        return [(len(t), n) for t, n in zip(tokens, self.coder.counts(tokens))]
-
-    def _build(self, leaves: list[tuple[int, int]]) -> None:
-        self.blocks = [leaves[i : i + BLOCK] for i in range(0, len(leaves), BLOCK)] or [[]]
-        self.width = 1 << (len(self.blocks) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for i, block in enumerate(self.blocks):
-            self.chars[self.width + i], self.tokens[self.width + i] = sum(c for c, _ in block), sum(n for _, n in block)
+    def __init__(self, text: str, chars: list[int], tokens: list[int]) -> None:
+        self.text, self.chars, self.tokens, self.width = text, chars, tokens, len(chars) // 2
+        self.encoded = 0
+
+    @classmethod
+    def build(cls, text: str, coder: Codec) -> CountTree:
+        tree = cls(text, [0, 0], [0, 0])
+        tree._grow(tree._blocks(coder.pattern.findall(text), coder))
+        return tree
+
+    def _blocks(self, pieces: list[str], coder: Codec) -> list[tuple[int, int]]:
+        """(characters, tokens) of blocks of fresh pre-tokens."""
+        self.encoded += len(pieces)
+        counts, sizes = coder.counts(pieces), list(map(len, pieces))
+        return [(sum(sizes[i : i + BLOCK]), sum(counts[i : i + BLOCK])) for i in range(0, len(pieces), BLOCK)]
+
+    def _grow(self, blocks: list[tuple[int, int]]) -> None:
+        self.width = 1 << max(0, len(blocks) - 1).bit_length()
+        empty = self.width - len(blocks)
+        self.chars = [0] * self.width + [c for c, _ in blocks] + [0] * empty
+        self.tokens = [0] * self.width + [n for _, n in blocks] + [0] * empty
         for i in range(self.width - 1, 0, -1):
-            for sums in (self.chars, self.tokens):
-                sums[i] = sums[2 * i] + sums[2 * i + 1]
+            self._sum(i)
+
+    def _sum(self, i: int) -> None:
+        self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
 
     @property
     def count(self) -> int:
         return self.tokens[1]
 
-    def _find(self, position: int) -> tuple[int, int, int]:
-        """(block, leaf, begin) of the pre-token that holds the position, or the end."""
+    def _find(self, position: int) -> tuple[int, int]:
+        """(block, its begin): the block that holds the position, or the last one."""
         node, begin = 1, 0
         while node < self.width:
             node *= 2
-            if position >= begin + self.chars[node]:
+            if position >= begin + self.chars[node] and self.chars[node + 1]:
                 begin += self.chars[node]
                 node += 1
-        block = node - self.width
-        if block >= len(self.blocks):
-            return len(self.blocks), 0, self.chars[1]
-        leaf = 0
-        for length, _ in self.blocks[block]:
-            if position < begin + length:
-                break
-            begin += length
-            leaf += 1
-        return block, leaf, begin
-
-    def _resize(self, block: int) -> None:
-        i = self.width + block
-        self.chars[i], self.tokens[i] = sum(c for c, _ in self.blocks[block]), sum(n for _, n in self.blocks[block])
-        while i > 1:
-            i //= 2
-            for sums in (self.chars, self.tokens):
-                sums[i] = sums[2 * i] + sums[2 * i + 1]
-
-    def edit(self, at: int, deleted: int, inserted: str) -> None:
+        return node - self.width, begin
+
+    def edit(self, at: int, deleted: int, inserted: str, coder: Codec) -> None:
         """Replaces `deleted` characters at position `at`; positions outside of the text mean its ends."""
         at = max(0, min(at, len(self.text)))
         deleted = max(0, min(deleted, len(self.text) - at))
-        first, leaf, begin = self._find(max(0, at - CONTEXT))
-        if first == len(self.blocks):
-            first, leaf = first - 1, len(self.blocks[-1])
+        first, begin = self._find(max(0, at - CONTEXT))
         self.text = self.text[:at] + inserted + self.text[at + deleted :]
         shift, safe = len(inserted) - deleted, at + deleted
-        # Old begins from the edit's end on, walked along with the new matches.
-        block, index, old = first, leaf, begin
-        new, tokens = begin, []
-        for match in self.coder.pattern.finditer(self.text, begin):
+        # Begins of old blocks, walked along with the new matches.
+        block, old = first + 1, begin + self.chars[self.width + first]
+        pieces: list[str] = []
+        for match in coder.pattern.finditer(self.text, begin):
             new = match.start()
-            while block < len(self.blocks) and old + shift < new:
-                if index < len(self.blocks[block]):
-                    old += self.blocks[block][index][0]
-                    index += 1
-                else:
-                    block, index = block + 1, 0
-            if old >= safe and old + shift == new:
+            while block < self.width and (old + shift < new or old < safe):
+                old += self.chars[self.width + block]
+                block += 1
+            if block < self.width and old + shift == new:
                 break
-            tokens.append(match.group())
-        else:
-            block, index = len(self.blocks), 0
-        fresh = self._lengths(tokens)
-        if block == first:
-            self.blocks[first][leaf:index] = fresh
+            pieces.append(match.group())
         else:
-            rest = self.blocks[block][index:] if block < len(self.blocks) else []
-            self.blocks[first][leaf:] = fresh
-            for b in range(first + 1, min(block, len(self.blocks))):
-                self.blocks[b] = []
-                self._resize(b)
-            if block < len(self.blocks):
-                self.blocks[block] = rest
-                self._resize(block)
-        self._resize(first)
-        if len(self.blocks[first]) > FULL:
-            self._build([leaf for b in self.blocks for leaf in b])
-
-
-def edits_of(text: str) -> list[tuple[int, int, str]]:
+            block = self.width
+        fresh = self._blocks(pieces, coder)
+        room = block - first
+        if len(fresh) * BLOCK > room * FULL:
+            leaves = list(zip(self.chars[self.width :], self.tokens[self.width :]))
+            self._grow([x for x in (*leaves[:first], *fresh, *leaves[block:]) if x[0]])
+            return
+        each = -(-len(fresh) // room) if fresh else 1
+        for k in range(room):
+            some = fresh[k * each : (k + 1) * each]
+            self.chars[self.width + first + k], self.tokens[self.width + first + k] = sum(c for c, _ in some), sum(n for _, n in some)
+        low, high = self.width + first, self.width + block - 1
+        while low > 1:
+            low, high = low // 2, high // 2
+            for i in range(low, high + 1):
+                self._sum(i)
+
+
+def _ints(parts: list[list[int]]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array([x for p in parts for x in p], dtype=np.int32)))
+
+
+def build_trees(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, text, n_tokens, n_pre_tokens, chars, tokens): a row per document with the tree of its whole text.
+
+    Null counts as empty. Keys pass as they are, null or repeated; other columns are ignored, and an empty table
+    gives an empty result.
+    """
+    model = distribute(docs.sparkSession, ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        coder = codec(model, pattern)
+        try:
+            for batch in slices(batches, 128):
+                trees = [CountTree.build(t, coder) for t in batch.column("text").to_pylist()]
+                yield {"id": batch.column("id"), "text": batch.column("text"), "n_tokens": [t.count for t in trees], "n_pre_tokens": [t.encoded for t in trees], "chars": _ints([t.chars for t in trees]), "tokens": _ints([t.tokens for t in trees])}
+        finally:
+            coder.forget()
+
+    given = docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text"))
+    schema = f"id {given.schema['id'].dataType.simpleString()}, text string, n_tokens long, n_pre_tokens long, chars array<int>, tokens array<int>"
+    return arrow_map(given, run, schema).withColumnRenamed("id", key)
+
+
+def with_edits(trees: DataFrame, edits: DataFrame, key: str = "doc_id") -> DataFrame:
+    """trees with `edits`: of the table edits (key, seq, at, deleted, inserted) those of each key in the order of seq.
+
+    All rows of a key get them; trees without any stay as they are. A null key has edits only if the table has
+    some under null.
+    """
+    one = F.struct("seq", F.struct(F.col("at").cast("long").alias("at"), F.col("deleted").cast("long").alias("deleted"), F.coalesce("inserted", F.lit("")).alias("inserted")).alias("e"))
+    lists = edits.groupBy(F.col(key).alias("__key")).agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["e"]).alias("edits"))
+    return trees.join(lists, trees[key].eqNullSafe(lists["__key"]), "left").drop("__key").withColumn("edits", F.coalesce("edits", F.array().cast(EDITS)))
+
+
+def apply_edits(trees: DataFrame, ranks: str, pattern: str, key: str = "doc_id") -> DataFrame:
+    """Trees with a column `edits` after these: (key, text, n_tokens, chars, tokens, n_reencoded).
+
+    Edits are applied one after the other, each to the text that the ones before left. n_reencoded tells how many
+    pre-tokens they made be encoded; the rest of the sums is kept.
+    """
+    model = distribute(trees.sparkSession, ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        coder = codec(model, pattern)
+        try:
+            for batch in slices(batches, 128):
+                done = []
+                for text, chars, tokens, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "chars", "tokens", "edits"))):
+                    tree = CountTree(text, chars, tokens)
+                    for e in edits:
+                        tree.edit(e["at"], e["deleted"], e["inserted"], coder)
+                    done.append(tree)
+                yield {"id": batch.column("id"), "text": [t.text for t in done], "n_tokens": [t.count for t in done], "chars": _ints([t.chars for t in done]), "tokens": _ints([t.tokens for t in done]), "n_reencoded": [t.encoded for t in done]}
+        finally:
+            coder.forget()
+
+    given = trees.select(F.col(key).alias("id"), "text", "chars", "tokens", F.col("edits").cast(EDITS).alias("edits"))
+    schema = f"id {given.schema['id'].dataType.simpleString()}, text string, n_tokens long, chars array<int>, tokens array<int>, n_reencoded long"
+    return arrow_map(given, run, schema).withColumnRenamed("id", key)
+
+
+def sample_edits(text: str = "text"):
     """The edits of the query: a word put in at a third, three characters replaced in the middle, nine removed near the end."""
-    n = len(text)
-    return [(n // 3, 0, " revised,"), (n // 2, 3, "'s 42\n"), (n - n // 5, 9, "")]
+    n = F.length(text).cast("long")
+    one = lambda at, deleted, inserted: F.struct(at.cast("long").alias("at"), F.lit(deleted).cast("long").alias("deleted"), F.lit(inserted).alias("inserted"))
+    return F.array(one(F.floor(n / 3), 0, " revised,"), one(F.floor(n / 2), 3, "'s 42\n"), one(n - F.floor(n / 5), 9, ""))
 
 
-def count_edited(docs: DataFrame, ranks: str, pattern: str, edits=edits_of, text: str = "text", key: str = "doc_id") -> DataFrame:
+def count_edited(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: key, n_tokens, n_tokens_edited, n_pre_tokens, n_reencoded, edited_sha256.
 
-    Of every whole text the count before and after the edits that edits(text) lists, and how many pre-tokens
-    these made be encoded again. Null counts as empty, which can be edited as well. Repeated rows are counted
-    each on its own; other columns are ignored, and an empty table gives an empty result.
+    Trees of all whole texts are written to the shared folder, and the edits of sample_edits are applied to what is
+    read from there. Null counts as empty, which can be edited as well. Null and repeated keys stay rows of their
+    own; other columns are ignored, and an empty table gives an empty result.
     """
-    name = distribute(docs.sparkSession, ranks)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = codec(name, pattern)
-        for pdf in batches:
-            rows = []
-            for doc_id, value in zip(pdf["id"], pdf["text"]):
-                tree = CountTree(value, coder)
-                before, whole = tree.count, tree.encoded
-                changes: Sequence[tuple[int, int, str]] = edits(value)
-                for change in changes:
-                    tree.edit(*change)
-                rows.append((doc_id, before, tree.count, whole, tree.encoded - whole, hashlib.sha256(tree.text.encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=["id", "n_tokens", "n_tokens_edited", "n_pre_tokens", "n_reencoded", "edited_sha256"])
-
-    schema = "id long, n_tokens long, n_tokens_edited long, n_pre_tokens long, n_reencoded long, edited_sha256 string"
-    return docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text")).mapInPandas(run, schema).withColumnRenamed("id", key)
+    path = f"{shared_dir(docs.sparkSession)}-trees-{uuid.uuid4().hex[:8]}.parquet"
+    build_trees(docs, ranks, pattern, text, key).write.parquet(path)
+    trees = docs.sparkSession.read.parquet(path)
+    # The row's own counts travel inside the key, as keys may be null or repeat.
+    named = trees.select(F.struct(key, "n_tokens", "n_pre_tokens").alias("row"), "text", "chars", "tokens", sample_edits().alias("edits"))
+    done = apply_edits(named, ranks, pattern, "row")
+    return done.select(f"row.{key}", "row.n_tokens", F.col("n_tokens").alias("n_tokens_edited"), "row.n_pre_tokens", "n_reencoded", F.sha2("text", 256).alias("edited_sha256"))
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -3,8 +3,10 @@
 The score of a document with the set of terms S is the logistic function of
 b + sum w_i + sum over pairs <v_i, v_j>: beside the weight of each term the model learns how pairs of
 terms act together, which additive weights miss. Terms are the distinct words of the whole text and the
-beginnings of its longer words, which stand for inflected forms. Terms whose presence tells nothing of
-the label by a likelihood-ratio test take no part: a long clean text is then no sum of small accidents.
+beginnings of its longer words, which stand for inflected forms. Terms take part whose presence tells of the
+label by a likelihood-ratio test, or which do so in a pair: among texts with the one term, the other tells, and
+the other way round. A long clean text is then no sum of small accidents, and terms that are neutral alone can
+still act together.
 """
 
 from __future__ import annotations
@@ -14,22 +16,27 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import text_or_empty
+from auditloom.llm.common import arrow_map, durable, slices, text_or_empty
 
-#: The bound of the sample of labelled rows that the model is fitted on: those of least hash.
+#: The bounds of the sample of labelled rows that the model is fitted on, those of least hash: rows, and bytes of their terms.
 SAMPLE_ROWS = 16_000
+SAMPLE_BYTES = 64 << 20
 BUCKETS = 1 << 18
 FACTORS = 6
 EPOCHS = 30
 THRESHOLD = 0.7
 STEMS = (3, 4, 5)
 #: The least likelihood-ratio statistic of a term that takes part.
-TELLING = 16.0
-_CACHE = 400_000
+TELLING = 12.0
+#: The same for either term of a pair, among texts with the other; pairs are tried among so many of the most frequent terms.
+TELLING_PAIR = 40.0
+PAIRED = 1024
+#: Words that a worker remembers; it forgets them when it is full, and after each task.
+_CACHE = 60_000
 
 
 @dataclass
@@ -83,18 +90,54 @@ class Terms:
         return np.fromiter(out, dtype=np.int32, count=len(out))
 
 
+def _ratio(table: np.ndarray) -> np.ndarray:
+    """The likelihood-ratio statistic of 2 x 2 tables [a, b, c, d], where a and c have label 1 and a and b the term."""
+    a, b, c, d = table
+    n = a + b + c + d
+    out = np.zeros(np.broadcast_shapes(a.shape, d.shape))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for cell, row, column in ((a, a + b, a + c), (b, a + b, b + d), (c, c + d, a + c), (d, c + d, b + d)):
+            out += np.where(cell > 0, cell * np.log(cell * n / (row * column)), 0.0)
+    return 2 * out
+
+
 def telling(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Of each bucket: is the likelihood ratio of label and presence at least TELLING?"""
+    """Of each bucket: does it take part, by itself or in a pair?"""
     n, positive = len(docs), float(np.sum(labels))
     lengths = [len(d) for d in docs]
     ids = np.concatenate(docs)
     have = np.bincount(ids, minlength=BUCKETS).astype(float)
     toxic = np.bincount(ids, weights=np.repeat(labels, lengths), minlength=BUCKETS)
-    table = np.stack([toxic, have - toxic, positive - toxic, n - have - positive + toxic])
-    expected = np.stack([have * positive, have * (n - positive), (n - have) * positive, (n - have) * (n - positive)]) / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        parts = np.where(table > 0, table * np.log(table / expected), 0.0)
-    return 2 * parts.sum(axis=0) >= TELLING
+    out = _ratio(np.stack([toxic, have - toxic, positive - toxic, n - have - positive + toxic])) >= TELLING
+    # Pairs of the most frequent terms; what all texts or next to none hold can't tell.
+    usual = np.argsort(-np.where(have < n, have, 0), kind="stable")[:PAIRED]
+    usual = usual[have[usual] >= 10]
+    usual = usual[have[usual] < n]
+    place = np.full(BUCKETS, -1, np.int64)
+    place[usual] = np.arange(len(usual))
+    both, bad = (np.zeros((len(usual), len(usual)), np.float32) for _ in range(2))
+    for at in range(0, n, 1024):
+        part = docs[at : at + 1024]
+        x = np.zeros((len(part), len(usual)), np.float32)
+        for row, d in zip(x, part):
+            at_usual = place[d]
+            row[at_usual[at_usual >= 0]] = 1
+        both += x.T @ x
+        x = x[np.asarray(labels[at : at + 1024]) > 0]
+        bad += x.T @ x
+    total, total_bad = have[usual], toxic[usual]
+
+    def within(rows: slice) -> np.ndarray:
+        """Of each pair (i, j): the statistic of j among texts with i."""
+        n_ij, t_ij = both[rows].astype(float), bad[rows].astype(float)
+        n_i, t_i = total[rows, None], total_bad[rows, None]
+        return _ratio((t_ij, n_ij - t_ij, t_i - t_ij, n_i - n_ij - t_i + t_ij))
+
+    strong = np.zeros((len(usual), len(usual)), bool)
+    for at in range(0, len(usual), 128):
+        strong[at : at + 128] = within(slice(at, at + 128)) >= TELLING_PAIR
+    out[usual[(strong & strong.T).any(axis=1)]] = True
+    return out
 
 
 def fit(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, rate: float = 0.1, decay: float = 2e-5) -> Machine:
@@ -148,50 +191,62 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     be empty.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).where(~held_out(key))
-    known = known.groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("y_max")).where("y = y_max")
-    chosen = known.orderBy(F.xxhash64(F.col(key)), key).limit(sample_rows).select(key, "y")
-    texts = docs.select(key, text_or_empty(text).alias("text")).join(F.broadcast(chosen), key)
+    known = known.groupBy(F.col(key).alias("__key")).agg(F.min(label).cast("int").alias("__y"), F.max(label).alias("y_max")).where("__y = y_max")
+    chosen = known.orderBy(F.xxhash64("__key"), "__key").limit(sample_rows).select("__key", "__y")
+    # Keys may repeat in docs; the bound holds for rows as well.
+    texts = docs.select(F.col(key).alias("id"), text_or_empty(text).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("__key"))
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         terms = Terms()
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf[key], "y": pdf["y"], "terms": [np.sort(terms.of(t)).tobytes() for t in pdf["text"]]})
-
-    # Keys may repeat in docs; the bound holds for rows as well.
-    rows = texts.mapInPandas(hashed, "id long, y int, terms binary").orderBy("id", "terms").limit(sample_rows).collect()
+        for batch in slices(batches):
+            yield {"id": batch.column("id"), "y": batch.column("y"), "terms": [np.sort(terms.of(t)).tobytes() for t in batch.column("text").to_pylist()]}
+
+    given = texts.select("id", F.col("__y").alias("y"), "text")
+    rows = durable(arrow_map(given, hashed, f"id {given.schema['id'].dataType.simpleString()}, y int, terms binary"))
+    order = [F.xxhash64("id"), F.col("id"), F.md5("terms")]
+    sizes = rows.select("id", F.octet_length("terms").alias("n"), F.md5("terms").alias("m")).orderBy(F.xxhash64("id"), "id", "m").limit(sample_rows).collect()
+    most = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), SAMPLE_BYTES, side="right"))
+    rows = rows.orderBy(*order).limit(min(most, len(sizes))).collect() if most else []
     if not rows:
         return Machine(0.0, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
     return fit([np.frombuffer(r["terms"], dtype=np.int32) for r in rows], np.array([r["y"] for r in rows], dtype=np.float32))
 
 
-def score(docs: DataFrame, model: Machine, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep, then score double: 0 to 1, higher is likelier toxic. Null texts count as empty."""
+def score(docs: DataFrame, model: Machine, text: str = "text", keep: tuple[str, ...] = ("doc_id",), below: float | None = None) -> DataFrame:
+    """The columns of keep, then score double: 0 to 1, higher is likelier toxic. Null texts count as empty.
+
+    With `below` only rows of a smaller score come out: the others end where they are scored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights, model.vectors))
-    terms: list[Terms] = []
 
-    @F.pandas_udf("double")
-    def toxic(texts: pd.Series) -> pd.Series:
-        if not terms:
-            terms.append(Terms(shared.value[1] != 0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         machine = Machine(*shared.value)
-        out = np.empty(len(texts))
-        for at in range(0, len(texts), 256):
-            sets = [terms[0].of(t) for t in texts.iloc[at : at + 256]]
+        terms = Terms(machine.weights != 0)
+        for batch in slices(batches):
+            sets = [terms.of(t) for t in batch.column("__text").to_pylist()]
             starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            out[at : at + 256] = machine.logits(np.concatenate(sets), starts)
-        return pd.Series(1 / (1 + np.exp(-np.clip(out, -30, 30))))
+            found = 1 / (1 + np.exp(-np.clip(machine.logits(np.concatenate(sets), starts), -30, 30)))
+            out = {**{c: batch.column(f"__{i}") for i, c in enumerate(keep)}, "score": pa.array(found)}
+            if below is not None:
+                stays = pa.array(found < below)
+                out = {c: v.filter(stays) for c, v in out.items()}
+            yield {f"__{i}": v for i, v in enumerate(out.values())}
 
-    return docs.select(*keep, toxic(text_or_empty(text)).alias("score"))
+    given = docs.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)), text_or_empty(text).alias("__text"))
+    schema = ", ".join([*(f"__{i} {given.schema[f'__{i}'].dataType.simpleString()}" for i in range(len(keep))), f"__{len(keep)} double"])
+    out = arrow_map(given, run, schema)
+    return out.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate([*keep, "score"])))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Every row is scored over its whole text, empty and repeated ones too. labels may be empty: then all
-    scores are alike. Extra columns are ignored.
+    Every row is scored over its whole text, empty and repeated ones too. A null doc_id is not held out and has no
+    label. labels may be empty: then all scores are alike. Keys that are labelled both ways, and labels other than 0
+    and 1, are left out of the fit. Extra columns, also those of clashing names, are ignored.
     """
     scored = score(docs, train(docs, labels))
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

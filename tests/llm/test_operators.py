@@ -40,7 +40,7 @@ def corpus(seed=1):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, "en", f"s{i % 3}" if i % 7 else None, len(t or ""), -1, "x", 0, "y") for i, t in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(i, t, "en", f"s{i % 3}" if i and i % 7 else None, len(t or ""), -1, "x", 0, "y") for i, t in rows], SCHEMA).repartition(3)
 
 
 def test_exact_dedup(spark):
@@ -248,21 +248,50 @@ def test_edited_counts(spark):
     enc, rng = encoding(), random.Random(8)
     some = lambda n: "".join(rng.choice("ab  \n\té1!'svre") for _ in range(rng.randint(0, n)))
     for _ in range(60):
-        tree = op08_token_counts.CountTree(some(rng.choice([0, 10, 300, 3000])), coder)
-        text = tree.text
-        for _ in range(8):
-            at, gone, new = rng.randint(0, len(text)), rng.choice([0, 0, 1, 3, 50, 500]), some(rng.choice([0, 2, 10, 400]))
-            tree.edit(at, gone, new)
+        text = some(rng.choice([0, 10, 300, 3000]))
+        tree = op08_token_counts.CountTree.build(text, coder)
+        for _ in range(12):
+            at, gone, new = rng.randint(0, len(text)), rng.choice([0, 0, 1, 3, 50, 500]), some(rng.choice([0, 2, 10, 400, 6000]))
+            tree.edit(at, gone, new, coder)
             text = text[:at] + new + text[at + gone :]
             assert tree.text == text and tree.count == len(enc.encode_ordinary(text))
+            assert tree.chars[1] == len(text)
     rows = corpus(9)
     for r in op08_token_counts.count_edited(frame(spark, rows), RANKS, public_tokenizers.PATTERN).collect():
         text = dict(rows)[r.doc_id] or ""
+        n = len(text)
         assert r.n_tokens == len(enc.encode_ordinary(text))
-        for at, gone, new in op08_token_counts.edits_of(text):
+        for at, gone, new in [(n // 3, 0, " revised,"), (n // 2, 3, "'s 42\n"), (n - n // 5, 9, "")]:
             text = text[:at] + new + text[at + gone :]
         assert r.n_tokens_edited == len(enc.encode_ordinary(text))
-        assert r.n_reencoded <= max(60, r.n_pre_tokens // 4)
+        assert r.edited_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert r.n_reencoded <= max(300, r.n_pre_tokens // 4)
+
+
+def test_edits_apply_to_stored_trees(spark, tmp_path):
+    """Counts go on from table to table; only what edits touch is encoded again."""
+    enc = encoding()
+    texts = {1: words(random.Random(1), 5000), 2: "short one", 3: ""}
+    trees = op08_token_counts.build_trees(frame(spark, list(texts.items())), RANKS, public_tokenizers.PATTERN)
+    for step, edits in enumerate([[(1, 0, 9000, 4, "put in"), (1, 1, 20, 0, " twice"), (3, 0, 0, 0, "new")], [(1, 0, 100, 50, None), (2, 0, 99, 9, "!")]]):
+        trees.write.parquet(f"{tmp_path}/{step}")
+        table = spark.createDataFrame(edits, "doc_id long, seq int, at int, deleted int, inserted string")
+        trees = op08_token_counts.apply_edits(op08_token_counts.with_edits(spark.read.parquet(f"{tmp_path}/{step}"), table), RANKS, public_tokenizers.PATTERN)
+        for doc, _, at, gone, new in edits:
+            texts[doc] = texts[doc][:at] + (new or "") + texts[doc][at + gone :]
+        for r in trees.collect():
+            assert r.text == texts[r.doc_id] and r.n_tokens == len(enc.encode_ordinary(r.text)) and r.n_reencoded < 400
+
+
+def test_ids_are_exact_beside_nulls(spark):
+    big = (1 << 60) + 1
+    rows = [(big, "a text"), (None, "another"), (None, None), (big, "a text"), (big - 1, "")]
+    df, want = frame(spark, rows), sorted([str(i) for i, _ in rows])
+    for got in (
+        op07_byte_bpe.encode_decode(df, RANKS, public_tokenizers.PATTERN), op07_byte_bpe.encode_documents(df, RANKS, public_tokenizers.PATTERN),
+        op08_token_counts.count_edited(df, RANKS, public_tokenizers.PATTERN),
+    ):
+        assert sorted(str(r.doc_id) for r in got.collect()) == want
 
 
 def test_sharding(spark):
@@ -309,19 +338,43 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
 
 
-def test_pairs_of_terms_matter():
-    """Neither of two terms tells the label alone: the interaction must be learnt."""
+@pytest.mark.parametrize("rule", [lambda a, b: a and b, lambda a, b: a != b], ids=["both", "either"])
+def test_pairs_of_terms_matter(rule):
+    """Terms that act together: an insult with a mention, and two of which neither tells the label alone."""
     rng = np.random.default_rng(0)
     docs, labels = [], []
     for _ in range(1200):
         a, b = rng.random(2) < 0.5
         noise = [int(x) for x in rng.integers(10, 40, 5)]
-        docs.append(np.unique(np.array([*noise, *([1] if a else [2]), *([3] if b else [4])], dtype=np.int32)))
-        labels.append(float(a and b))
+        docs.append(np.unique(np.array([*noise, *([1] if a else []), *([3] if b else [])], dtype=np.int32)))
+        labels.append(float(rule(a, b)))
     model = op10_toxicity.fit(docs, np.array(labels, dtype=np.float32))
-    ids, starts = np.array([1, 3, 1, 4, 2, 3, 2, 4], dtype=np.int32), np.array([0, 2, 4, 6, 8])
+    assert set(np.flatnonzero(model.weights)) == {1, 3}
+    ids, starts = np.array([1, 3, 1, 3], dtype=np.int32), np.array([0, 2, 3, 4, 4])
     score = 1 / (1 + np.exp(-model.logits(ids, starts)))
-    assert score[0] > 0.7 and (score[1:] < 0.5).all()
+    for (a, b), p in zip([(1, 1), (1, 0), (0, 1), (0, 0)], score):
+        assert (p > 0.7) == bool(rule(bool(a), bool(b)))
+
+
+def test_fit_is_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, words(random.Random(i), 200, 5000) + (" moronic" if i % 2 else "")) for i in range(200)]
+    labels = labelled(spark, [(i, 1, i % 2) for i in range(200)])
+    monkeypatch.setattr(op10_toxicity, "SAMPLE_BYTES", 120_000)
+    seen = []
+    monkeypatch.setattr(op10_toxicity, "fit", lambda docs, y: seen.append(sum(d.nbytes for d in docs)) or op10_toxicity.Machine(0.0, np.zeros(8), np.zeros((8, 2))))
+    op10_toxicity.train(frame(spark, rows), labels)
+    assert 60_000 < seen[0] <= 120_000
+
+
+def test_toxicity_keys(spark):
+    """Null keys, keys labelled both ways, labels other than 0 and 1, repeated rows."""
+    big = (1 << 60) + 1
+    rows = [(None, "w1 w2"), (big, "w1 w2"), (big, "w1 w2"), (7, "moronic")] + [(100 + i, "w1 moronic" if i % 2 else "w1 w2") for i in range(200)]
+    labels = [(100 + i, 1, i % 2) for i in range(200)] + [(7, 1, 0), (7, 1, 1), (None, 1, 1), (big, 1, 2)]
+    got = op10_toxicity.toxicity(frame(spark, rows), labelled(spark, labels)).collect()
+    assert len(got) == len(rows) and sum(r.doc_id == big for r in got) == 2
+    assert [(r.held_out, r.predicted) for r in got if r.doc_id is None] == [(False, 0)]
+    assert [r.predicted for r in got if r.doc_id == 7] == [1]
 
 
 def test_empty_tables(spark):
