@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -33,12 +35,15 @@ _shipped: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors once a session, for clusters on which it isn't installed, and bounds Arrow batches."""
-    # Rows may hold very long texts: small batches bound what a Python worker and its buffers hold at once.
+    # Rows may hold very long texts: small batches, by rows and bytes, bound what a Python worker and its buffers hold at once.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     if spark.sparkContext.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(), f"{root.name}.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{root.name}.zip")
     with zipfile.ZipFile(path, "w") as out:
         for file in sorted(root.rglob("*.py")):
             out.write(file, str(file.relative_to(root.parent)))
