@@ -15,10 +15,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the threshold of the score; the others go."""
+    """Documents below the threshold of the score; the others go. Null texts count as empty and are scored like any other.
+
+    Null and repeated doc_ids are rows like any other; extra columns are dropped; an empty table, or one without
+    labels, loses no row.
+    """
     ship_package(spark)
     model = op10_toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return op10_toxicity.score(docs, model, keep=tuple(COLUMNS)).where(F.col("score") < op10_toxicity.THRESHOLD).select(*COLUMNS)
+    return op10_toxicity.score(docs, model, keep=tuple(COLUMNS), below=op10_toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
