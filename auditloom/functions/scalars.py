@@ -192,12 +192,6 @@ def display_label(path: Column, cmd: Column) -> Column:
     return F.replace(F.concat_ws("-", F.coalesce(path, F.lit("None")), F.coalesce(cmd, F.lit("None"))), F.lit("None-"), F.lit(""))
 
 
-def hashed_features(parts: Column, width: int) -> Column:
-    """counts of hashed parts with signs taken from the hash."""
-    cells = F.transform(parts, lambda p: F.struct(F.pmod(F.hash(p), F.lit(width)).alias("at"), F.when(F.xxhash64(p) >= 0, 1.0).otherwise(-1.0).alias("sign")))
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(F.filter(cells, lambda c: c["at"] == i), F.lit(0.0), lambda s, c: s + c["sign"]))
-
-
 def contains_any(text: Column, words: Iterable[str]) -> Column:
     """Any of the words is in the text, by case."""
     found = F.lit(False)

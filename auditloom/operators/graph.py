@@ -3,17 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.operators import ranks
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A round's result, cut off its lineage through the cluster's checkpoint folder."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_rounds"
-        spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint()
+_kept = ranks.kept
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -45,10 +40,23 @@ def closure(edges: DataFrame, start: DataFrame, forward: bool = True, rounds: in
     raise RuntimeError("the closure takes more rounds than allowed")
 
 
+def reachable(edges: DataFrame, start: DataFrame, forward: bool = True, rounds: int = 1000) -> DataFrame:
+    """(node) that any of start(node) reaches, itself included: one row a node, however many starts reach it."""
+    a, b = ("src", "dst") if forward else ("dst", "src")
+    links = _kept(edges.select(F.col(a).alias("__a"), F.col(b).alias("__b")).distinct())
+    seen = front = _kept(start.select("node").distinct())
+    for _ in range(rounds):
+        step = front.join(links, front["node"] == links["__a"]).select(F.col("__b").alias("node")).distinct()
+        front = _kept(step.join(seen, "node", "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = _kept(seen.unionByName(front))
+    raise RuntimeError("the search takes more rounds than allowed")
+
+
 def between_nodes(edges: DataFrame, entry: DataFrame, exit_: DataFrame) -> DataFrame:
     """Nodes on any path from the entries to the exits: descendants of the one and ancestors of the other."""
-    down = closure(edges, entry).select("node").distinct()
-    return down.join(closure(edges, exit_, forward=False).select("node").distinct(), "node", "left_semi")
+    return reachable(edges, entry).join(reachable(edges, exit_, forward=False), "node", "left_semi")
 
 
 def temporal_reach(edges: DataFrame, start: DataFrame, hops: int, forward: bool = True, strict: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions.scalars import edge_cost
@@ -29,9 +29,11 @@ class IncidentConfig:
     beta: float = 1.0
     gamma: float = 1.0
     penalties: dict[str, float] = field(default_factory=dict)
-    group_by: str | None = None
+    group_by: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
+        if isinstance(self.group_by, str):
+            object.__setattr__(self, "group_by", (self.group_by,))
         for f in fields(self):
             v = getattr(self, f.name)
             if isinstance(f.default, bool) or not isinstance(f.default, (int, float)):
@@ -52,14 +54,25 @@ def nearest_seed(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return both.withColumn("near", F.least(F.coalesce(F.col("t") - F.col("before"), far), F.coalesce(F.col("seed_t_asof") - F.col("t"), far))).drop("before", "seed_t_asof")
 
 
+def metadata(columns: list[str], attribute: str) -> Column:
+    """I4: of an edge its own attribute where edges have one, else that on which its nodes (src_ and dst_<attribute>) agree; null if they don't or it is unknown."""
+    if attribute in columns:
+        return F.col(attribute)
+    one, two = (F.col(f"{end}_{attribute}") if f"{end}_{attribute}" in columns else F.lit(None).cast("string") for end in ("src", "dst"))
+    return F.when(one.isNull() | two.isNull() | (one == two), F.coalesce(one, two))
+
+
 def seed_pairs(seeds: DataFrame, config: IncidentConfig) -> DataFrame:
-    """Pairs of seeds (a, b) of a window that lie at most max_gap apart; more than the budget are an error."""
-    rows = seeds.select("event_id", "w", "src", "dst", "t", *([config.group_by] if config.group_by else []))
+    """Pairs of seeds (a, b) of a window that lie at most max_gap apart; more than the budget are an error.
+
+    Of each attribute of group_by two known values must be equal.
+    """
+    groups = {f"__g{i}": metadata(seeds.columns, g) for i, g in enumerate(config.group_by)}
+    rows = seeds.select("event_id", "w", "src", "dst", "t", *(c.alias(n) for n, c in groups.items()))
     pairs = band_join(rows, rows, config.max_gap, keys=["w"])
     pairs = pairs.where("t < t_r or (t = t_r and event_id < event_id_r)")
-    if config.group_by:  # a conflict only if both are known
-        g = config.group_by
-        pairs = pairs.where(F.col(g).isNull() | F.col(f"{g}_r").isNull() | (F.col(g) == F.col(f"{g}_r")))
+    for g in groups:  # a conflict only if both are known
+        pairs = pairs.where(F.col(g).isNull() | F.col(f"{g}_r").isNull() | (F.col(g) == F.col(f"{g}_r"))).drop(g, f"{g}_r")
     n = pairs.count()
     if n > config.max_seed_pairs:
         raise RuntimeError(f"{n} pairs of seeds exceed the budget of {config.max_seed_pairs}")
@@ -72,23 +85,42 @@ def shared_ends(pairs: DataFrame) -> DataFrame:
 
 
 def ancestor_links(edges: DataFrame, pairs: DataFrame, config: IncidentConfig) -> DataFrame:
-    """(a, b, cost, path): the cheapest two paths back in time, by ancestry operations, to a common ancestor."""
-    back = edges.where(F.col("op").isin(*config.ancestry_ops)) if config.ancestry_ops else edges.limit(0)
-    ends = pairs.select(F.col("event_id").alias("seed"), "src", "t").unionByName(pairs.select(F.col("event_id_r").alias("seed"), F.col("src_r").alias("src"), F.col("t_r").alias("t"))).distinct()
-    state = ends.select("seed", F.col("src").alias("node"), F.col("t").alias("at"), F.lit(0.0).alias("cost"), F.array().cast("array<long>").alias("path"))
+    """(a, b, cost, path): of pairs of seeds the cheapest two paths back in time, by ancestry operations, to a common ancestor.
+
+    Paths begin at both ends of a seed and at its time, and reach back to max_gap before the earlier seed at most.
+    An event that both paths use counts once. More search states for a seed than the budget are an error. Of equal
+    costs the path of fewest events, then of least ids, counts.
+    """
+    back = edges.where(F.col("op").isin(*config.ancestry_ops)).select(F.col("src").alias("__p"), F.col("dst").alias("__c"), F.col("t").alias("__t"), F.col("event_id").alias("__e"), F.col("cost").cast("double").alias("__cost"))
+    back = graph._kept(back)
+    ends = pairs.select(F.col("event_id").alias("seed"), "src", "dst", "t").unionByName(pairs.select(F.col("event_id_r").alias("seed"), F.col("src_r").alias("src"), F.col("dst_r").alias("dst"), F.col("t_r").alias("t"))).distinct()
+    none = F.array().cast("array<struct<e:bigint,c:double>>").alias("path")
+    state = graph._kept(ends.select("seed", "t", F.explode(F.array("src", "dst")).alias("node"), F.col("t").alias("at"), F.lit(0.0).alias("cost"), none).distinct())
     found = state
+    best = Window.partitionBy("seed", "node", "at").orderBy("cost", F.size("path"), F.col("path.e"))
     for _ in range(config.ancestry_hops):
-        step = state.join(back.select(F.col("src").alias("__p"), F.col("dst").alias("__c"), F.col("t").alias("__t"), F.col("event_id").alias("__e"), F.col("cost").alias("__cost")), F.col("node") == F.col("__c")).where("__t <= at")
-        state = step.select("seed", F.col("__p").alias("node"), F.col("__t").alias("at"), (F.col("cost") + F.col("__cost")).alias("cost"), F.concat("path", F.array("__e")).alias("path"))
-        found = found.unionByName(state)
-    rank = Window.partitionBy("seed", "node").orderBy("cost", F.size("path"), "path")
-    found = found.withColumn("rn", F.row_number().over(rank)).where("rn = 1").drop("rn", "at")
-    one, two = (found.select(F.col("seed").alias(s), "node", F.col("cost").alias(f"c_{s}"), F.col("path").alias(f"p_{s}")) for s in ("a", "b"))
-    named = pairs.select(F.col("event_id").alias("a"), F.col("event_id_r").alias("b"))
-    both = named.join(one, "a").join(two, ["b", "node"])
-    both = both.select("a", "b", (F.col("c_a") + F.col("c_b")).alias("cost"), F.concat("p_a", "p_b").alias("path"))
-    best = Window.partitionBy("a", "b").orderBy("cost", F.size("path"), "path")
-    return both.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
+        # No pair reaches back further than twice the gap from either of its seeds.
+        step = state.join(back, F.col("node") == F.col("__c")).where((F.col("__t") <= F.col("at")) & (F.col("__t") >= F.col("t") - 2 * config.max_gap))
+        step = step.select("seed", "t", F.col("__p").alias("node"), F.col("__t").alias("at"), (F.col("cost") + F.col("__cost")).alias("cost"), F.concat("path", F.array(F.struct(F.col("__e").alias("e"), F.col("__cost").alias("c")))).alias("path"))
+        # What goes on from a node depends on the time alone.
+        state = graph._kept(step.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn"))
+        found = graph._kept(found.unionByName(state))
+        most = found.groupBy("seed").count().agg(F.max("count")).first()[0] or 0
+        if most > config.max_search_states:
+            raise RuntimeError(f"{most} states of an ancestry search exceed the budget of {config.max_search_states}")
+    one, two = (found.select(F.col("seed").alias(s), "node", F.col("at").alias(f"at_{s}"), F.col("cost").alias(f"c_{s}"), F.col("path").alias(f"p_{s}")) for s in ("a", "b"))
+    named = pairs.select(F.col("event_id").alias("a"), F.col("event_id_r").alias("b"), (F.least("t", "t_r") - config.max_gap).alias("low"))
+
+    def cheapest(df: DataFrame, side: str, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by, "node").orderBy(f"c_{side}", F.size(f"p_{side}"), F.col(f"p_{side}.e"))
+        return df.where(F.col(f"at_{side}") >= F.col("low")).withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn", f"at_{side}", f"c_{side}")
+
+    left = cheapest(named.join(one, "a"), "a", "a", "b")
+    right = cheapest(named.join(two, "b"), "b", "a", "b").drop("low")
+    both = left.join(right, ["a", "b", "node"]).select("a", "b", F.array_distinct(F.concat("p_a", "p_b")).alias("path"))
+    both = both.select("a", "b", F.aggregate("path", F.lit(0.0), lambda x, e: x + e["c"]).alias("cost"), F.transform("path", lambda e: e["e"]).alias("path"))
+    top = Window.partitionBy("a", "b").orderBy("cost", F.size("path"), "path")
+    return both.withColumn("rn", F.row_number().over(top)).where("rn = 1").drop("rn")
 
 
 def affinity(edges: DataFrame, seeds: DataFrame, config: IncidentConfig) -> DataFrame:
@@ -165,6 +197,24 @@ def summary(incidents: DataFrame, edges: DataFrame) -> DataFrame:
     return incidents.join(edges.select("event_id", "t"), "event_id").groupBy("incident").agg(F.min("t").alias("start_time"), F.max("t").alias("end_time"), n("seed"), n("connector"), n("context"))
 
 
+def checked_roles(roles: DataFrame, events: DataFrame) -> DataFrame:
+    """Roles (incident, role, src, dst, key, t, op, score) that fit the events (src, dst, key, t, op, score).
+
+    An error for a role whose event is missing, has another time, operation or score (to a relative 1e-9 or an
+    absolute 1e-12; a null score of a role isn't compared), and for an event with several roles in one incident.
+    """
+    if not roles.groupBy("incident", "src", "dst", "key").count().where("count > 1").isEmpty():
+        raise ValueError("an event has more than one role in an incident")
+    original = events.select("src", "dst", "key", F.col("t").alias("__t"), F.col("op").alias("__op"), F.col("score").alias("__score"), F.lit(True).alias("__there"))
+    j = roles.join(original, ["src", "dst", "key"], "left")
+    near = F.abs(F.col("score") - F.col("__score")) <= F.greatest(1e-9 * F.greatest(F.abs("score"), F.abs("__score")), F.lit(1e-12))
+    wrong = F.when(F.col("__there").isNull(), "missing event").when(~(F.col("t") == F.col("__t")) | ~(F.col("op") == F.col("__op")), "event attributes").when(F.col("score").isNotNull() & ~F.coalesce(near, F.lit(False)), "anomaly score")
+    found = j.select(wrong.alias("wrong")).where("wrong is not null").first()
+    if found:
+        raise ValueError(f"incidents and events don't match: {found['wrong']}")
+    return j.select(*roles.columns)
+
+
 def complete_epoch(scores: DataFrame, events: DataFrame) -> DataFrame:
     """The greatest epoch whose scores (epoch, event_id) cover each event once and nothing else."""
     total = events.agg(F.count("*").alias("total"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions.scalars import fraction, mcc
+from auditloom.operators.ranks import ranged, running, with_previous
 
 
 def confusion(rows: DataFrame, *by: str) -> DataFrame:
@@ -67,16 +68,17 @@ def average_precision(rows: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """Ranks by (score desc, node desc) with running tp and fp."""
-    w = Window.orderBy(F.col("score").desc(), F.col("node").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumns({"rank": F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("node").desc())).cast("long"), "tp": F.sum(F.col("y").cast("long")).over(w), "fp": F.sum(1 - F.col("y").cast("long")).over(w)})
+    """Ranks by (score desc, node desc) with running tp and fp; ranges of ranks are summed side by side, and `__p` is the range."""
+    order = [F.col("score").desc(), F.col("node").desc()]
+    y = F.col("y").cast("long")
+    return running(ranged(rows, *order), order, {"rank": F.lit(1).cast("long"), "tp": y, "fp": 1 - y})
 
 
 def _area(points: DataFrame, x: str, y: str) -> DataFrame:
-    """Trapezoids over points in the order of x, from (0, 0) on."""
-    w = Window.orderBy(x)
-    step = points.withColumns({"x0": F.coalesce(F.lag(x).over(w), F.lit(0.0)), "y0": F.coalesce(F.lag(y).over(w), F.lit(0.0))})
-    return step.agg(F.coalesce(F.sum((F.col(x) - F.col("x0")) * (F.col(y) + F.col("y0")) / 2), F.lit(0.0)).alias("area"))
+    """Trapezoids over points in the order of x, from (0, 0) on; x is distinct."""
+    step = with_previous(points, x, x, y)
+    x0, y0 = F.coalesce(f"{x}_0", F.lit(0.0)), F.coalesce(f"{y}_0", F.lit(0.0))
+    return step.agg(F.coalesce(F.sum((F.col(x) - x0) * (F.col(y) + y0) / 2), F.lit(0.0)).alias("area"))
 
 
 def adp(rows: DataFrame, attacks: DataFrame) -> DataFrame:
@@ -88,8 +90,7 @@ def adp(rows: DataFrame, attacks: DataFrame) -> DataFrame:
     firsts = at.where("y = 1").join(attacks, "node").groupBy("attack").agg(F.min("rank").alias("rank"))
     hits = firsts.groupBy("rank").agg(F.count("*").alias("hit"))
     total = attacks.agg(F.countDistinct("attack").alias("attacks"))
-    w = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = at.join(hits, "rank", "left").withColumn("found", F.sum(F.coalesce("hit", F.lit(0))).over(w)).crossJoin(F.broadcast(total))
+    curve = running(at.join(hits, "rank", "left"), [F.col("rank")], {"found": F.coalesce("hit", F.lit(0))}).crossJoin(F.broadcast(total))
     points = curve.select((F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("found") / F.col("attacks")).alias("detected"))
     return _area(points.groupBy("precision").agg(F.max("detected").alias("detected")), "precision", "detected").withColumnRenamed("area", "adp")
 
@@ -102,17 +103,28 @@ def recall_precision_area(rows: DataFrame) -> DataFrame:
     return _area(points.groupBy("precision").agg(F.max("recall").alias("recall")), "precision", "recall")
 
 
-def discrimination(rows: DataFrame, attacks: DataFrame, k: int = 10) -> DataFrame:
-    """(attack, score): the best scaled score of an attack less the mean of the k best benign ones; attacks without rows score 0."""
-    span = rows.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    scaled = rows.crossJoin(F.broadcast(span)).withColumn("s", F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0))
+def _against_benign(rows: DataFrame, k: int) -> DataFrame:
+    """rows with `s`, the score over the greatest one plus 1e-6, and `benign`, the mean of the k best benign ones."""
+    top = rows.agg(F.max("score").alias("__top"))
+    scaled = rows.crossJoin(F.broadcast(top)).withColumn("s", F.col("score") / (F.col("__top") + 1e-6)).drop("__top")
     benign = scaled.where("y = 0").orderBy(F.col("s").desc(), "node").limit(k).agg(F.coalesce(F.avg("s"), F.lit(0.0)).alias("benign"))
-    best = attacks.join(scaled.where("y = 1").select("node", "s"), "node", "left").groupBy("attack").agg(F.max("s").alias("s"))
-    return best.crossJoin(F.broadcast(benign)).select("attack", F.when(F.col("s").isNull(), 0.0).otherwise(F.col("s") - F.col("benign")).alias("score"))
+    return scaled.crossJoin(F.broadcast(benign))
+
+
+def discrimination(rows: DataFrame, attacks: DataFrame, k: int = 10) -> DataFrame:
+    """(attack, score): the best scaled score of an attack, at least 0, less the mean of the k best benign ones; attacks without rows score 0."""
+    found = attacks.join(_against_benign(rows, k).select("node", "s", "benign"), "node", "left")
+    return found.groupBy("attack").agg(F.coalesce(F.greatest(F.max("s"), F.lit(0.0)) * F.max(F.when(F.col("s").isNotNull(), 1.0)) - F.max("benign"), F.lit(0.0)).alias("score"))
+
+
+def discrimination_hits(rows: DataFrame, attacks: DataFrame, k: int = 10) -> DataFrame:
+    """(attack, tp): nodes of each attack whose scaled score is above the mean of the k best benign ones; attacks without any count 0."""
+    found = attacks.join(_against_benign(rows, k).select("node", "s", "benign"), "node", "left")
+    return found.groupBy("attack").agg(F.count(F.when(F.col("s") > F.col("benign"), 1)).alias("tp"))
 
 
 def attack_hits(rows: DataFrame, attacks: DataFrame) -> DataFrame:
-    """(attack, tp): nodes of each attack that are predicted; attacks without any count 0."""
+    """(attack, tp): nodes of each attack that are predicted; attacks without any count 0."""
     return attacks.join(rows.where("y_hat = 1").select("node", F.lit(1).alias("hit")), "node", "left").groupBy("attack").agg(F.count("hit").alias("tp"))
 
 
@@ -203,6 +215,36 @@ def best_epoch(stats: DataFrame, rule: str = "adp") -> DataFrame:
     return stats.orderBy(*order, F.col("discrimination").desc_nulls_last(), "epoch").limit(1)
 
 
+def early_stop(rows: DataFrame, patience: int = 3, max_delta: float = 0.1) -> DataFrame:
+    """(type, epoch, metric, value, best, waits, stopped) of rows (type, epoch, malicious, f1, auc, tnr), one for each type and epoch.
+
+    A type is judged by f1 if more than 5 % of its nodes are malicious in its first epoch, by auc if some are, else
+    by tnr. A better value than all before starts the count of waits anew, as one below the floor (chance, or the
+    best less max_delta) does; any other adds a wait, and at `patience` the type stops. Epochs without the metric
+    don't count. Only one row an epoch of a type is folded in order.
+    """
+    first = rows.groupBy("type").agg(F.min_by("malicious", "epoch").alias("share"))
+    metric = F.when(F.col("share") > 0.05, "f1").when(F.col("share") > 0, "auc").otherwise("tnr")
+    floor = F.when(F.col("share") > 0.05, 2 * F.col("share") / (F.col("share") + 1)).when(F.col("share") > 0, 0.5).otherwise(0.01)
+    value = F.when(F.col("metric") == "f1", F.col("f1")).when(F.col("metric") == "auc", F.col("auc")).otherwise(F.col("tnr"))
+    judged = rows.join(first, "type").withColumns({"metric": metric, "floor": floor}).withColumn("value", value).where("value is not null")
+    steps = judged.groupBy("type", "metric", "floor").agg(F.sort_array(F.collect_list(F.struct("epoch", "value"))).alias("steps"))
+    # At the floor f1 still waits, the other metrics don't.
+    start = F.struct(F.lit(0.0).alias("best"), F.lit(0).alias("waits"), F.lit(False).alias("stopped"), F.array().cast("array<struct<epoch:bigint,value:double,best:double,waits:int,stopped:boolean>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        better = x["value"] > s["best"]
+        low = F.when(F.col("metric") == "f1", x["value"] < F.col("floor")).otherwise(x["value"] <= F.col("floor")) | (x["value"] < s["best"] - max_delta)
+        best = F.when(~s["stopped"] & better, x["value"]).otherwise(s["best"])
+        waits = F.when(s["stopped"], s["waits"]).when(better | low, 0).otherwise(s["waits"] + 1).cast("int")
+        stopped = s["stopped"] | (~better & ~low & (waits >= patience))
+        row = F.struct(x["epoch"].cast("long").alias("epoch"), x["value"].cast("double").alias("value"), best.alias("best"), waits.alias("waits"), stopped.alias("stopped"))
+        return F.struct(best.alias("best"), waits.alias("waits"), stopped.alias("stopped"), F.concat(s["out"], F.array(row)).alias("out"))
+
+    folded = steps.select("type", "metric", F.explode(F.aggregate("steps", start, step, lambda s: s["out"])).alias("r"))
+    return folded.select("type", "r.epoch", "metric", "r.value", "r.best", "r.waits", "r.stopped")
+
+
 def queue_verdicts(members: DataFrame, scores: DataFrame, at: float = 20.0) -> DataFrame:
     """(w, y_hat): windows of queues that score above the threshold."""
     return members.join(scores, "queue").groupBy("w").agg(F.max((F.col("score") > at).cast("int")).alias("y_hat"))
@@ -217,9 +259,23 @@ def detection_cost(rows: DataFrame, attacks: DataFrame) -> DataFrame:
 
 
 def discrimination_area(rows: DataFrame) -> DataFrame:
-    """One row `area`: between the sorted malicious scores and as many of the highest benign ones, by trapezoids, over their number less one."""
-    w = Window.partitionBy("y").orderBy(F.col("score").desc(), "node")
-    place = rows.withColumn("rn", F.row_number().over(w))
-    k = rows.agg(F.count(F.when(F.col("y") == 1, 1)).alias("k"))
-    pairs = place.join(F.broadcast(k), F.col("rn") <= F.col("k")).groupBy("rn").agg((F.max(F.when(F.col("y") == 1, F.col("score"))) - F.coalesce(F.max(F.when(F.col("y") == 0, F.col("score"))), F.lit(0.0))).alias("d"), F.first("k").alias("k"))
-    return pairs.agg(F.when(F.first("k") > 1, F.try_divide(F.sum(F.when((F.col("rn") == 1) | (F.col("rn") == F.col("k")), F.col("d") / 2).otherwise(F.col("d"))), F.first("k") - 1.0)).otherwise(F.sum("d")).alias("area"))
+    """One row `area`: between the sorted malicious scores and as many of the highest benign ones.
+
+    Trapezoids run over the ranks at which the malicious score is greater, one after the other; if there are none,
+    over all ranks, where the area is negative. It is divided by the range of these scores times their number. Ranks
+    that lack a benign score drop out. Without malicious rows the area is 0, without a range null.
+    """
+    total = rows.agg(F.count(F.when(F.col("y") == 1, 1))).first()[0]
+    if not total:
+        return rows.sparkSession.createDataFrame([(0.0,)], "area double")
+    order = [F.col("score").desc(), F.col("node")]
+
+    def place(y: int, name: str) -> DataFrame:
+        best = rows.where(F.col("y") == y).orderBy(*order).limit(total).select("score", "node")
+        return running(ranged(best, *order), order, {"rn": F.lit(1).cast("long")}).select("rn", F.col("score").alias(name))
+
+    pairs = place(1, "bad").join(place(0, "good"), "rn")
+    every = pairs.agg(F.count(F.when(F.col("bad") > F.col("good"), 1)).alias("above"), (F.greatest(F.max("bad"), F.max("good")) - F.least(F.min("bad"), F.min("good"))).alias("span"))
+    taken = pairs.crossJoin(F.broadcast(every)).where((F.col("above") == 0) | (F.col("bad") > F.col("good"))).withColumn("d", F.col("bad") - F.col("good"))
+    trapezoids = F.sum("d") - (F.min_by("d", "rn") + F.max_by("d", "rn")) / 2
+    return taken.agg(F.try_divide(trapezoids, F.max("span") * total).alias("area"))

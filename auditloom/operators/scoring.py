@@ -3,34 +3,59 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.operators.provenance import endpoints
+from auditloom.operators.ranks import quantile
 
 
 def loss_stats(losses: DataFrame) -> DataFrame:
     """A1: one row: max, mean, percentile_90 and std (of the population)."""
-    return losses.agg(F.max("loss").alias("max"), F.avg("loss").alias("mean"), F.percentile("loss", 0.9).alias("percentile_90"), F.stddev_pop("loss").alias("std"))
+    return losses.agg(F.max("loss").alias("max"), F.avg("loss").alias("mean"), F.lit(quantile(losses, "loss", 0.9)).cast("double").alias("percentile_90"), F.stddev_pop("loss").alias("std"))
 
 
 def threshold(losses: DataFrame, method: str, contamination: float = 0.01, test: DataFrame | None = None) -> float:
-    """A2, A4: a number from validation losses; `magic` takes the mean of test losses, as its authors do."""
+    """A2: a number from validation losses; `magic` takes the mean of test losses, as its authors do."""
     fixed = {"threatrace": 1.5, "flash": 0.53}
     if method in fixed:
         return fixed[method]
-    how = {
-        "max_val_loss": F.max("loss"), "mean_val_loss": F.avg("loss"), "nodlink": F.percentile("loss", 0.9),
-        "magic": F.avg("loss"), "ocrapt": F.percentile("loss", 1 - contamination), "seed_percentile": F.percentile("loss", 0.99),
-    }
-    if method not in how:
+    shares = {"nodlink": 0.9, "ocrapt": 1 - contamination}
+    how = {"max_val_loss": F.max("loss"), "mean_val_loss": F.avg("loss"), "magic": F.avg("loss")}
+    if method in shares:
+        value = quantile(losses, "loss", shares[method])
+    elif method in how:
+        value = (test if method == "magic" and test is not None else losses).agg(how[method].alias("v")).first()["v"]
+    else:
         raise ValueError(f"unknown threshold: {method}")
-    value = (test if method == "magic" and test is not None else losses).agg(how[method].alias("v")).first()["v"]
     if value is None:
         raise ValueError("no validation losses")
     return value
 
 
+def seed_threshold(losses: DataFrame, method: str = "max", percentile: float = 99.0) -> float:
+    """The greatest validation loss, or their percentile (0 to 100).
+
+    An error for no rows, no column `loss`, losses that are null, negative or not finite, percentiles out of range
+    and methods that aren't known.
+    """
+    if "loss" not in losses.columns:
+        raise ValueError("the column loss is missing")
+    if method not in ("max", "percentile"):
+        raise ValueError(f"unknown threshold method: {method}")
+    if not 0 <= percentile <= 100:
+        raise ValueError("the percentile must be between 0 and 100")
+    bad = F.col("loss").isNull() | F.isnan("loss") | (F.col("loss") < 0) | (F.col("loss") == float("inf"))
+    n, wrong, most = losses.agg(F.count("*"), F.count(F.when(bad, 1)), F.max("loss")).first()
+    if not n:
+        raise ValueError("validation losses must not be empty")
+    if wrong:
+        raise ValueError("losses must be finite and not negative")
+    return float(most if method == "max" else quantile(losses, "loss", percentile / 100))
+
+
 def checked_losses(rows: DataFrame) -> DataFrame:
     """P10: an error for losses that are null, negative or not finite."""
     bad = F.col("loss").isNull() | F.isnan("loss") | (F.col("loss") < 0) | (F.col("loss") == float("inf"))
@@ -47,12 +72,10 @@ def thresholds_per_type(losses: DataFrame, kind: str, y: str, low: float, high:
 
     The quantile is interpolated between neighbours by rank, as its level differs by group.
     """
-    level = losses.groupBy(kind).agg(F.greatest(F.lit(low), F.least(F.lit(high), F.avg(y))).alias("contamination"), F.count("*").alias("n"))
-    ranked = losses.withColumn("rn", F.row_number().over(Window.partitionBy(kind).orderBy("loss")) - 1).join(F.broadcast(level), kind)
-    place = (1 - F.col("contamination")) * (F.col("n") - 1)
-    near = ranked.where(F.abs(F.col("rn") - place) < 1)
-    share = 1 - F.abs(F.col("rn") - place)
-    return near.groupBy(kind).agg(F.first("contamination").alias("contamination"), (F.sum(F.col("loss") * share) / F.sum(share)).alias("threshold"))
+    # One row a type, of which there are few.
+    level = losses.groupBy(kind).agg(F.greatest(F.lit(low), F.least(F.lit(high), F.avg(y))).alias("contamination")).collect()
+    rows = [(r[kind], r["contamination"], quantile(losses.where(F.col(kind).eqNullSafe(F.lit(r[kind]))), "loss", 1 - r["contamination"])) for r in level]
+    return losses.sparkSession.createDataFrame(rows, f"{kind} {dict(losses.dtypes)[kind]}, contamination double, threshold double")
 
 
 def reduced(method: str) -> Column:
@@ -69,10 +92,10 @@ def node_scores(edges: DataFrame, method: str = "max_val_loss", use_dst: bool =
 
 
 def gated_verdicts(rows: DataFrame, score: str, at: float, gate: str | None = None) -> DataFrame:
-    """(node, score, y_hat): the greatest score, and 1 if any row is above the threshold and, if gated, was predicted wrongly."""
-    hit = F.col(score) > at
-    hit = hit & (F.col(gate) == 0) if gate else hit
-    return rows.groupBy("node").agg(F.max(score).alias("score"), F.max(hit.cast("int")).alias("y_hat"))
+    """(node, score, y_hat): the greatest score, and 1 if any row is above the threshold and 0 and, if gated, the gate holds (the type was predicted rightly)."""
+    hit = F.col(score) > max(at, 0.0)
+    hit = hit & (F.col(gate).cast("int") == 1) if gate else hit
+    return rows.groupBy("node").agg(F.max(score).alias("score"), F.max(F.coalesce(hit, F.lit(False)).cast("int")).alias("y_hat"))
 
 
 def window_scores(edges: DataFrame, method: str = "max_val_loss", *by: str) -> DataFrame:
@@ -113,8 +136,39 @@ def above_summary(edges: DataFrame, at: float | Column) -> DataFrame:
     return edges.groupBy("w").agg(F.count(hit).alias("n"), F.coalesce(F.avg(hit), F.lit(0.0)).alias("mean_loss"))
 
 
+def anomalous_nodes(edges: DataFrame, sigmas: float = 1.5) -> DataFrame:
+    """(w, node): nodes of the edges that A11 finds in each window."""
+    w = Window.partitionBy("w")
+    marked = edges.withColumn("limit_", F.avg("loss").over(w) + sigmas * F.stddev_pop("loss").over(w)).where("loss > limit_")
+    return marked.select("w", F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+def rare_labels(labels: DataFrame, train: DataFrame, test: DataFrame | None, keywords: tuple[str, ...], least: float = 5.0, share: float = 0.9) -> DataFrame:
+    """Of labels(label) those that are rare and hold no keyword.
+
+    train and test (label, w) tell in how many windows a label occurs. A label that a period lacks has the idf
+    ln(windows). With both periods the sum of both must exceed `least`; with train alone its idf must exceed that of
+    a label in no window, of `share` of them.
+    """
+    out, total = labels.select("label").distinct(), F.lit(0.0)
+    for i, rows in enumerate(r for r in (train, test) if r is not None):
+        n = rows.agg(F.countDistinct("w").alias(f"n{i}"))
+        known = idf(rows, "label").select("label", F.col("idf").alias(f"idf{i}"))
+        out = out.join(known, "label", "left").crossJoin(F.broadcast(n))
+        total = total + F.coalesce(F.col(f"idf{i}"), F.ln(F.col(f"n{i}").cast("double")))
+    rule = total > least if test is not None else total > F.ln(F.col("n0") * share)
+    # A label is kept apart from ordinary objects by its text.
+    hit = F.lit(False)
+    for k in keywords:
+        hit = hit | F.contains(F.col("label").cast("string"), F.lit(k))
+    return out.where(rule & ~hit).select("label")
+
+
 def window_overlap(rows: DataFrame, label: str = "label") -> DataFrame:
-    """(a, b, shared): windows a < b that share labels, and how many; pairs without a common label don't appear."""
+    """(a, b, shared): windows a < b that share labels, and how many; pairs without a common label don't appear.
+
+    Labels should be rare (rare_labels): one that all windows hold would pair them all.
+    """
     one = rows.select("w", label).distinct()
     a, b = one.withColumnRenamed("w", "a"), one.withColumnRenamed("w", "b")
     return a.join(b, label).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
@@ -163,9 +217,9 @@ def class_weights(rows: DataFrame, kind: str, kinds: DataFrame) -> DataFrame:
 
 
 def mean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """The mean of each component."""
-    parts = rows.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x"))
-    return parts.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias(vector))
+    """The mean of the vectors of each key, which have one length; null vectors don't count. Tasks send one vector a key."""
+    known = rows.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("__v"))
+    return known.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("__v"))).alias(vector))
 
 
 def worst_edges(edges: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.operators import ranks
 from auditloom.operators.provenance import DAY, HOUR, endpoints
 
 
@@ -24,8 +27,8 @@ def days(edges: DataFrame) -> DataFrame:
 
 
 def numbered(edges: DataFrame, *by: str) -> DataFrame:
-    """`rn`, the place in time of each edge in its group, from 0; groups bound what one task orders."""
-    return edges.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("t", "event_id")).cast("long") - 1)
+    """`rn`, the place in time of each edge in its group, from 0; ranges of time are numbered side by side."""
+    return ranks.numbered(edges, [F.col("t"), F.col("event_id")], "rn", by)
 
 
 def batches(edges: DataFrame, size: int, *by: str) -> DataFrame:
@@ -33,6 +36,21 @@ def batches(edges: DataFrame, size: int, *by: str) -> DataFrame:
     return numbered(edges, *by).withColumn("batch", F.floor(F.col("rn") / size).cast("long"))
 
 
+def test_mode(edges: DataFrame, most: int = 2001) -> DataFrame:
+    """The first edges in time only, for trials."""
+    return edges.orderBy("t", "event_id").limit(most)
+
+
+def batch_digest(cut: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(batch, digest) of batches of bounded size: SHA-256 over the columns of their events in order, as little-endian 64-bit integers."""
+
+    def digest(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("rn")[list(columns)].to_numpy(dtype="<i8")
+        return pd.DataFrame({"batch": pdf["batch"].iloc[:1], "digest": [hashlib.sha256(rows.tobytes()).hexdigest()]})
+
+    return cut.select("batch", "rn", *(F.col(c).cast("long").alias(c) for c in columns)).groupBy("batch").applyInPandas(digest, "batch long, digest string")
+
+
 def hybrid_windows(edges: DataFrame, size: int, batch: int = 1024, by: str = "day") -> DataFrame:
     """Windows of whole batches, closed by the first batch whose last edge is more than `size` past the start.
 

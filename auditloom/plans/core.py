@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from auditloom.functions import scalars as S
 from auditloom.operators import features, joins, provenance as P, scoring, windows
 from auditloom.plans.registry import query
+from auditloom.session import ship_package
 
 
 def edges(spark, d):
@@ -113,15 +114,8 @@ def labelled_edges(spark, d):
     return P.with_labels(e, nodes(e))
 
 
-@query("truth_matches", "found:l missing:l", "WITH {E}, want AS (SELECT unnest(range(1, 200)) AS node) SELECT (SELECT count(*) FROM want WHERE node IN (SELECT node FROM ends)) AS found, (SELECT count(*) FROM want WHERE node NOT IN (SELECT node FROM ends)) AS missing")
+@query("truth_matches", "found:l missing:l", "WITH {E} SELECT count(CASE WHEN node IN (SELECT node FROM ends WHERE split = 'test') THEN 1 END) AS found, count(CASE WHEN node NOT IN (SELECT node FROM ends WHERE split = 'test') THEN 1 END) AS missing FROM (SELECT DISTINCT node FROM truth)")
 def truth_matches(spark, d):
-    """J2."""
-    want = spark.range(1, 200).withColumnRenamed("id", "node")
-    return P.flagged(want, P.endpoints(edges(spark, d)), "node", "in_").agg(F.sum("in_").alias("found"), F.sum(1 - F.col("in_")).alias("missing"))
-
-
-@query("truth_matches_all", "found:l missing:l", "WITH {E} SELECT count(CASE WHEN node IN (SELECT node FROM ends WHERE split = 'test') THEN 1 END) AS found, count(CASE WHEN node NOT IN (SELECT node FROM ends WHERE split = 'test') THEN 1 END) AS missing FROM (SELECT DISTINCT node FROM truth)")
-def truth_matches_all(spark, d):
     """All nodes of the ground truth, looked up among those of the test period."""
     e = edges(spark, d)
     return P.flagged(truth(e).select("node").distinct(), P.endpoints(e.where("split = 'test'")), "node", "in_").agg(F.sum("in_").alias("found"), F.sum(1 - F.col("in_")).alias("missing"))
@@ -187,19 +181,9 @@ def seed_band_pairs(spark, d):
     return pairs.select(F.col("event_id").alias("a"), F.col("event_id_r").alias("b"), F.expr("src in (src_r, dst_r) or dst in (src_r, dst_r)").alias("share"))
 
 
-@query("asof_previous", "event_id:l before:l after:l", """WITH {E} SELECT x.event_id, (SELECT max(y.t) FROM e y WHERE y.split = 'val' AND y.op = 'error' AND y.src = x.src AND y.t < x.t) AS before,
-    (SELECT min(y.t) FROM e y WHERE y.split = 'val' AND y.op = 'error' AND y.src = x.src AND y.t > x.t) AS after FROM e x WHERE x.split = 'val'""")
-def asof_previous(spark, d):
-    """The greatest smaller and the least larger time of an error of the same node."""
-    e = edges(spark, d).where("split = 'val'").select("event_id", "src", "t", "op")
-    marks = e.where("op = 'error'").select("src", "t", F.col("t").alias("mark"))
-    back = joins.asof_join(e, marks, ["src"], "mark").withColumnRenamed("mark_asof", "before")
-    return joins.asof_join(back, marks, ["src"], "mark", backward=False).withColumnRenamed("mark_asof", "after")
-
-
-@query("asof_previous_all", "event_id:l before:l after:l", """WITH {E}, m AS (SELECT DISTINCT src, t FROM e WHERE op = 'error'), b AS (SELECT x.event_id, max(m.t) AS before FROM e x JOIN m ON m.src = x.src AND m.t < x.t GROUP BY x.event_id), a AS (SELECT x.event_id, min(m.t) AS after FROM e x JOIN m ON m.src = x.src AND m.t > x.t GROUP BY x.event_id)
+@query("asof_previous", "event_id:l before:l after:l", """WITH {E}, m AS (SELECT DISTINCT src, t FROM e WHERE op = 'error'), b AS (SELECT x.event_id, max(m.t) AS before FROM e x JOIN m ON m.src = x.src AND m.t < x.t GROUP BY x.event_id), a AS (SELECT x.event_id, min(m.t) AS after FROM e x JOIN m ON m.src = x.src AND m.t > x.t GROUP BY x.event_id)
     SELECT e.event_id, before, after FROM e LEFT JOIN b ON e.event_id = b.event_id LEFT JOIN a ON e.event_id = a.event_id""")
-def asof_previous_all(spark, d):
+def asof_previous(spark, d):
     """J12 over all edges."""
     e = edges(spark, d).select("event_id", "src", "t", "op")
     marks = e.where("op = 'error'").select("src", "t", F.col("t").alias("mark"))
@@ -251,16 +235,8 @@ def ambiguous_nodes(spark, d):
     return m.groupBy("node").agg(F.countDistinct("a").alias("n")).where("n > 1")
 
 
-@query("appended_events", "event_id:l t:l rn:l", "WITH {E}, x AS (SELECT event_id, t FROM e WHERE split = 'val' UNION ALL SELECT event_id + 10000000, t + 1 FROM e WHERE split = 'val' AND op = 'error') SELECT event_id, t, row_number() OVER (ORDER BY t, event_id) - 1 AS rn FROM x")
+@query("appended_events", "split:s event_id:l t:l rn:l", "WITH {E}, x AS (SELECT split, event_id, t FROM e UNION ALL SELECT split, event_id + 10000000, t + 1 FROM e WHERE op = 'error') SELECT split, event_id, t, row_number() OVER (PARTITION BY split ORDER BY t, event_id) - 1 AS rn FROM x")
 def appended_events(spark, d):
-    """Added events are put in order."""
-    v = edges(spark, d).where("split = 'val'")
-    both = v.select("event_id", "t", "split").unionByName(v.where("op = 'error'").select((F.col("event_id") + 10_000_000).alias("event_id"), (F.col("t") + 1).alias("t"), "split"))
-    return windows.numbered(both, "split")
-
-
-@query("appended_events_all", "split:s event_id:l t:l rn:l", "WITH {E}, x AS (SELECT split, event_id, t FROM e UNION ALL SELECT split, event_id + 10000000, t + 1 FROM e WHERE op = 'error') SELECT split, event_id, t, row_number() OVER (PARTITION BY split ORDER BY t, event_id) - 1 AS rn FROM x")
-def appended_events_all(spark, d):
     """U2 in every split; each is ordered by itself."""
     e = edges(spark, d)
     more = e.where("op = 'error'").select((F.col("event_id") + 10_000_000).alias("event_id"), (F.col("t") + 1).alias("t"), "split")
@@ -321,25 +297,17 @@ def edge_keys(spark, d):
     return windows.edge_keys(edges(spark, d), "split")
 
 
-@query("idle_gaps", "node:l gap_min:l gap_max:l gap_mean:d lifespan:l", """WITH {E}, g AS (SELECT node, t, t - lag(t) OVER (PARTITION BY node ORDER BY t, event_id) AS gap FROM ends)
-    SELECT node, coalesce(min(gap), 0) AS gap_min, coalesce(max(gap), 0) AS gap_max, coalesce(sum(gap)::DOUBLE / count(gap), 0) / 1e9 AS gap_mean, max(t) - min(t) AS lifespan FROM g GROUP BY node""")
+@query("idle_gaps", "node:l gap_min:l gap_max:l gap_mean:d lifespan:l active:l", """WITH {E}, g AS (SELECT node, t, t - lag(t) OVER (PARTITION BY node ORDER BY t, event_id) AS gap FROM ends), q AS (SELECT node, quantile_cont(gap, 0.01) AS q FROM g GROUP BY node)
+    SELECT g.node, coalesce(min(gap), 0) AS gap_min, coalesce(max(gap), 0) AS gap_max, coalesce(sum(gap)::DOUBLE / count(gap), 0) / 1e9 AS gap_mean, max(t) - min(t) AS lifespan, coalesce(sum(CASE WHEN gap <= q THEN gap END), 0) AS active FROM g JOIN q ON g.node = q.node GROUP BY g.node""")
 def idle_gaps(spark, d):
     """W3, W5, A24."""
     return windows.idle_gaps(edges(spark, d)).withColumn("gap_mean", F.col("gap_mean") / 1e9)
 
 
-@query("node_versions", "event_id:l src_version:l dst_version:l", """WITH {E}, x AS (SELECT event_id, t, src AS node, 0 AS a FROM e WHERE split = 'val' UNION ALL SELECT event_id, t, dst, 1 FROM e WHERE split = 'val'),
+@query("node_versions", "event_id:l src_version:l dst_version:l", """WITH {E}, x AS (SELECT event_id, t, src AS node, 0 AS a FROM e UNION ALL SELECT event_id, t, dst, 1 FROM e),
     v AS (SELECT event_id, a, sum(a) OVER (PARTITION BY node ORDER BY t, event_id, a ROWS UNBOUNDED PRECEDING) AS v FROM x)
     SELECT event_id, max(CASE WHEN a = 0 THEN v END) AS src_version, max(CASE WHEN a = 1 THEN v END) AS dst_version FROM v GROUP BY event_id""")
 def node_versions(spark, d):
-    """W8."""
-    return windows.versions(edges(spark, d).where("split = 'val'"))
-
-
-@query("node_versions_all", "event_id:l src_version:l dst_version:l", """WITH {E}, x AS (SELECT event_id, t, src AS node, 0 AS a FROM e UNION ALL SELECT event_id, t, dst, 1 FROM e),
-    v AS (SELECT event_id, a, sum(a) OVER (PARTITION BY node ORDER BY t, event_id, a ROWS UNBOUNDED PRECEDING) AS v FROM x)
-    SELECT event_id, max(CASE WHEN a = 0 THEN v END) AS src_version, max(CASE WHEN a = 1 THEN v END) AS dst_version FROM v GROUP BY event_id""")
-def node_versions_all(spark, d):
     """W8 over all edges."""
     return windows.versions(edges(spark, d))
 
@@ -362,42 +330,22 @@ def top_losses(spark, d):
     return windows.top_per(edges(spark, d), "op", 5, F.col("loss").desc(), F.col("event_id"))
 
 
-@query("last_neighbours", "w:l node:l neighbours:s", """WITH {E}, x AS (SELECT DISTINCT w, node FROM ends WHERE split = 'val'), h AS (
-    SELECT x.w, x.node, y.other, y.t, y.event_id, row_number() OVER (PARTITION BY x.w, x.node ORDER BY y.t DESC, y.event_id DESC) AS rn FROM x JOIN ends y ON y.node = x.node AND y.w < x.w AND y.split = 'val')
-    SELECT x.w, x.node, coalesce((SELECT string_agg(CAST(other AS VARCHAR), ',' ORDER BY t, event_id) FROM h WHERE h.w = x.w AND h.node = x.node AND rn <= 5), '') AS neighbours FROM x""")
+@query("last_neighbours", "w:l node:l neighbours:s", """WITH {E}, x AS (SELECT DISTINCT w, node FROM ends), h AS (SELECT x.w, x.node, y.other, y.t, y.event_id, row_number() OVER (PARTITION BY x.w, x.node ORDER BY y.t DESC, y.event_id DESC) AS rn FROM x JOIN ends y ON y.node = x.node AND y.w < x.w),
+    a AS (SELECT w, node, string_agg(CAST(other AS VARCHAR), ',' ORDER BY t, event_id) AS neighbours FROM h WHERE rn <= 5 GROUP BY w, node) SELECT x.w, x.node, coalesce(neighbours, '') AS neighbours FROM x LEFT JOIN a ON a.w = x.w AND a.node = x.node""")
 def last_neighbours(spark, d):
-    """W11, T7."""
-    out = windows.last_neighbours(edges(spark, d).where("split = 'val'"), 5, "w")
-    return out.withColumn("neighbours", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ","))
-
-
-@query("last_updates", "event_id:l node:l last_t:l", "WITH {E} SELECT event_id, node, max(t) OVER (PARTITION BY node ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_t FROM ends WHERE split = 'val'")
-def last_updates(spark, d):
-    """W12, T9."""
-    return windows.last_update(edges(spark, d).where("split = 'val'"))
-
-
-@query("last_messages", "w:l node:l last_op:s", "WITH {E} SELECT w, node, op AS last_op FROM (SELECT w, node, op, row_number() OVER (PARTITION BY w, node ORDER BY t DESC, event_id DESC) AS rn FROM ends WHERE split = 'val') WHERE rn = 1")
-def last_messages(spark, d):
-    """W13, T8."""
-    return windows.last_message(edges(spark, d).where("split = 'val'"), "w")
-
-
-@query("last_neighbours_all", "w:l node:l neighbours:s")
-def last_neighbours_all(spark, d):
-    """W11, T7 over all edges: neighbours carry over from split to split. Tests hold it against brute force."""
+    """Neighbours carry over from split to split. Tests hold it against brute force."""
     out = windows.last_neighbours(edges(spark, d), 5, "w")
     return out.withColumn("neighbours", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ","))
 
 
-@query("last_updates_all", "event_id:l node:l last_t:l", "WITH {E} SELECT event_id, node, max(t) OVER (PARTITION BY node ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_t FROM ends")
-def last_updates_all(spark, d):
+@query("last_updates", "event_id:l node:l last_t:l", "WITH {E} SELECT event_id, node, max(t) OVER (PARTITION BY node ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_t FROM ends")
+def last_updates(spark, d):
     """W12, T9 over all edges: times carry over from split to split."""
     return windows.last_update(edges(spark, d))
 
 
-@query("last_messages_all", "w:l node:l last_op:s", "WITH {E} SELECT w, node, op AS last_op FROM (SELECT w, node, op, row_number() OVER (PARTITION BY w, node ORDER BY t DESC, event_id DESC) AS rn FROM ends) WHERE rn = 1")
-def last_messages_all(spark, d):
+@query("last_messages", "w:l node:l last_op:s", "WITH {E} SELECT w, node, op AS last_op FROM (SELECT w, node, op, row_number() OVER (PARTITION BY w, node ORDER BY t DESC, event_id DESC) AS rn FROM ends) WHERE rn = 1")
+def last_messages(spark, d):
     """W13, T8 over all edges."""
     return windows.last_message(edges(spark, d), "w")
 
@@ -480,11 +428,10 @@ def token_counts(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.size(w).alias("n"), F.element_at(w, 1).alias("first"))
 
 
-@query("path_prefixes", "page_id:l n:l last:s", "SELECT page_id, len(string_split(url, '/')) AS n, url AS last FROM pages")
+@query("path_prefixes", "page_id:l text:s", "WITH t AS (SELECT page_id, string_split(url, '/') AS p FROM pages), x AS (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM t) SELECT page_id, string_agg(array_to_string(p[1:i], '/'), '' ORDER BY i) AS text FROM x GROUP BY page_id")
 def path_prefixes(spark, d):
-    """F13."""
-    p = S.prefixes(F.col("url"))
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.size(p).alias("n"), F.element_at(p, -1).alias("last"))
+    """F13, F14."""
+    return spark.read.parquet(f"{d}/pages.parquet").where("url is not null").select("page_id", S.joined(S.prefixes(F.col("url"))).alias("text"))
 
 
 @query("document_frequency", "token:s df:l idf:d", r"""WITH t AS (SELECT DISTINCT page_id, unnest(list_filter(string_split_regex(regexp_replace(url, '([/:.])', ' \1 ', 'g'), '\s+'), lambda x: x <> '')) AS token FROM pages)
@@ -497,7 +444,7 @@ def document_frequency(spark, d):
 
 @query("event_hashes", "event_id:l h:s", "WITH {E} SELECT event_id, sha256(CAST(event_id AS VARCHAR)) AS h FROM e")
 def event_hashes(spark, d):
-    """F2, F17."""
+    """F2."""
     return edges(spark, d).select("event_id", S.event_uuid_hash(F.col("event_id").cast("string")).alias("h"))
 
 
@@ -522,45 +469,33 @@ def unit_vectors(spark, d):
     return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", S.l2(u).alias("norm"), u[0].alias("first"))
 
 
-@query("behaviour", "node:l in_view:d out_purchase:d lifespan:d", """WITH {E}, c AS (SELECT node, sum(CASE WHEN dst = node AND op = 'view' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN src = node AND op = 'purchase' THEN 1 ELSE 0 END) AS b, max(t) - min(t) AS l FROM ends GROUP BY node), m AS (SELECT min(a) a0, max(a) a1, min(b) b0, max(b) b1, min(l) l0, max(l) l1 FROM c)
-    SELECT node, (a - a0)::DOUBLE / (a1 - a0) AS in_view, (b - b0)::DOUBLE / (b1 - b0) AS out_purchase, (l - l0)::DOUBLE / (l1 - l0) AS lifespan FROM c, m""")
+@query("behaviour", "node:l in_view:d out_view:d in_purchase:d out_purchase:d gap_min:d gap_max:d gap_mean:d lifespan:d", """WITH {E}, c AS (SELECT node, sum(CASE WHEN dst = node AND op = 'view' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN src = node AND op = 'view' THEN 1 ELSE 0 END) AS b, sum(CASE WHEN dst = node AND op = 'purchase' THEN 1 ELSE 0 END) AS c, sum(CASE WHEN src = node AND op = 'purchase' THEN 1 ELSE 0 END) AS d FROM ends GROUP BY node),
+    h AS (SELECT *, greatest(sqrt(a * a + b * b + c * c + d * d), 1) AS h FROM c), g AS (SELECT node, t, t - lag(t) OVER (PARTITION BY node ORDER BY t, event_id) AS gap FROM ends), i AS (SELECT node, coalesce(min(gap), 0)::DOUBLE AS x, coalesce(max(gap), 0)::DOUBLE AS y, coalesce(sum(gap)::DOUBLE / count(gap), 0) AS z, (max(t) - min(t))::DOUBLE AS l FROM g GROUP BY node),
+    m AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1, min(l) AS l0, max(l) AS l1 FROM i)
+    SELECT h.node, a / h AS in_view, b / h AS out_view, c / h AS in_purchase, d / h AS out_purchase, coalesce((x - x0) / nullif(x1 - x0, 0), 0) AS gap_min, coalesce((y - y0) / nullif(y1 - y0, 0), 0) AS gap_max, coalesce((z - z0) / nullif(z1 - z0, 0), 0) AS gap_mean, coalesce((l - l0) / nullif(l1 - l0, 0), 0) AS lifespan FROM h JOIN i ON h.node = i.node, m""")
 def behaviour(spark, d):
-    """L8."""
+    """Counts by operation have norm 1 in each node, idle times are scaled over all nodes."""
     return features.behaviour(edges(spark, d), ["view", "purchase"])
 
 
-@query("node_documents", "w:l node:l n:l", "WITH {E} SELECT w, node, least(count(*), 100) * 3 AS n FROM ends WHERE split = 'test' GROUP BY w, node")
+@query("node_documents", "w:l node:l items:s", """WITH {E}, r AS (SELECT w, node, op, other, t, event_id, row_number() OVER (PARTITION BY w, node ORDER BY t, event_id, other) AS rn FROM ends WHERE split = 'test')
+    SELECT w, node, string_agg(node || ' ' || op || ' ' || other, ' ' ORDER BY rn) AS items FROM r WHERE (rn - 1) * 3 < 300 GROUP BY w, node""")
 def node_documents(spark, d):
     """L3."""
-    return features.documents(edges(spark, d).where("split = 'test'")).select("w", "node", F.size("items").alias("n"))
+    return features.documents(edges(spark, d).where("split = 'test'")).select("w", "node", F.array_join("items", " ").alias("items"))
 
 
-@query("neighbour_corpus", "node:l n:l", f"WITH {{E}}, {NODES}, k AS (SELECT node, len(list_filter(string_split(replace(label, '/', ' / '), ' '), lambda x: x <> '')) AS n FROM nodes) SELECT k.node, k.n + coalesce(sum(o.n), 0) AS n FROM k LEFT JOIN (SELECT DISTINCT src, dst FROM e WHERE split = 'val') p ON p.src = k.node LEFT JOIN k o ON o.node = p.dst GROUP BY k.node, k.n")
+@query("neighbour_corpus", "node:l tokens:s", f"""WITH {{E}}, {NODES}, k AS (SELECT node, array_to_string(list_filter(string_split(replace(label, '/', ' / '), ' '), lambda x: x <> ''), ' ') AS x FROM nodes), p AS (SELECT src, dst, min(t) AS t, min_by(event_id, (t, event_id)) AS i FROM e GROUP BY src, dst)
+    SELECT k.node, any_value(k.x) || coalesce(' ' || string_agg(o.x, ' ' ORDER BY p.t, p.i), '') AS tokens FROM k LEFT JOIN p ON p.src = k.node LEFT JOIN k o ON o.node = p.dst GROUP BY k.node""")
 def neighbour_corpus(spark, d):
-    """L2, F9."""
+    """L2, F9, F11."""
     e = edges(spark, d)
     tokens = nodes(e).select("node", S.path_tokens(F.col("label")).alias("tokens"))
-    return features.neighbour_corpus(e.where("split = 'val'"), tokens).select("node", F.size("tokens").alias("n"))
+    return features.neighbour_corpus(e, tokens).select("node", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query("summed_neighbours", "node:l x:d", "WITH {E} SELECT dst AS node, sum(src % 7) AS x FROM e WHERE split = 'val' GROUP BY dst")
+@query("summed_neighbours", "node:l x:d", "WITH {E} SELECT dst AS node, sum(src % 7) AS x FROM e GROUP BY dst")
 def summed_neighbours(spark, d):
-    """L12."""
-    e = edges(spark, d).where("split = 'val'")
-    v = P.endpoints(e).distinct().select("node", F.array((F.col("node") % 7).cast("double")).alias("vector"))
-    return features.summed_neighbours(e, v).select("node", F.col("vector")[0].alias("x"))
-
-
-@query("neighbour_corpus_all", "node:l n:l", f"WITH {{E}}, {NODES}, k AS (SELECT node, len(list_filter(string_split(replace(label, '/', ' / '), ' '), lambda x: x <> '')) AS n FROM nodes) SELECT k.node, k.n + coalesce(sum(o.n), 0) AS n FROM k LEFT JOIN (SELECT DISTINCT src, dst FROM e) p ON p.src = k.node LEFT JOIN k o ON o.node = p.dst GROUP BY k.node, k.n")
-def neighbour_corpus_all(spark, d):
-    """L2, F9 over all edges."""
-    e = edges(spark, d)
-    tokens = nodes(e).select("node", S.path_tokens(F.col("label")).alias("tokens"))
-    return features.neighbour_corpus(e, tokens).select("node", F.size("tokens").alias("n"))
-
-
-@query("summed_neighbours_all", "node:l x:d", "WITH {E} SELECT dst AS node, sum(src % 7) AS x FROM e GROUP BY dst")
-def summed_neighbours_all(spark, d):
     """L12 over all edges."""
     e = edges(spark, d)
     v = P.endpoints(e).distinct().select("node", F.array((F.col("node") % 7).cast("double")).alias("vector"))
@@ -602,5 +537,6 @@ def negative_edges(spark, d):
 @query("knn_outliers", "vec_id:l score:d")
 def knn_outliers(spark, d):
     """L9, A28."""
+    ship_package(spark)
     v = spark.read.parquet(f"{d}/embeddings.parquet")
     return features.knn_outliers(v, v)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from auditloom.functions.vocabulary import BENIGN_KEYWORDS
 from auditloom.operators import metrics as M, provenance as P, scoring as A
 from auditloom.plans.core import edges, truth
 from auditloom.plans.registry import query
@@ -34,13 +35,15 @@ def loss_stats(spark, d):
 
 
 @query("thresholds", "method:s thr:d", """WITH {E}, v AS (SELECT loss FROM e WHERE split = 'val') SELECT 'max_val_loss' AS method, max(loss) AS thr FROM v UNION ALL SELECT 'mean_val_loss', avg(loss) FROM v UNION ALL SELECT 'nodlink', quantile_cont(loss, 0.9) FROM v
-    UNION ALL SELECT 'threatrace', 1.5 UNION ALL SELECT 'flash', 0.53 UNION ALL SELECT 'ocrapt', quantile_cont(loss, 0.95) FROM v UNION ALL SELECT 'magic', avg(loss) FROM e WHERE split = 'test' UNION ALL SELECT 'seed_percentile', quantile_cont(loss, 0.99) FROM v""")
+    UNION ALL SELECT 'threatrace', 1.5 UNION ALL SELECT 'flash', 0.53 UNION ALL SELECT 'ocrapt', quantile_cont(loss, 0.95) FROM v UNION ALL SELECT 'magic', avg(loss) FROM e WHERE split = 'test' UNION ALL SELECT 'seed_max', max(loss) FROM v UNION ALL SELECT 'seed_0', min(loss) FROM v UNION ALL SELECT 'seed_37.5', quantile_cont(loss, 0.375) FROM v UNION ALL SELECT 'seed_99', quantile_cont(loss, 0.99) FROM v""")
 def thresholds(spark, d):
-    """A2, A4."""
+    """A2, A4: seed thresholds by the maximum and by several percentiles."""
     e = edges(spark, d)
     v, t = e.where("split = 'val'"), e.where("split = 'test'")
-    names = ("max_val_loss", "mean_val_loss", "nodlink", "threatrace", "flash", "ocrapt", "magic", "seed_percentile")
-    return spark.createDataFrame([(n, float(A.threshold(v, n, 0.05, t))) for n in names], "method string, thr double")
+    names = ("max_val_loss", "mean_val_loss", "nodlink", "threatrace", "flash", "ocrapt", "magic")
+    rows = [(n, float(A.threshold(v, n, 0.05, t))) for n in names] + [("seed_max", A.seed_threshold(v))]
+    rows += [(f"seed_{x:g}", A.seed_threshold(v, "percentile", x)) for x in (0, 37.5, 99)]
+    return spark.createDataFrame(rows, "method string, thr double")
 
 
 @query("type_thresholds", "src_type:s contamination:d threshold:d", """WITH {E}, v AS (SELECT src_type, loss, CASE WHEN src IN (SELECT node FROM truth) THEN 1 ELSE 0 END AS y FROM e WHERE split = 'val'), c AS (SELECT src_type, greatest(0.01, least(0.2, avg(y))) AS contamination, count(*) AS n FROM v GROUP BY src_type),
@@ -63,9 +66,9 @@ def typed_verdicts(spark, d):
     return A.typed_verdicts(rows, thr, "type")
 
 
-@query("gated_verdicts", "node:l score:d y_hat:l", "WITH {E} SELECT node, max(loss) AS score, max(CASE WHEN loss > 100 AND op <> 'view' THEN 1 ELSE 0 END) AS y_hat FROM ends WHERE split = 'test' GROUP BY node")
+@query("gated_verdicts", "node:l score:d y_hat:l", "WITH {E} SELECT node, max(loss) AS score, max(CASE WHEN loss > 100 AND op = 'view' THEN 1 ELSE 0 END) AS y_hat FROM ends WHERE split = 'test' GROUP BY node")
 def gated_verdicts(spark, d):
-    """A7, A5."""
+    """Views stand for nodes whose type was predicted rightly."""
     rows = P.endpoints(edges(spark, d).where("split = 'test'"), "loss", (F.col("op") == "view").cast("int").alias("correct_pred"))
     return A.gated_verdicts(rows, "loss", 100.0, "correct_pred")
 
@@ -105,27 +108,46 @@ def above_summary(spark, d):
     return A.above_summary(e.where("split = 'test'"), A.threshold(e.where("split = 'val'"), "nodlink"))
 
 
+#: Queues: windows that share rare nodes of anomalous edges. A queue is named by the place of its first window among such.
+QUEUES = SUMMARY + f""", lb AS (SELECT w, split, CASE WHEN node >= 1000000 THEN '/data/f' || node ELSE '/home/u' || node END AS label FROM ends),
+    nw AS (SELECT count(DISTINCT CASE WHEN split = 'train' THEN w END)::DOUBLE AS a, count(DISTINCT CASE WHEN split = 'test' THEN w END)::DOUBLE AS b FROM lb),
+    df AS (SELECT label, count(DISTINCT CASE WHEN split = 'train' THEN w END) AS x, count(DISTINCT CASE WHEN split = 'test' THEN w END) AS y FROM lb GROUP BY label),
+    rare AS (SELECT label FROM df, nw WHERE CASE WHEN x = 0 THEN ln(a) ELSE ln(a / (x + 1)) END + CASE WHEN y = 0 THEN ln(b) ELSE ln(b / (y + 1)) END > 5 AND NOT ({" OR ".join(f"contains(label, '{k}')" for k in BENIGN_KEYWORDS)})),
+    al AS (SELECT DISTINCT w, CASE WHEN node >= 1000000 THEN '/data/f' || node ELSE '/home/u' || node END AS label FROM (SELECT w, src AS node FROM an UNION SELECT w, dst FROM an)),
+    ov AS (SELECT DISTINCT i.w AS a, k.w AS b FROM al i JOIN rare ON rare.label = i.label JOIN al k ON k.label = i.label WHERE i.w < k.w), ws AS (SELECT DISTINCT w FROM e WHERE split = 'test'),
+    rt AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS q FROM ws WHERE w NOT IN (SELECT b FROM ov)), qs AS (SELECT w, q FROM rt UNION SELECT ov.b, qs.q FROM qs JOIN ov ON ov.a = qs.w)"""
+
+
 def rare_overlap(spark, d):
-    """Windows of the test period that share nodes which are rare in the periods before."""
+    """Windows of the test period, and which of them share nodes of anomalous edges that are rare in training and test together."""
     e = edges(spark, d)
-    test = P.endpoints(e.where("split = 'test'"), "w").distinct()
-    rare = A.idf(P.endpoints(e.where("split <> 'test'"), "w"), "node").where("idf > 3").select("node")
-    return test.select("w").distinct(), A.window_overlap(test.join(rare, "node", "left_semi"), "node")
+    label = F.when(F.col("node") >= 1_000_000, F.concat(F.lit("/data/f"), F.col("node"))).otherwise(F.concat(F.lit("/home/u"), F.col("node"))).alias("label")
+    named = lambda split: P.endpoints(e.where(F.col("split") == split), "w").select("w", label)
+    found = A.anomalous_nodes(e.where("split = 'test'")).select("w", label)
+    rare = A.rare_labels(found, named("train"), named("test"), BENIGN_KEYWORDS)
+    return e.where("split = 'test'").select("w").distinct(), A.window_overlap(found.join(rare, "label", "left_semi"), "label")
+
 
+@query("rare_overlap", "a:l b:l", f"WITH RECURSIVE {{E}}, {QUEUES} SELECT a, b FROM ov")
+def rare_overlaps(spark, d):
+    """J9, A10, U3, P7."""
+    return rare_overlap(spark, d)[1]
 
-@query("queues", "w:l queue:l")
+
+@query("queues", "w:l queue:l", f"WITH RECURSIVE {{E}}, {QUEUES} SELECT w, min(q) AS queue FROM qs GROUP BY w")
 def queues(spark, d):
-    """T11."""
+    """A window joins the first queue that holds one it overlaps with, which is the least that earlier windows lead back to."""
     return A.queues(*rare_overlap(spark, d))
 
 
-@query("shared_queues", "w:l queue:l")
+@query("shared_queues", "w:l queue:l", f"WITH RECURSIVE {{E}}, {QUEUES} SELECT w, q AS queue FROM qs")
 def shared_queues(spark, d):
-    """T12."""
+    """Every queue that holds one."""
     return A.queues(*rare_overlap(spark, d), many=True)
 
 
-@query("queue_verdicts", "w:l y_hat:l")
+@query("queue_verdicts", "w:l y_hat:l", f"""WITH RECURSIVE {{E}}, {QUEUES}, q1 AS (SELECT w, min(q) AS queue FROM qs GROUP BY w), ml AS (SELECT w, coalesce(avg(CASE WHEN loss > thr THEN loss END), 0) AS m FROM e, thr WHERE split = 'test' GROUP BY w),
+    sc AS (SELECT queue, sum(ln(m + 1)) AS s FROM q1 JOIN ml ON q1.w = ml.w GROUP BY queue) SELECT w, CASE WHEN s > ln(20) THEN 1 ELSE 0 END AS y_hat FROM q1 JOIN sc ON q1.queue = sc.queue""")
 def queue_verdicts(spark, d):
     """A13, E19."""
     members = A.queues(*rare_overlap(spark, d))
@@ -165,9 +187,10 @@ def run_counters(spark, d):
     return rows.groupBy("split", "type").agg(F.countDistinct(F.when(bad, F.col("node"))).alias("malicious"), F.countDistinct(F.when(~bad, F.col("node"))).alias("benign"), F.min(F.when(bad, F.col("w"))).alias("first_window"))
 
 
-@query("classifier_evaluation", "tp:l fp:l fn:l tn:l precision:d recall:d fpr:d fscore:d accuracy:d mcc:d", """WITH {E}, c AS (SELECT count(CASE WHEN y = 1 AND y_hat = 1 THEN 1 END)::DOUBLE AS tp, count(CASE WHEN y = 0 AND y_hat = 1 THEN 1 END)::DOUBLE AS fp, count(CASE WHEN y = 1 AND y_hat = 0 THEN 1 END)::DOUBLE AS fn, count(CASE WHEN y = 0 AND y_hat = 0 THEN 1 END)::DOUBLE AS tn FROM pred)
+@query("classifier_evaluation", "tp:l fp:l fn:l tn:l precision:d recall:d fpr:d fscore:d accuracy:d balanced_accuracy:d mcc:d lr_plus:d dor:d", """WITH {E}, c AS (SELECT count(CASE WHEN y = 1 AND y_hat = 1 THEN 1 END)::DOUBLE AS tp, count(CASE WHEN y = 0 AND y_hat = 1 THEN 1 END)::DOUBLE AS fp, count(CASE WHEN y = 1 AND y_hat = 0 THEN 1 END)::DOUBLE AS fn, count(CASE WHEN y = 0 AND y_hat = 0 THEN 1 END)::DOUBLE AS tn FROM pred)
     SELECT tp, fp, fn, tn, round(tp / (tp + fp + 1e-12), 5) AS precision, round(tp / (tp + fn + 1e-12), 5) AS recall, round(fp / (fp + tn + 1e-12), 7) AS fpr, round(2 * (tp / (tp + fp + 1e-12)) * (tp / (tp + fn + 1e-12)) / (tp / (tp + fp + 1e-12) + tp / (tp + fn + 1e-12) + 1e-12), 5) AS fscore,
-    round((tp + tn) / (tp + tn + fp + fn + 1e-12), 5) AS accuracy, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 5) AS mcc FROM c""")
+    round((tp + tn) / (tp + tn + fp + fn + 1e-12), 5) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 5) AS balanced_accuracy, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 5) AS mcc,
+    round(tp / (tp + fn + 1e-12) / (fp / (fp + tn + 1e-12) + 1e-12), 5) AS lr_plus, round(tp * tn / (fp * fn + 1e-12), 5) AS dor FROM c""")
 def classifier_evaluation(spark, d):
     """E1, E4, F24."""
     return M.classifier_evaluation(predictions(spark, d))
@@ -207,16 +230,24 @@ def recall_precision_area(spark, d):
     return M.recall_precision_area(predictions(spark, d))
 
 
-@query("discrimination", "attack:l score:d", """WITH {E}, m AS (SELECT min(score) AS lo, max(score) AS hi FROM pred), s AS (SELECT node, y, (score - lo) / (hi - lo) AS s FROM pred, m), b AS (SELECT avg(s) AS b FROM (SELECT s FROM s WHERE y = 0 ORDER BY s DESC LIMIT 10))
-    SELECT attack, CASE WHEN max(s) IS NULL THEN 0 ELSE max(s) - any_value(b) END AS score FROM truth LEFT JOIN (SELECT node, s FROM s WHERE y = 1) t ON truth.node = t.node CROSS JOIN b GROUP BY attack""")
+SCALED = "s AS (SELECT node, y, score / ((SELECT max(score) FROM pred) + 1e-6) AS s FROM pred), b AS (SELECT avg(s) AS b FROM (SELECT s FROM s WHERE y = 0 ORDER BY s DESC LIMIT 10))"
+
+
+@query("discrimination", "attack:l score:d", f"WITH {{E}}, {SCALED} SELECT attack, CASE WHEN max(s) IS NULL THEN 0 ELSE greatest(max(s), 0) - any_value(b) END AS score FROM truth LEFT JOIN s ON truth.node = s.node CROSS JOIN b GROUP BY attack")
 def discrimination(spark, d):
     """E7, O2."""
     return M.discrimination(predictions(spark, d), attacks(spark, d))
 
 
+@query("discrimination_hits", "attack:l tp:l", f"WITH {{E}}, {SCALED} SELECT attack, count(CASE WHEN s > b THEN 1 END) AS tp FROM truth LEFT JOIN s ON truth.node = s.node CROSS JOIN b GROUP BY attack")
+def discrimination_hits(spark, d):
+    """E8."""
+    return M.discrimination_hits(predictions(spark, d), attacks(spark, d))
+
+
 @query("attack_hits", "attack:l tp:l", "WITH {E} SELECT attack, count(CASE WHEN y_hat = 1 THEN 1 END) AS tp FROM truth LEFT JOIN pred ON truth.node = pred.node GROUP BY attack")
 def attack_hits(spark, d):
-    """E8, E11."""
+    """E11."""
     return M.attack_hits(predictions(spark, d), attacks(spark, d))
 
 
@@ -248,17 +279,12 @@ def two_means(spark, d):
 
 
 @query("relaxed", "tp:l fp:l fn:l precision:d recall:d f1:d", """WITH {E}, l AS (SELECT src AS a, dst AS b FROM e WHERE split = 'test' UNION SELECT dst, src FROM e WHERE split = 'test'),
-    t0 AS (SELECT node FROM pred WHERE y = 1), t1 AS (SELECT node FROM t0 UNION SELECT b FROM l JOIN t0 ON a = node), h0 AS (SELECT node FROM pred WHERE y = 1 AND y_hat = 1), h1 AS (SELECT node FROM h0 UNION SELECT b FROM l JOIN h0 ON a = node),
-    c AS (SELECT count(CASE WHEN y = 1 AND (y_hat = 1 OR node IN (SELECT node FROM h1)) THEN 1 END)::DOUBLE AS tp, count(CASE WHEN y = 0 AND y_hat = 1 AND node NOT IN (SELECT node FROM t1) THEN 1 END)::DOUBLE AS fp, count(CASE WHEN y = 1 AND y_hat = 0 AND node NOT IN (SELECT node FROM h1) THEN 1 END)::DOUBLE AS fn FROM pred)
+    t0 AS (SELECT node FROM pred WHERE y = 1), t1 AS (SELECT node FROM t0 UNION SELECT b FROM l JOIN t0 ON a = node), t2 AS (SELECT node FROM t1 UNION SELECT b FROM l JOIN t1 ON a = node),
+    h0 AS (SELECT node FROM pred WHERE y = 1 AND y_hat = 1), h1 AS (SELECT node FROM h0 UNION SELECT b FROM l JOIN h0 ON a = node), h2 AS (SELECT node FROM h1 UNION SELECT b FROM l JOIN h1 ON a = node),
+    c AS (SELECT count(CASE WHEN y = 1 AND (y_hat = 1 OR node IN (SELECT node FROM h2)) THEN 1 END)::DOUBLE AS tp, count(CASE WHEN y = 0 AND y_hat = 1 AND node NOT IN (SELECT node FROM t2) THEN 1 END)::DOUBLE AS fp, count(CASE WHEN y = 1 AND y_hat = 0 AND node NOT IN (SELECT node FROM h2) THEN 1 END)::DOUBLE AS fn FROM pred)
     SELECT tp, fp, fn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM c""")
 def relaxed(spark, d):
-    """Here within one hop."""
-    return M.relaxed(predictions(spark, d), edges(spark, d).where("split = 'test'"), 1)
-
-
-@query("relaxed_two_hops", "tp:l fp:l fn:l precision:d recall:d f1:d")
-def relaxed_two_hops(spark, d):
-    """E14, G25 in full: within two hops. `relaxed` and its SQL stay at one; tests hold this against brute force."""
+    """Within two hops."""
     return M.relaxed(predictions(spark, d), edges(spark, d).where("split = 'test'"))
 
 
@@ -274,7 +300,7 @@ def threshold_curve(spark, d):
 
 @query("best_epoch", "epoch:l", "WITH {E} SELECT epoch FROM (SELECT w // 24 AS epoch, round(avg(loss), 0) AS a, round(max(loss), 1) AS b FROM e GROUP BY 1) ORDER BY a DESC, b DESC, epoch LIMIT 1")
 def best_epoch(spark, d):
-    """Days stand for epochs."""
+    """Days stand for epochs."""
     stats = edges(spark, d).groupBy(F.floor(F.col("w") / 24).alias("epoch")).agg(F.round(F.avg("loss"), 0).alias("adp"), F.round(F.max("loss"), 1).alias("discrimination"))
     return M.best_epoch(stats)
 
@@ -287,8 +313,9 @@ def detection_cost(spark, d):
     return out.withColumnsRenamed({c: f"{c}_score" for c in ("current", "full", "campaign")})
 
 
-@query("discrimination_area", "area:d", """WITH {E}, r AS (SELECT y, score, row_number() OVER (PARTITION BY y ORDER BY score DESC, node) AS rn FROM pred), k AS (SELECT sum(y) AS k FROM pred),
-    x AS (SELECT rn, max(CASE WHEN y = 1 THEN score END) - coalesce(max(CASE WHEN y = 0 THEN score END), 0) AS dd FROM r, k WHERE rn <= k GROUP BY rn) SELECT sum(CASE WHEN rn = 1 OR rn = k THEN dd / 2 ELSE dd END) / (any_value(k) - 1) AS area FROM x, k""")
+@query("discrimination_area", "area:d", """WITH {E}, k AS (SELECT sum(y) AS k FROM pred), r AS (SELECT y, score, row_number() OVER (PARTITION BY y ORDER BY score DESC, node) AS rn FROM pred),
+    x AS (SELECT g.rn, g.score AS bad, b.score AS good, g.score - b.score AS dd FROM r g JOIN r b ON g.rn = b.rn, k WHERE g.y = 1 AND b.y = 0 AND g.rn <= k), n AS (SELECT count(CASE WHEN bad > good THEN 1 END) AS above, greatest(max(bad), max(good)) - least(min(bad), min(good)) AS span FROM x),
+    z AS (SELECT dd, row_number() OVER (ORDER BY rn) AS i, count(*) OVER () AS m FROM x, n WHERE above = 0 OR bad > good) SELECT (sum(dd) - sum(CASE WHEN i = 1 THEN dd / 2 ELSE 0 END + CASE WHEN i = m THEN dd / 2 ELSE 0 END)) / (any_value(span) * any_value(k)) AS area FROM z, n, k""")
 def discrimination_area(spark, d):
     """W19."""
     return M.discrimination_area(predictions(spark, d))

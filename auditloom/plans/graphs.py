@@ -129,7 +129,7 @@ def acyclic(spark, d):
 
 @query("first_edges", "w:l src:l dst:l op:s", "WITH {E} SELECT w, src, dst, op FROM (SELECT *, row_number() OVER (PARTITION BY w, src, dst ORDER BY t, event_id) AS rn FROM e) WHERE rn = 1")
 def first_edges(spark, d):
-    """G6, S13."""
+    """G6."""
     return G.first_edges(edges(spark, d), "w")
 
 
@@ -291,7 +291,7 @@ def anomaly_subgraphs(spark, d):
 def incident_rows(spark, d):
     e = edges(spark, d).where("split <> 'train'")
     day = e.withColumn("w", F.floor(F.col("w") / 24))
-    at = A.threshold(e.where("split = 'val'"), "seed_percentile")
+    at = A.seed_threshold(e.where("split = 'val'"), "percentile", 99)
     config = I.IncidentConfig(max_gap=6 * P.HOUR, max_hops=2, max_context_edges=20, penalties={"view": 0.5})
     test = day.where("split = 'test'")
     return I.build_incidents(test, at, config), test

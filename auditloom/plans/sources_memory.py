@@ -21,13 +21,6 @@ def fingerprints(spark, d):
     return e.groupBy("w").agg(F.count("*").alias("n")).join(a, "w").join(b, "w").withColumn("same", F.col("fingerprint") == F.col("f2"))
 
 
-@query("signatures", "w:l dim:l n1:d n2:d view:d", """WITH {E}, x AS (SELECT *, w // 24 AS day FROM e WHERE split = 'val'), r AS (SELECT day, op, count(*) AS n FROM x GROUP BY day, op), k AS (SELECT day, sqrt(sum(n * n)) AS s FROM r GROUP BY day)
-    SELECT k.day AS w, 58 - 13 AS dim, 0.5 AS n1, 0.5 AS n2, coalesce((SELECT n FROM r WHERE r.day = k.day AND op = 'view'), 0) / s * 0.5 AS view FROM k""")
-def signatures(spark, d):
-    """Days of the validation period as entries."""
-    return day_signatures(edges(spark, d).where("split = 'val'"))
-
-
 def day_signatures(e):
     e = e.withColumn("w", F.floor(F.col("w") / 24))
     types, ops = ("subject", "file"), ("click", "error", "purchase", "signup", "view")
@@ -37,33 +30,13 @@ def day_signatures(e):
     return s.select("w", F.size("signature").alias("dim"), part(0, 3).alias("n1"), part(3, 9).alias("n2"), F.element_at("signature", 8).alias("view"))
 
 
-@query("signatures_all", "w:l dim:l n1:d n2:d view:d", """WITH {E}, x AS (SELECT *, w // 24 AS day FROM e), r AS (SELECT day, op, count(*) AS n FROM x GROUP BY day, op), k AS (SELECT day, sqrt(sum(n * n)) AS s FROM r GROUP BY day)
+@query("signatures", "w:l dim:l n1:d n2:d view:d", """WITH {E}, x AS (SELECT *, w // 24 AS day FROM e), r AS (SELECT day, op, count(*) AS n FROM x GROUP BY day, op), k AS (SELECT day, sqrt(sum(n * n)) AS s FROM r GROUP BY day)
     SELECT k.day AS w, 58 - 13 AS dim, 0.5 AS n1, 0.5 AS n2, coalesce((SELECT n FROM r WHERE r.day = k.day AND op = 'view'), 0) / s * 0.5 AS view FROM k""")
-def signatures_all(spark, d):
+def signatures(spark, d):
     """All days as entries."""
     return day_signatures(edges(spark, d))
 
 
-@query("retrieval", "query:l label:l entry_id:l rank:l similarity:d strong:b", """WITH q AS (SELECT vec_id AS query, embedding AS v FROM embeddings ORDER BY vec_id LIMIT 5), s AS (SELECT query, vec_id AS entry_id, label, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS similarity FROM embeddings, q),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY similarity DESC, entry_id) AS rank FROM s WHERE similarity >= 0.2) SELECT query, label, entry_id, rank, similarity, true AS strong FROM r WHERE rank <= 3""")
-def retrieval(spark, d):
-    """Five stated queries against all vectors."""
-    ship_package(spark)
-    v = spark.read.parquet(f"{d}/embeddings.parquet")
-    q = v.orderBy("vec_id").limit(5).select(F.col("vec_id").alias("query"), F.col("embedding").alias("signature"))
-    return R.retrieve(q, v.select(F.col("vec_id").alias("entry_id"), "label", F.col("embedding").alias("signature")), 3, 0.2)
-
-
-@query("weak_retrieval", "query:l label:l entry_id:l rank:l similarity:d strong:b", """WITH q AS (SELECT vec_id AS query, list_transform(embedding, lambda x: -x) AS v FROM embeddings ORDER BY vec_id LIMIT 5), s AS (SELECT query, vec_id AS entry_id, label, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS similarity FROM embeddings, q),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, entry_id) AS rank FROM s) SELECT query, label, entry_id, rank, similarity, false AS strong FROM r WHERE rank = 1""")
-def weak_retrieval(spark, d):
-    """M7: without a strong match the closest entry is returned and marked."""
-    ship_package(spark)
-    v = spark.read.parquet(f"{d}/embeddings.parquet")
-    q = v.orderBy("vec_id").limit(5).select(F.col("vec_id").alias("query"), F.transform("embedding", lambda x: -x).alias("signature"))
-    return R.retrieve(q, v.select(F.col("vec_id").alias("entry_id"), "label", F.col("embedding").alias("signature")), 3, 0.99)
-
-
 ALL_QUERIES = """WITH q AS (SELECT vec_id AS query, list_transform(embedding, lambda x: {sign} * x) AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS entry_id, label, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS similarity FROM embeddings, q),
     r AS (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY similarity DESC, entry_id) AS rank FROM s WHERE similarity >= {at}), c AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, entry_id) AS rank FROM s WHERE query NOT IN (SELECT query FROM r))
     SELECT query, label, entry_id, rank, similarity, true AS strong FROM r WHERE rank <= 3 UNION ALL SELECT query, label, entry_id, rank, similarity, false FROM c WHERE rank = 1"""
@@ -77,14 +50,14 @@ def all_retrieved(spark, d, sign: int, at: float):
     return R.retrieve(q, v.select(F.col("vec_id").alias("entry_id"), "label", F.col("embedding").alias("signature")), 3, at)
 
 
-@query("retrieval_all", "query:l label:l entry_id:l rank:l similarity:d strong:b", ALL_QUERIES.replace("{sign}", "1").replace("{at}", "0.2"))
-def retrieval_all(spark, d):
+@query("retrieval", "query:l label:l entry_id:l rank:l similarity:d strong:b", ALL_QUERIES.replace("{sign}", "1").replace("{at}", "0.2"))
+def retrieval(spark, d):
     """Queries grow with the vectors."""
     return all_retrieved(spark, d, 1, 0.2)
 
 
-@query("weak_retrieval_all", "query:l label:l entry_id:l rank:l similarity:d strong:b", ALL_QUERIES.replace("{sign}", "-1").replace("{at}", "0.99"))
-def weak_retrieval_all(spark, d):
+@query("weak_retrieval", "query:l label:l entry_id:l rank:l similarity:d strong:b", ALL_QUERIES.replace("{sign}", "-1").replace("{at}", "0.99"))
+def weak_retrieval(spark, d):
     """M7: the same without strong matches."""
     return all_retrieved(spark, d, -1, 0.99)
 
@@ -111,17 +84,9 @@ def file_order(spark, d):
     return tables.window_order(names)
 
 
-@query("graph_json", "value:s", """WITH {E}, n AS (SELECT DISTINCT node, CASE WHEN node >= 1000000 THEN 'file' ELSE 'subject' END AS type FROM ends), g AS (SELECT src AS node, list_sort(list(DISTINCT dst)) AS targets FROM e WHERE split = 'val' GROUP BY src)
+@query("graph_json", "value:s", """WITH {E}, n AS (SELECT DISTINCT node, CASE WHEN node >= 1000000 THEN 'file' ELSE 'subject' END AS type FROM ends), g AS (SELECT src AS node, list_sort(list(DISTINCT dst)) AS targets FROM e GROUP BY src)
     SELECT '{"node":' || n.node || ',"type":"' || type || '","targets":[' || coalesce(array_to_string(targets, ','), '') || ']}' AS value FROM n LEFT JOIN g ON n.node = g.node""")
 def graph_json(spark, d):
-    """S28."""
-    e = edges(spark, d)
-    return tables.graph_json(e.where("split = 'val'"), nodes(e).select("node", "type"))
-
-
-@query("graph_json_all", "value:s", """WITH {E}, n AS (SELECT DISTINCT node, CASE WHEN node >= 1000000 THEN 'file' ELSE 'subject' END AS type FROM ends), g AS (SELECT src AS node, list_sort(list(DISTINCT dst)) AS targets FROM e GROUP BY src)
-    SELECT '{"node":' || n.node || ',"type":"' || type || '","targets":[' || coalesce(array_to_string(targets, ','), '') || ']}' AS value FROM n LEFT JOIN g ON n.node = g.node""")
-def graph_json_all(spark, d):
     """S28 over all edges."""
     e = edges(spark, d)
     return tables.graph_json(e, nodes(e).select("node", "type"))

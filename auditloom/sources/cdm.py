@@ -6,11 +6,12 @@ the order of the file counts, and ids follow the order in which identities are f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.scalars import digest
 from auditloom.functions.vocabulary import EXCLUDED, REVERSED
+from auditloom.operators.ranks import numbered
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -65,16 +66,11 @@ def files(log: DataFrame, version: int = 18) -> DataFrame:
 def node_table(net: DataFrame, sub: DataFrame, fil: DataFrame) -> DataFrame:
     """(uuid, hash_id, node_type, index_id), numbered from 0: netflows, subjects and files, each in the order of first sight.
 
-    Numbers are offsets of ranges of places plus places within; the sort is Spark's own range sort.
+    Ranges of places are numbered side by side.
     """
     parts = [df.select("uuid", "hash_id", F.lit(t).alias("node_type"), F.lit(i).alias("kind"), "first") for i, (df, t) in enumerate(((net, "netflow"), (sub, "subject"), (fil, "file")))]
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    ordered = every.repartitionByRange("kind", "first").sortWithinPartitions("kind", "first").withColumn("part", F.spark_partition_id())
-    ordered = ordered.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy("kind", "first")) - 1)
-    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return ordered.join(F.broadcast(starts), "part").select("uuid", "hash_id", "node_type", (F.col("start") + F.col("rn")).alias("index_id"))
+    return numbered(every, [F.col("kind"), F.col("first")], "index_id").select("uuid", "hash_id", "node_type", "index_id")
 
 
 def cdm_events(log: DataFrame, nodes: DataFrame, version: int = 18) -> DataFrame:

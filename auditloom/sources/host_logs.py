@@ -11,13 +11,19 @@ OBJECTS = ("FILE", "FLOW", "PROCESS")
 
 
 def actions(spark: SparkSession, path: str, host: str, operations: tuple[str, ...]) -> DataFrame:
-    """S9 and the common filters: actions of one host that are kept, with their place in the log."""
+    """The actions of one host that are kept, from the logs of a path."""
+    raw = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("pos"))
+    return parsed(raw, host, operations)
+
+
+def parsed(raw: DataFrame, host: str, operations: tuple[str, ...]) -> DataFrame:
+    """S9 and the common filters: lines (value, pos) as actions with their place in the log."""
     fixed = F.regexp_replace("value", r"\\\\", "/")
     get = lambda name: F.get_json_object("line", f"$.{name}").alias(name.split(".")[-1])
-    raw = spark.read.text(path).select(fixed.alias("line"), F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("pos"))
+    lines = raw.select(fixed.alias("line"), "pos")
     names = ("id", "hostname", "action", "object", "actorID", "objectID", "timestamp")
     props = ("image_path", "file_path", "src_ip", "src_port", "dest_ip", "dest_port", "parent_image_path", "command_line", "direction")
-    rows = raw.select("pos", *(get(n) for n in names), *(get(f"properties.{p}") for p in props))
+    rows = lines.select("pos", *(get(n) for n in names), *(get(f"properties.{p}") for p in props))
     return rows.where((short_host(F.col("hostname")) == host) & F.col("action").isin(*operations))
 
 

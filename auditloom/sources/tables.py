@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.scalars import strict_long
+from auditloom.operators.ranks import numbered
 
 
 def check_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -57,12 +58,6 @@ def write_windows(edges: DataFrame, path: str) -> None:
     edges.repartition("w").sortWithinPartitions("w", "t").write.partitionBy("w").parquet(path)
 
 
-def publish(report: DataFrame, folder: str, generation: str) -> str:
-    """A report in a folder of its own generation; readers take the latest generation that is complete."""
-    report.write.json(f"{folder}/{generation}")
-    return f"{folder}/{generation}"
-
-
 def adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """An edge list with labels and types of both ends, nodes(node, label, type)."""
     for end in ("src", "dst"):
@@ -72,7 +67,7 @@ def adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def window_order(names: DataFrame) -> DataFrame:
     """(name, place): by the number that all digits of a name make."""
-    return names.withColumn("place", F.row_number().over(Window.orderBy(F.regexp_replace("name", r"\D", "").try_cast("decimal(38,0)"), "name")).cast("long") - 1)
+    return numbered(names, [F.regexp_replace("name", r"\D", "").try_cast("decimal(38,0)").asc(), F.col("name")], "place")
 
 
 def offset_union(parts: list[DataFrame]) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from auditloom.functions import scalars as S
-from auditloom.operators import graph as G, incidents as I, joins as J, memory as R, metrics as M, scoring as A, windows as W
-from auditloom.sources import cdm, host_logs, tables
+from auditloom.operators import attacks, features, graph as G, incidents as I, joins as J, memory as R, metrics as M, ranks, scoring as A, windows as W
+from auditloom.sources import cdm, host_logs, reports, tables
 from auditloom.streaming import windows as stream
 
 EDGE = "event_id long, src long, dst long, t long, op string, loss double, w long"
@@ -150,15 +152,224 @@ def test_band_join_is_exact(spark):
 
 def test_seed_thresholds(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "loss double")
-    assert A.threshold(df, "max_val_loss") == 4.0
-    assert A.threshold(df, "seed_percentile") == pytest.approx(3.96)
+    assert A.threshold(df, "max_val_loss") == A.seed_threshold(df) == 4.0
+    assert A.seed_threshold(df, "percentile") == pytest.approx(3.96)
+    assert [A.seed_threshold(df, "percentile", x) for x in (0, 25, 50, 100)] == pytest.approx([1, 1.5, 2, 4])
     assert A.seeds(df, 2.0).count() == 2
+    for bad in (df.limit(0), df.withColumnRenamed("loss", "x"), *(df.union(spark.createDataFrame([(v,)], "loss double")) for v in (None, -1.0, float("nan"), float("inf")))):
+        with pytest.raises(ValueError):
+            A.seed_threshold(bad)
+    for method, percentile in (("mean", 99), ("percentile", -1), ("percentile", 100.5)):
+        with pytest.raises(ValueError):
+            A.seed_threshold(df, method, percentile)
     with pytest.raises(ValueError):
         A.threshold(df.limit(0), "max_val_loss")
     with pytest.raises(ValueError):
         A.reduced("magic")
 
 
+def test_quantiles_by_ranks(spark):
+    """Narrowed by counts as in one aggregate: ties, few and many distinct values, nulls."""
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=3000), np.repeat([1.0, 2.0, 7.5], [1500, 3, 1]), np.zeros(50), rng.integers(0, 9, 700).astype(float)):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3)
+        for share in (0.0, 0.013, 0.5, 0.9, 1.0):
+            assert ranks.quantile(df, "v", share, direct=20) == pytest.approx(float(np.quantile(values, share)))
+    assert ranks.quantile(df.limit(0), "v", 0.5) is None
+
+
+def test_ranks_across_ranges(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.randrange(5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, x long").repartition(6)
+    got = {r.id: r for r in ranks.numbered(df, [F.col("x").desc(), F.col("id")], "rn", ["g"]).collect()}
+    for g in "ab":
+        order = sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0]))
+        assert [got[r[0]].rn for r in order] == list(range(len(order)))
+    got = {r.id: r.x_0 for r in ranks.with_previous(df, "id", "x").collect()}
+    assert got == {i: (rows[i - 1][2] if i else None) for i, *_ in rows}
+
+
+def test_ancestry_from_both_ends(spark):
+    """Paths begin at the target of a seed too, and reach back to the gap before the earlier seed only."""
+    rows = [(1, 2, 100, "x", 10.0), (3, 4, 105, "x", 10.0), (9, 2, 99, "fork", 0.0), (9, 4, 98, "fork", 0.0)]
+    config = {"max_gap": 10, "context_hops": 0, "ancestry_ops": ("fork",), "ancestry_hops": 2}
+    got, incidents = built(spark, rows, 5.0, **config)
+    assert len(incidents) == 1 and ("connector", 2) in got and ("connector", 3) in got
+    far = [(a, b, t - 20 if op == "fork" else t, op, loss) for a, b, t, op, loss in rows]
+    assert len(built(spark, far, 5.0, **config)[1]) == 2
+    with pytest.raises(RuntimeError, match="budget"):
+        built(spark, rows, 5.0, max_search_states=1, **config)
+
+
+def test_groups_of_seeds(spark):
+    """I4: an edge's own attribute, else that on which its nodes agree; a conflict parts seeds."""
+    df = spark.createDataFrame([(0, 1, 2, 5, "a", 9.0, 0, "h1", "h1"), (1, 2, 3, 6, "a", 9.0, 0, "h1", "h2"), (2, 2, 4, 7, "a", 9.0, 0, "h2", None)], EDGE + ", src_host string, dst_host string")
+    seen = {}
+    for groups in ((), ("host",), ("host", "op")):
+        pairs = I.seed_pairs(df, I.IncidentConfig(max_gap=10, group_by=groups)).collect()
+        seen[groups] = {(r.event_id, r.event_id_r) for r in pairs}
+    assert seen[()] == {(0, 1), (0, 2), (1, 2)} and seen[("host",)] == seen[("host", "op")] == {(0, 1), (1, 2)}
+
+
+def test_checked_roles(spark):
+    events = spark.createDataFrame([(1, 2, 0, 5, "a", 0.5), (2, 3, 0, 6, "b", 1.5)], "src long, dst long, key long, t long, op string, score double")
+    roles = lambda *rows: spark.createDataFrame(rows, "incident long, role string, src long, dst long, key long, t long, op string, score double")
+    good = ((1, "seed", 1, 2, 0, 5, "a", 0.5 + 1e-13), (1, "context", 2, 3, 0, 6, "b", None), (2, "seed", 2, 3, 0, 6, "b", 1.5))
+    assert I.checked_roles(roles(*good), events).count() == 3
+    for bad, what in (((1, "seed", 9, 2, 0, 5, "a", 0.5), "missing"), ((1, "seed", 1, 2, 0, 6, "a", 0.5), "attributes"), ((1, "seed", 1, 2, 0, 5, "b", 0.5), "attributes"), ((1, "seed", 1, 2, 0, 5, "a", 0.6), "score"), (good[1], "more than one role")):
+        with pytest.raises(ValueError, match=what):
+            I.checked_roles(roles(*good[1:2], bad), events)
+
+
+def test_early_stop(spark):
+    """By f1, auc or tnr; waits are counted from the last best value, or from one too low."""
+    f1 = [(0, 0.5), (1, 0.6), (2, 0.58), (3, 0.3), (4, 0.59), (5, 0.6), (6, 0.55), (7, 0.9)]
+    rows = [("p", e, 0.1, v, None, 0.9) for e, v in f1] + [("f", e, 0.01, 0.0, v, 0.9) for e, v in enumerate((0.7, 0.69, None, 0.5, 0.68, 0.68, 0.67))] + [("n", e, 0.0, 0.0, None, v) for e, v in enumerate((0.9, 0.9))]
+    df = spark.createDataFrame(rows, "type string, epoch long, malicious double, f1 double, auc double, tnr double").repartition(3)
+    got = {(r.type, r.epoch): (r.metric, r.best, r.waits, r.stopped) for r in M.early_stop(df).collect()}
+    assert [got["p", e][2:] for e in range(8)] == [(0, False), (0, False), (1, False), (0, False), (1, False), (2, False), (3, True), (3, True)]
+    assert got["p", 7][1] == 0.6
+    assert [got["f", e][2] for e in (0, 1, 3, 4, 5, 6)] == [0, 1, 0, 1, 2, 3] and got["f", 6][3] and ("f", 2) not in got
+    assert got["n", 1] == ("tnr", 0.9, 1, False)
+
+
+def test_reports(spark, tmp_path):
+    folder = str(tmp_path / "report")
+    made = []
+
+    def make(n):
+        def run():
+            made.append(n)
+            return {"rows": spark.range(n)}
+
+        return run
+
+    assert reports.latest(spark, folder) is None
+    assert reports.cached(spark, folder, "a", make(3))["rows"].count() == 3
+    assert reports.cached(spark, folder, "a", make(4))["rows"].count() == 3 and made == [3]
+    assert reports.cached(spark, folder, "b", make(5))["rows"].count() == 5 and made == [3, 5]
+    with pytest.raises(ZeroDivisionError):
+        reports.cached(spark, folder, "c", lambda: 1 / 0)
+    assert reports.latest(spark, folder)["fingerprint"] == "b"
+
+
+def test_epoch_selection(spark, tmp_path):
+    scores, path = str(tmp_path / "scores"), str(tmp_path / "selected.json")
+    spark.range(5).write.csv(scores)
+    mark = reports.fingerprint(reports.inventory(spark, scores))
+    reports.save_selection(spark, path, 7, "adp", {"adp": 0.5}, scores, mark)
+    assert reports.load_selection(spark, path, "adp", scores)["epoch"] == 7
+    with pytest.raises(ValueError, match="stale"):
+        reports.load_selection(spark, path, "other", scores)
+    for epoch, metrics in ((-1, {}), (True, {}), (3, {"adp": float("nan")})):
+        with pytest.raises(ValueError):
+            reports.save_selection(spark, path, epoch, "adp", metrics, scores, mark)
+    spark.range(3).write.mode("append").csv(scores)
+    with pytest.raises(ValueError, match="stale"):
+        reports.load_selection(spark, path, "adp", scores)
+    with pytest.raises(RuntimeError):
+        reports.save_selection(spark, path, 7, "adp", {"adp": 0.5}, scores, mark)
+    with pytest.raises(ValueError, match="no selection"):
+        reports.load_selection(spark, path + "x", "adp", scores)
+
+
+def test_source_ids(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.bin").write_bytes(b"\x00\xff")
+    got = {r.name: r.source_id for r in reports.source_ids(spark, str(tmp_path)).collect()}
+    assert got == {"a.bin": hashlib.sha256(b"a.bin\x00\x00\xff").hexdigest()}
+
+
+def test_batch_digests(spark):
+    rows = [(i, i % 3, i % 4, 10 - i, 1, -i) for i in range(7)]
+    df = spark.createDataFrame(rows, "event_id long, src long, dst long, t long, k long, v long")
+    got = {r.batch: r.digest for r in W.batch_digest(W.batches(df, 4), ("src", "dst", "t", "k", "v")).collect()}
+    order = sorted(rows, key=lambda r: (r[3], r[0]))
+    want = {b: hashlib.sha256(b"".join(int(x).to_bytes(8, "little", signed=True) for r in order[b * 4 : b * 4 + 4] for x in r[1:])).hexdigest() for b in (0, 1)}
+    assert got == want
+
+
+def test_hashed_characters(spark):
+    assert [features.murmur3(x) & 0xFFFFFFFF for x in (b"", b"a", b"abc", b"test", b"Hello, world!")] == [0, 0x3C2569B2, 0xB3DD93FA, 0xBA6BD213, 0xC0363E43]
+    df = spark.createDataFrame([(1, "file", " /a/b "), (2, "netflow", "1.2"), (3, "file", ""), (4, "file", None)], "node long, type string, label string")
+    got = {r.node: np.array(r.vector) for r in features.hierarchical_hashes(df, 8).collect()}
+    for node, text in ((1, "" + "/a" + "/a/b"), (2, "1" + "1.2"), (3, ""), (4, "")):
+        want = np.zeros(8)
+        for c in text:
+            h = features.murmur3(c.encode())
+            want[abs(h) % 8] += 1 if h >= 0 else -1
+        assert got[node] == pytest.approx(want / (np.linalg.norm(want) + 1e-12))
+
+
+def test_novelty(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(60, 3)), rng.normal(size=(20, 3)) * 0.1 + 5])
+    new = np.concatenate([x[:3], rng.normal(size=(5, 3)), [[9.0, 9, 9], [5, 5, 5.05]]])
+    frame = lambda v: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in features.novelty(frame(x), frame(new), k=10).collect()}
+
+    def nearest(v, skip=None):
+        d = np.linalg.norm(x - v, axis=1)
+        if skip is not None:
+            d[skip] = np.inf
+        order = np.argsort(d, kind="stable")[:10]
+        return d[order], order
+
+    fit = [nearest(v, i) for i, v in enumerate(x)]
+    density = lambda d, o: 1 / (np.mean([max(a, fit[j][0][-1]) for a, j in zip(d, o)]) + 1e-10)
+    own = [density(*f) for f in fit]
+    for i, v in enumerate(new):
+        d, o = nearest(v)
+        assert got[i] == pytest.approx(1.5 - np.mean([own[j] for j in o]) / density(d, o))
+    assert got[8] < 0 < got[9]
+
+
+def test_word_vectors(spark):
+    """Tokens of equal company lie closer than those of another."""
+    rng = random.Random(2)
+    docs = [[rng.choice("abc") if i % 2 else rng.choice("xyz") for _ in range(12)] for i in range(300)]
+    docs = [(["p", *d[:6], "q"] if i % 2 else ["r", *d[:6], "s"],) for i, d in enumerate(docs)]
+    got = {r.token: np.array(r.vector) for r in features.word_vectors(spark.createDataFrame(docs + [([],), (["once"],)], "tokens array<string>"), 12, least=2, rounds=8).collect()}
+    assert set(got) == set("abcxyzpqrs")
+    cos = lambda a, b: got[a] @ got[b] / np.linalg.norm(got[a]) / np.linalg.norm(got[b])
+    assert np.mean([cos("a", "b"), cos("x", "y"), cos("b", "c")]) > np.mean([cos("a", "x"), cos("b", "y"), cos("c", "z")]) + 0.1
+
+
+def test_mimicry(spark):
+    # 1 begins the attack and writes 100, which 2 reads later; 3 read it before.
+    rows = [(1, 100, 10), (100, 2, 20), (100, 3, 5), (2, 101, 30), (4, 102, 40)]
+    e = spark.createDataFrame(rows, "src long, dst long, t long")
+    people, things, bad = (spark.createDataFrame([(n,) for n in x], "node long") for x in ((1, 2, 3, 4), (100, 101, 102), (1, 100, 2)))
+    got = attacks.mimicry(e, people, things, bad, 40).collect()
+    assert len(got) >= 40 and {r.subject for r in got} == {1, 2} and {r.file for r in got} <= {100, 101, 102}
+    for _, steps in itertools.groupby(sorted(got, key=lambda r: (r.action, r.step)), key=lambda r: r.action):
+        steps = list(steps)
+        assert tuple(r.op for r in steps) in attacks.PATTERNS
+        base = [t for s, d, t in rows if steps[0].subject in (s, d)]
+        assert any(0 <= steps[0].t - t <= attacks.MOST_BIAS for t in base)
+        assert all(0 <= b.t - a.t <= attacks.MOST_BIAS for a, b in zip(steps, steps[1:]))
+        assert all((r.src, r.dst) == ((r.file, r.subject) if r.op == "EVENT_READ" else (r.subject, r.file)) for r in steps)
+        assert all(r.uuid == hashlib.sha256(f"{r.subject}{r.file}{r.t}".encode()).hexdigest() for r in steps)
+    assert sorted(got) == sorted(attacks.mimicry(e, people, things, bad, 40).collect())
+    assert attacks.mimicry(e, people, things, bad.limit(0), 40).count() == 0
+
+
+def test_unauthorised_access(spark):
+    s = 10**9
+    rows = [("train", 0, 50, 1, "EVENT_RECVFROM", 0), ("train", 0, 1, 100, "EVENT_OPEN", 4 * s), ("train", 0, 2, 101, "EVENT_OPEN", 8 * s), ("train", 1, 1, 100, "EVENT_OPEN", 20 * s), ("train", 2, 1, 101, "X", 30 * s), ("val", 3, 50, 1, "EVENT_RECVFROM", 40 * s), ("val", 3, 2, 102, "EVENT_OPEN", 44 * s), ("val", 3, 51, 2, "EVENT_RECVFROM", 46 * s)]
+    e = spark.createDataFrame(rows, "split string, w long, src long, dst long, op string, t long")
+    n = spark.createDataFrame([(1, "subject"), (2, "subject"), *((f, "file") for f in (100, 101, 102, 103)), (50, "netflow"), (51, "netflow")], "node long, type string")
+    got = attacks.unauthorised(e, n, 5, 2, 1).collect()
+    # Only 1 is reached in both splits; it touches 100 and 101, so that 102 alone is left, in window 3.
+    assert {(r.split, r.w, r.src, r.op) for r in got} == {("val", 3, 1, "EVENT_OPEN"), ("val", 3, 1, "EVENT_READ"), ("val", 3, 1, "EVENT_WRITE"), ("val", 3, 1, "EVENT_CONNECT")}
+    assert {r.dst for r in got if r.op != "EVENT_CONNECT"} == {102} and {r.dst for r in got if r.op == "EVENT_CONNECT"} <= {50, 51}
+    times = {r.op: r.t for r in got}
+    assert times["EVENT_READ"] - times["EVENT_OPEN"] == 3 and 40 * s <= times["EVENT_OPEN"] <= 46 * s
+    with pytest.raises(RuntimeError):
+        attacks.unauthorised(e.where("split = 'train'"), n, 5, 2, 1)
+
+
 def test_metrics_by_hand(spark):
     rows = spark.createDataFrame([(1, 0.9, 1, 1), (2, 0.8, 0, 1), (3, 0.8, 1, 1), (4, 0.1, 0, 0)], "node long, score double, y int, y_hat int")
     assert M.roc_auc(rows).first().auc == pytest.approx(0.875)

@@ -42,7 +42,7 @@ def test_relaxed_reaches_two_hops(spark):
 def test_relaxed_two_hops(spark):
     rows = [(r.node, r.y, r.y_hat) for r in detection.predictions(spark, DATA).collect()]
     links = [(r.src, r.dst) for r in core.edges(spark, DATA).where("split = 'test'").collect()]
-    got = catalog.QUERIES["relaxed_two_hops"](spark, DATA).first()
+    got = catalog.QUERIES["relaxed"](spark, DATA).first()
     tp, fp, fn = relaxed_by_hand(rows, links, 2)
     assert (got.tp, got.fp, got.fn) == (tp, fp, fn) != relaxed_by_hand(rows, links, 1)
     assert got.recall == pytest.approx(tp / (tp + fn), abs=1e-6)
@@ -72,14 +72,14 @@ def test_retrieve_in_blocks(spark):
 def test_all_vectors_are_asked(spark):
     ids = {r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
     assert len(ids) > 5
-    for name in ("retrieval_all", "weak_retrieval_all"):
+    for name in ("retrieval", "weak_retrieval"):
         assert {r["query"] for r in catalog.QUERIES[name](spark, DATA).collect()} == ids
 
 
 def test_all_splits_take_part(spark):
     e = core.edges(spark, DATA).collect()
     assert {r.split for r in e} == {"train", "val", "test"}
-    for name in ("asof_previous_all", "node_versions_all", "last_updates_all"):
+    for name in ("asof_previous", "node_versions", "last_updates"):
         assert {r.event_id for r in catalog.QUERIES[name](spark, DATA).collect()} == {r.event_id for r in e}
     want, last = {}, {}
     ordered = sorted(e, key=lambda r: (r.t, r.event_id))
@@ -90,7 +90,7 @@ def test_all_splits_take_part(spark):
         for r in now:
             last.setdefault(r.src, []).append(r.dst)
             last.setdefault(r.dst, []).append(r.src)
-    assert {(r.w, r.node): r.neighbours for r in catalog.QUERIES["last_neighbours_all"](spark, DATA).collect()} == want
+    assert {(r.w, r.node): r.neighbours for r in catalog.QUERIES["last_neighbours"](spark, DATA).collect()} == want
 
 
 def test_negatives_of_all_splits(spark):
