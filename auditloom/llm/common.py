@@ -115,6 +115,14 @@ def join_group_facts(rows: DataFrame, facts: DataFrame, keys: Sequence[str], cou
     return cool.unionByName(warm)
 
 
+def repeated(df: DataFrame, count: str, name: str, most: int = 10_000) -> DataFrame:
+    """df with each row `count` times, numbered by `name` from 0; rows that come very often are dealt to many tasks first."""
+    few = df.where(F.col(count) <= most).withColumn(name, F.explode(F.expr(f"sequence(0L, {count} - 1)")))
+    many = df.where(F.col(count) > most).withColumn("__part", F.explode(F.expr(f"sequence(0L, ({count} - 1) div {most})")))
+    many = many.repartition(shuffle_partitions(df.sparkSession))
+    return few.unionByName(many.withColumn(name, F.explode(F.expr(f"sequence(__part * {most}, least({count}, (__part + 1) * {most}) - 1)"))).drop("__part"))
+
+
 def small_or_shuffled(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """df, which must be durable and narrow, marked for broadcast if it has at most so many rows; else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -122,7 +130,7 @@ def small_or_shuffled(df: DataFrame, rows: int = 500_000) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffles and checkpoints that no frame needs any more; it does so when both heaps are collected."""
-    gc.collect()
+    tidy()
     jvm = getattr(spark, "_jvm", None)
     if jvm is not None:
         jvm.System.gc()

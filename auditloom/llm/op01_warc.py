@@ -13,12 +13,12 @@ import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import durable, join_group_facts, shared_dir, small_or_shuffled, text_or_empty
+from auditloom.llm.common import arrow_map, durable, join_group_facts, shared_dir, slices, small_or_shuffled, text_or_empty
 
 #: Payloads of at least so many bytes are written once; their repeats become revisit records.
 REVISIT_BYTES = 1000
@@ -26,34 +26,37 @@ REVISIT_BYTES = 1000
 GAP, SPAN = 1 << 16, 8 << 20
 #: About so many compressed bytes are read by one task.
 READ_BYTES = 16 << 20
+#: A task goes on to another archive when one has so many bytes.
+ROLL = 1 << 30
 INDEX = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
 
 
-def _record(row, when: str) -> bytes:
+def _record(row: dict, when: str) -> bytes:
     """One record as a gzip member."""
-    page = int(row.page_id)
-    digest = base64.b32encode(bytes.fromhex(row.payload_digest)).decode()
-    revisit = row.record_type == "revisit"
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row.payload_bytes
-    block = http if revisit else http + row.html.encode()
+    digest = base64.b32encode(bytes.fromhex(row["payload_digest"])).decode()
+    revisit = row["record_type"] == "revisit"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row["payload_bytes"]
+    block = http if revisit else http + row["html"].encode()
+    uri = (row["url"] or "").split()
     head = [
-        "WARC/1.1", f"WARC-Type: {row.record_type}", f"WARC-Record-ID: {_urn(page)}", f"WARC-Date: {when}",
-        f"WARC-Target-URI: {(row.url or 'urn:none').split()[0] if (row.url or '').strip() else 'urn:none'}",
+        "WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {_urn(row['page_id'])}", f"WARC-Date: {when}",
+        f"WARC-Target-URI: {uri[0] if uri else 'urn:none'}",
         f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(int(row.refers_to))}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(row['refers_to'])}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def _urn(page: int) -> str:
-    return f"<urn:page:{page}>"
+def _urn(page: int | None) -> str:
+    return f"<urn:page:{'none' if page is None else page}>"
 
 
-def _page(urn: str) -> int:
-    return int(urn.strip("<>").rsplit(":", 1)[1])
+def _page(urn: str) -> int | None:
+    name = urn.strip("<>").rsplit(":", 1)[1]
+    return None if name == "none" else int(name)
 
 
 def parse(member: bytes) -> dict:
@@ -74,16 +77,17 @@ def classify(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with payload_bytes, payload_digest, record_type and refers_to.
 
     Of payloads of at least REVISIT_BYTES that are equal, that of the largest page_id is the response. Rows
-    repeated with that page_id are all responses.
+    repeated with that page_id are all responses. A null page_id comes before all others; where no page of the
+    group has one, all are responses.
     """
     html = text_or_empty("html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("payload_digest"))
     # The groups are found from digests alone; the pages themselves only pass through.
     narrow = rows.where(F.col("payload_bytes") >= REVISIT_BYTES).select("page_id", "payload_digest")
     repeated = narrow.groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    revisits = join_group_facts(narrow, repeated, ["payload_digest"], "copies").where("page_id < first").select("page_id", F.col("payload_digest").alias("digest_"), "first").distinct()
+    revisits = join_group_facts(narrow, repeated, ["payload_digest"], "copies").where("page_id < first or (page_id is null and first is not null)").select("page_id", F.col("payload_digest").alias("digest_"), "first").distinct()
     revisits = small_or_shuffled(durable(revisits.withColumnRenamed("page_id", "page_")))
-    joined = rows.join(revisits, (F.col("page_id") == F.col("page_")) & (F.col("payload_digest") == F.col("digest_")), "left")
+    joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("page_")) & (F.col("payload_digest") == F.col("digest_")), "left")
     return joined.select(*rows.columns, F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("first").alias("refers_to"))
 
 
@@ -95,29 +99,31 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
     """
     when = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        name, out, at = f"pages-{uuid.uuid4().hex}.warc.gz", None, 0
+        name, out, at = "", None, 0
         try:
-            for pdf in batches:
-                rows = []
-                for row in pdf.itertuples(index=False):
-                    out = out or store.open_output_stream(f"{root}/{name}", compression=None)
+            for batch in slices(batches):
+                found = []
+                for row in batch.to_pylist():
+                    if out is None or at >= ROLL:
+                        if out is not None:
+                            out.close()
+                        name, at = f"pages-{uuid.uuid4().hex}.warc.gz", 0
+                        out = store.open_output_stream(f"{root}/{name}", compression=None)
                     member = _record(row, when)
                     out.write(member)
-                    rows.append((name, at, len(member)))
+                    found.append((name, at, len(member)))
                     at += len(member)
-                index = pdf.drop(columns="html")
-                index[["file", "offset", "length"]] = pd.DataFrame(rows, columns=["file", "offset", "length"], index=index.index)
-                index["refers_to"] = index["refers_to"].astype("Int64")
-                yield index
+                kept = {c: batch.column(c) for c in ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")}
+                yield {**kept, **dict(zip(("file", "offset", "length"), map(list, zip(*found))))}
         finally:
-            if out:
+            if out is not None:
                 out.close()
 
     columns = ["page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    index = records.select(*columns).mapInPandas(write, INDEX)
+    index = arrow_map(records.select(*columns), write, INDEX)
     index.write.parquet(f"{folder}/index.parquet")
     return records.sparkSession.read.schema(INDEX).parquet(f"{folder}/index.parquet")
 
@@ -153,34 +159,37 @@ def read_warc(index: DataFrame, folder: str, payloads: bool = False) -> DataFram
             row = (_page(fields["WARC-Record-ID"]), found["size"], digest, kind, refers)
             yield (*row, found["payload"]) if payloads else row
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         store, root = fs.FileSystem.from_uri(folder)
-        names = [c.split()[0] for c in schema.split(", ")]
-        for pdf in batches:
-            run: list[tuple[int, int]] = []
-            last, rows = None, []
-            for name, offset, length in zip(pdf["file"], pdf["offset"], pdf["length"]):
+        run: list[tuple[int, int]] = []
+        last = ""
+
+        def fetched() -> dict:
+            rows = list(rows_of(store, f"{root}/{last}", run))
+            return dict(zip(names, map(list, zip(*rows))))
+
+        for batch in batches:
+            for name, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length"))):
                 near = run and name == last and offset - run[-1][0] - run[-1][1] <= GAP and offset + length - run[0][0] <= SPAN
                 if run and not near:
-                    rows += rows_of(store, f"{root}/{last}", run)
+                    yield fetched()
                     run = []
                 run.append((offset, length))
                 last = name
-            if run:
-                rows += rows_of(store, f"{root}/{last}", run)
-            out = pd.DataFrame(rows, columns=names)
-            out["refers_to"] = out["refers_to"].astype("Int64")
-            yield out
+        if run:
+            yield fetched()
 
-    return picked.mapInPandas(read, schema)
+    return arrow_map(picked, read, schema)
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes one record per row of pages below folder (a fresh shared one if not given) and reads them all back.
 
     One row per page: page_id, payload_bytes, payload_digest, record_type, refers_to. Null html is the empty
-    payload, null URLs are written as urn:none, other columns are ignored, an empty table gives an empty
-    result.
+    payload, null URLs are written as urn:none, a null page_id as none (see classify); repeated page_ids are
+    records of their own. Other columns are ignored, an empty table gives an empty result.
     """
     folder = folder or shared_dir(pages.sparkSession)
     return read_warc(write_warc(classify(pages), folder), folder)

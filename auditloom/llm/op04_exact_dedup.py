@@ -7,28 +7,41 @@ alone for certain and pass straight through.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm import bloom
-from auditloom.llm.common import durable, join_group_facts, text_or_empty
+from auditloom.llm.common import arrow_map, durable, join_group_facts, repeated, text_or_empty
 
 
 def possibly_repeated(prints: DataFrame, n_rows: int) -> DataFrame:
-    """prints with a boolean column `maybe`: false only for digests that occur once.
+    """prints (id, digest) with a boolean column `maybe`: false only for digests that occur once.
 
-    The filter has a bounded size: at more rows it stays as it is and lets more single rows through to the
-    exact grouping, which is right at any rate of false alarms.
+    A filter has a bounded size. Where that is too small for all rows, digests are cut into sections, which take
+    turns, so that false alarms are as rare at any size.
     """
-    again = bloom.build(prints, "digest", bloom.size_for(n_rows), times=2)
-    shared = prints.sparkSession.sparkContext.broadcast(again)
+    parts = bloom.sections(n_rows)
+    kind = prints.schema["id"].dataType.simpleString()
+
+    def marked(part: DataFrame) -> DataFrame:
+        again = bloom.build(part, "digest", bloom.size_for(-(-n_rows // parts)), times=2)
+        shared = prints.sparkSession.sparkContext.broadcast(again)
+
+        def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for batch in batches:
+                yield {"id": batch.column("id"), "digest": batch.column("digest"), "maybe": bloom.among(batch.column("digest").to_pylist(), shared.value)}
 
-    @F.pandas_udf("boolean")
-    def maybe(digest: pd.Series) -> pd.Series:
-        return pd.Series(bloom.among(digest, shared.value))
+        done = durable(arrow_map(part.select("id", "digest"), maybe, f"id {kind}, digest binary, maybe boolean"))
+        shared.destroy()
+        return done
 
-    return prints.withColumn("maybe", maybe("digest"))
+    if parts == 1:
+        return marked(prints)
+    return reduce(DataFrame.unionByName, (marked(prints.where(F.crc32("digest") % parts == k)) for k in range(parts)))
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -47,9 +60,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     again = split.where("maybe").groupBy("digest", "id").agg(F.count("*").alias("n"))
     facts = split.where("maybe").groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     joined = join_group_facts(again, facts, ["digest"], "group_size")
-    nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
-    grouped = joined.select("id", "digest", "keep_id", "group_size", nth.alias("nth"))
-    grouped = grouped.select("id", "digest", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"))
+    grouped = repeated(joined.select("id", "digest", "keep_id", "group_size", "n"), "n", "nth")
+    grouped = grouped.select("id", "digest", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 0)).alias("kept"))
     return alone.unionByName(grouped).select(F.col("id").alias(key), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -13,16 +13,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import durable, join_group_facts
+from auditloom.llm.common import arrow_map, durable, join_group_facts, pandas_map, release
 from auditloom.llm.components import components
 
 #: Width of a cell, and the share of pairs exactly at the threshold that the tables must find together.
 WIDTH = 2.2
 RECALL = 0.95
+#: Unrelated rows that share a cell with a row. More of them make cells coarser and tables fewer: products are cheap, rows of tables are not.
+FAR = 32
 BLOCK = 512
 #: Groups of at most so many vectors are compared many at a time.
 SMALL = 32
@@ -36,9 +39,12 @@ def collision(distance: float, width: float = WIDTH) -> float:
 
 
 def parameters(rows: int, cosine: float) -> tuple[int, int]:
-    """(projections a table, tables): unrelated rows (at right angles) share a cell with about half a row each."""
+    """(projections a table, tables): unrelated rows (at right angles) share a cell with about FAR rows each.
+
+    Tables grow with the rows to a power of about 0.34: 10 at 2,000 rows, 28 at 51,282, 75 at 1e6, 360 at 1e8.
+    """
     near, far = collision(math.sqrt(2 - 2 * cosine)), collision(math.sqrt(2))
-    k = max(4, math.ceil(math.log(2 * max(rows, 2)) / -math.log(far)))
+    k = max(2, math.ceil(math.log(max(rows, 2) / FAR) / -math.log(far)))
     return k, math.ceil(math.log(1 - RECALL) / math.log1p(-(near**k)))
 
 
@@ -120,23 +126,24 @@ def near_vectors(rows: DataFrame, cosine: float = 0.9, vector: str = "embedding"
 
     Linked rows have a cosine of at least `cosine` in double precision. Null, empty and zero vectors, those
     with null or non-finite components, and vectors of unlike lengths link with nothing. Equal vectors are
-    linked and go through the tables as one. Rows repeated with the same key count as rows of their own.
-    Other columns are ignored; an empty table gives an empty result.
+    linked and go through the tables as one. Rows repeated with the same key count as rows of their own, null
+    keys too: a component is named by its least key, null only if none of its rows has one. Other columns are
+    ignored; an empty table gives an empty result.
     """
     double = isinstance(rows.schema[vector].dataType.elementType, T.DoubleType)
     kind = "<f8" if double else "<f4"
     given = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
             out = []
-            for v in pdf["v"]:
+            for v in batch.column("v").to_pylist():
                 raw = None if v is None else np.array(v, dtype=np.float64)
                 ok = raw is not None and len(raw) and np.isfinite(raw).all() and raw.any()
                 out.append((raw.astype(kind) + 0).tobytes() if ok else None)  # + 0: no negative zero
-            yield pd.DataFrame({"id": pdf["id"], "raw": out})
+            yield {"id": batch.column("id"), "raw": out}
 
-    packed = durable(given.mapInPandas(pack, "id long, raw binary").withColumn("digest", F.sha2("raw", 256)))
+    packed = durable(arrow_map(given, pack, "id long, raw binary").withColumn("digest", F.sha2("raw", 256)))
     valid = packed.where(F.col("raw").isNotNull())
     reps = valid.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
     # The number of a vector stands for it from here on: keys may repeat.
@@ -154,7 +161,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.9, vector: str = "embedding"
                     found = hashes(_unit(raw), k, tables, seed)
                     yield pd.DataFrame({"u": some["u"], "dim": np.int32(raw.shape[1]), "cells": [r.tobytes() for r in found], "cell": list(found.astype(np.int64))})
 
-    hashed = durable(reps.select("u", "raw").mapInPandas(cells, "u long, dim int, cells binary, cell array<long>"))
+    hashed = durable(pandas_map(reps.select("u", "raw"), cells, "u long, dim int, cells binary, cell array<long>"))
     in_cell = hashed.select("u", "dim", F.posexplode("cell").alias("t", "c"))
     counted = in_cell.groupBy("t", "c", "dim").agg(F.count("*").alias("n_in")).where("n_in > 1")
     members = join_group_facts(in_cell, counted, ["t", "c", "dim"], "n_in").withColumn("blocks", F.ceil(F.col("n_in") / BLOCK).cast("int"))
@@ -175,7 +182,8 @@ def near_vectors(rows: DataFrame, cosine: float = 0.9, vector: str = "embedding"
             yield _found(held, np.array([0, len(held)]), kind, cosine)
 
     group = ["t", "c", "dim", "i", "j"]
-    found = durable(dealt.repartition(*group).sortWithinPartitions(*group).mapInPandas(compare, "u long, links long, root long"))
+    found = durable(pandas_map(dealt.repartition(*group).sortWithinPartitions(*group), compare, "u long, links long, root long"))
+    release(rows.sparkSession)
     counts = found.groupBy("u").agg(F.sum("links").alias("links"))
     # Components by numbers of vectors, then by the least key in each.
     joined = components(found.select(F.col("u").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"id": "u", "component": "c"})

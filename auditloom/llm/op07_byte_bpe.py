@@ -92,17 +92,21 @@ class Codec:
         self.bytes_of = [bytes(map(CHAR_TO_BYTE.__getitem__, self.pieces.id_to_piece(i))) for i in range(n)]
         self.ints = list(range(n))  # one object for each id, however often the memory holds it
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.sizes: dict[str, int] = {}
         self.held = 0
 
     def forget(self) -> None:
         self.known.clear()
+        self.sizes.clear()
         self.held = 0
 
+    def _encode(self, tokens: list[str]) -> list[list[int]]:
+        return self.pieces.encode([t.encode().decode("latin-1").translate(_TABLE) for t in tokens], num_threads=1)
+
     def _learn(self, tokens: set[str]) -> None:
         new = list(tokens)
         self.held += sum(map(len, new))
-        mapped = [t.encode().decode("latin-1").translate(_TABLE) for t in new]
-        for token, ids in zip(new, self.pieces.encode(mapped, num_threads=1)):
+        for token, ids in zip(new, self._encode(new)):
             self.known[token] = (tuple(map(self.ints.__getitem__, ids)), ",".join(map(str, ids)))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
@@ -116,14 +120,15 @@ class Codec:
                 parts = list(map(self.known.__getitem__, tokens))
                 yield list(chain.from_iterable(map(itemgetter(0), parts))), ",".join(map(itemgetter(1), parts))
 
-    def counts(self, tokens: list[str]) -> list[int]:
+    def counts(self, tokens: list[str]) -> Iterator[int]:
         """How many ids each pre-token has."""
-        if len(self.known) >= CACHE or self.held >= CACHE_CHARS:
+        if len(self.sizes) >= CACHE or self.held >= CACHE_CHARS:
             self.forget()
-        new = set(tokens).difference(self.known)
+        new = list(set(tokens).difference(self.sizes))
         if new:
-            self._learn(new)
-        return [len(self.known[t][0]) for t in tokens]
+            self.held += sum(map(len, new))
+            self.sizes.update(zip(new, map(len, self._encode(new))))
+        return map(self.sizes.__getitem__, tokens)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

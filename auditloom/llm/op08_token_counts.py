@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from auditloom.llm.common import arrow_map, shared_dir, slices, text_or_empty
 from auditloom.llm.op07_byte_bpe import Codec, codec, distribute
 
-#: Pre-tokens of a block when it is made, and of one that is cut into several again.
-BLOCK = 32
-FULL = 4 * BLOCK
+#: Pre-tokens of a block when it is made, and how many times that a block may hold before blocks are made anew.
+BLOCK = 16
+FULL = 4
 #: Characters before an edit from which matching starts: contractions look ahead by two characters.
 CONTEXT = 4
 
@@ -32,46 +32,50 @@ EDITS = "array<struct<at:bigint,deleted:bigint,inserted:string>>"
 
 
 class CountTree:
-    """The token count of one text under edits."""
+    """The token count of one text under edits; chars and tokens are int32 arrays."""
 
-    def __init__(self, text: str, chars: list[int], tokens: list[int]) -> None:
+    def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray) -> None:
         self.text, self.chars, self.tokens, self.width = text, chars, tokens, len(chars) // 2
         self.encoded = 0
 
     @classmethod
     def build(cls, text: str, coder: Codec) -> CountTree:
-        tree = cls(text, [0, 0], [0, 0])
-        tree._grow(tree._blocks(coder.pattern.findall(text), coder))
+        tree = cls(text, np.zeros(2, np.int32), np.zeros(2, np.int32))
+        tree._grow(*tree._blocks(coder.pattern.findall(text), coder))
         return tree
 
-    def _blocks(self, pieces: list[str], coder: Codec) -> list[tuple[int, int]]:
-        """(characters, tokens) of blocks of fresh pre-tokens."""
-        self.encoded += len(pieces)
-        counts, sizes = coder.counts(pieces), list(map(len, pieces))
-        return [(sum(sizes[i : i + BLOCK]), sum(counts[i : i + BLOCK])) for i in range(0, len(pieces), BLOCK)]
-
-    def _grow(self, blocks: list[tuple[int, int]]) -> None:
-        self.width = 1 << max(0, len(blocks) - 1).bit_length()
-        empty = self.width - len(blocks)
-        self.chars = [0] * self.width + [c for c, _ in blocks] + [0] * empty
-        self.tokens = [0] * self.width + [n for _, n in blocks] + [0] * empty
-        for i in range(self.width - 1, 0, -1):
-            self._sum(i)
-
-    def _sum(self, i: int) -> None:
-        self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
+    def _blocks(self, pieces: list[str], coder: Codec) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and tokens of blocks of fresh pre-tokens."""
+        n = len(pieces)
+        self.encoded += n
+        if not n:
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        starts = np.arange(0, n, BLOCK)
+        return tuple(np.add.reduceat(np.fromiter(x, np.int32, count=n), starts) for x in (map(len, pieces), coder.counts(pieces)))
+
+    def _grow(self, chars: np.ndarray, tokens: np.ndarray) -> None:
+        self.width = 1 << max(0, len(chars) - 1).bit_length()
+        for name, leaves in (("chars", chars), ("tokens", tokens)):
+            out = np.zeros(2 * self.width, np.int32)
+            out[self.width : self.width + len(leaves)] = leaves
+            level = self.width
+            while level > 1:
+                out[level // 2 : level] = out[level : 2 * level : 2] + out[level + 1 : 2 * level : 2]
+                level //= 2
+            setattr(self, name, out)
 
     @property
     def count(self) -> int:
-        return self.tokens[1]
+        return int(self.tokens[1])
 
     def _find(self, position: int) -> tuple[int, int]:
         """(block, its begin): the block that holds the position, or the last one."""
-        node, begin = 1, 0
+        node, begin, chars = 1, 0, self.chars
         while node < self.width:
             node *= 2
-            if position >= begin + self.chars[node] and self.chars[node + 1]:
-                begin += self.chars[node]
+            left = int(chars[node])
+            if position >= begin + left and chars[node + 1]:
+                begin += left
                 node += 1
         return node - self.width, begin
 
@@ -83,38 +87,47 @@ class CountTree:
         self.text = self.text[:at] + inserted + self.text[at + deleted :]
         shift, safe = len(inserted) - deleted, at + deleted
         # Begins of old blocks, walked along with the new matches.
-        block, old = first + 1, begin + self.chars[self.width + first]
+        leaves = self.chars[self.width :]
+        block, old = first + 1, begin + int(leaves[first])
         pieces: list[str] = []
         for match in coder.pattern.finditer(self.text, begin):
             new = match.start()
             while block < self.width and (old + shift < new or old < safe):
-                old += self.chars[self.width + block]
+                old += int(leaves[block])
                 block += 1
             if block < self.width and old + shift == new:
                 break
             pieces.append(match.group())
         else:
             block = self.width
-        fresh = self._blocks(pieces, coder)
+        chars, tokens = self._blocks(pieces, coder)
         room = block - first
-        if len(fresh) * BLOCK > room * FULL:
-            leaves = list(zip(self.chars[self.width :], self.tokens[self.width :]))
-            self._grow([x for x in (*leaves[:first], *fresh, *leaves[block:]) if x[0]])
+        if len(chars) > room * FULL:
+            whole = [np.concatenate([x[self.width : self.width + first], y, x[self.width + block :]]) for x, y in ((self.chars, chars), (self.tokens, tokens))]
+            used = whole[0] > 0
+            self._grow(*(x[used] for x in whole))
             return
-        each = -(-len(fresh) // room) if fresh else 1
-        for k in range(room):
-            some = fresh[k * each : (k + 1) * each]
-            self.chars[self.width + first + k], self.tokens[self.width + first + k] = sum(c for c, _ in some), sum(n for _, n in some)
-        low, high = self.width + first, self.width + block - 1
-        while low > 1:
-            low, high = low // 2, high // 2
-            for i in range(low, high + 1):
-                self._sum(i)
-
-
-def _ints(parts: list[list[int]]) -> pa.Array:
+        for sums, fresh in ((self.chars, chars), (self.tokens, tokens)):
+            sums[self.width + first : self.width + block] = 0
+            if len(fresh):
+                each = -(-len(fresh) // room)
+                packed = np.add.reduceat(fresh, np.arange(0, len(fresh), each))
+                sums[self.width + first : self.width + first + len(packed)] = packed
+            low, high = self.width + first, self.width + block - 1
+            while low > 1:
+                low, high = low // 2, high // 2
+                sums[low : high + 1] = sums[2 * low : 2 * high + 1 : 2] + sums[2 * low + 1 : 2 * high + 2 : 2]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.array([x for p in parts for x in p], dtype=np.int32)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """Copies of the lists of a column, which may be a slice of a larger one."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b].copy() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def build_trees(docs: DataFrame, ranks: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -130,7 +143,7 @@ def build_trees(docs: DataFrame, ranks: str, pattern: str, text: str = "text", k
         try:
             for batch in slices(batches, 128):
                 trees = [CountTree.build(t, coder) for t in batch.column("text").to_pylist()]
-                yield {"id": batch.column("id"), "text": batch.column("text"), "n_tokens": [t.count for t in trees], "n_pre_tokens": [t.encoded for t in trees], "chars": _ints([t.chars for t in trees]), "tokens": _ints([t.tokens for t in trees])}
+                yield {"id": batch.column("id"), "text": batch.column("text"), "n_tokens": [t.count for t in trees], "n_pre_tokens": [t.encoded for t in trees], "chars": _lists([t.chars for t in trees]), "tokens": _lists([t.tokens for t in trees])}
         finally:
             coder.forget()
 
@@ -163,12 +176,12 @@ def apply_edits(trees: DataFrame, ranks: str, pattern: str, key: str = "doc_id")
         try:
             for batch in slices(batches, 128):
                 done = []
-                for text, chars, tokens, edits in zip(*(batch.column(c).to_pylist() for c in ("text", "chars", "tokens", "edits"))):
+                for text, chars, tokens, edits in zip(batch.column("text").to_pylist(), _arrays(batch.column("chars")), _arrays(batch.column("tokens")), batch.column("edits").to_pylist()):
                     tree = CountTree(text, chars, tokens)
                     for e in edits:
                         tree.edit(e["at"], e["deleted"], e["inserted"], coder)
                     done.append(tree)
-                yield {"id": batch.column("id"), "text": [t.text for t in done], "n_tokens": [t.count for t in done], "chars": _ints([t.chars for t in done]), "tokens": _ints([t.tokens for t in done]), "n_reencoded": [t.encoded for t in done]}
+                yield {"id": batch.column("id"), "text": [t.text for t in done], "n_tokens": [t.count for t in done], "chars": _lists([t.chars for t in done]), "tokens": _lists([t.tokens for t in done]), "n_reencoded": [t.encoded for t in done]}
         finally:
             coder.forget()
 

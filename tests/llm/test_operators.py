@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from auditloom.llm import op01_warc, op02_suffix_dedup, op03_minhash, op04_exact_dedup, op05_embeddings, op06_mixing, op07_byte_bpe, op08_token_counts, op09_sharding, op10_toxicity
 
@@ -60,6 +61,19 @@ def test_exact_dedup_repeated_rows(spark):
     assert sorted((r.doc_id, r.group_size, r.kept) for r in got) == [(4, 1, True), (4, 3, False), (5, 3, False), (5, 3, True)]
 
 
+def test_exact_dedup_in_sections(spark, monkeypatch):
+    """More rows than a filter holds: sections of the digests take turns, and hardly a single row is shuffled."""
+    monkeypatch.setattr(op04_exact_dedup.bloom, "MAX_BITS", 1 << 18)
+    rows = [(i, f"text {i // 2 if i < 400 else i}") for i in range(40_000)] + [(None, "none"), (None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert op04_exact_dedup.bloom.sections(len(rows)) == 3
+    got = op04_exact_dedup.exact_dedup(df).collect()
+    assert sorted((r.group_size, r.kept) for r in got if r.doc_id is None) == [(2, False), (2, True)]
+    assert {r.doc_id for r in got if not r.kept and r.doc_id is not None} == set(range(0, 400, 2)) and len(got) == len(rows)
+    prints = df.select(F.col("doc_id").alias("id"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    assert 402 <= op04_exact_dedup.possibly_repeated(prints, len(rows)).where("maybe").count() < 402 + 0.05 * len(rows)
+
+
 def brute_components(ids, linked):
     parent = {i: i for i in ids}
 
@@ -113,14 +127,53 @@ def test_near_dedup(spark, rows, monkeypatch):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), want[i], want[i] == i)
 
 
-@pytest.mark.parametrize("partitions", ["2", "9"])
-def test_suffix_dedup(spark, partitions):
+def test_near_dedup_keys(spark):
+    """Null keys, repeated keys with unlike texts, repeated rows, keys above 2^53."""
+    rng, big = random.Random(12), (1 << 60) + 1
+    a, b, c, d = (words(rng, 80) for _ in range(4))
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    rows = [(big, a), (None, near(a)), (None, b), (None, near(b)), (7, c), (7, near(d)), (5, d), (5, d), (None, None), (9, "")]
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in op03_minhash.near_dedup(frame(spark, rows)).collect()]
+    n = 76
+    want = [(big, n, big, True), (None, n, big, False), (None, n, None, True), (None, n, None, True), (7, n, 7, True), (7, n, 5, False), (5, n, 5, True), (5, n, 5, True), (None, 0, None, True), (9, 0, 9, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    by_text = op03_minhash.near_dedup(frame(spark, rows).withColumn("k", F.sha2(F.coalesce("text", F.lit("")), 256)), key="k")
+    assert by_text.select("component_id").distinct().count() == 5
+
+
+def test_mostly_shared(spark):
+    """The filter and the shuffle tell the same, and what shares a passage only drops out."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 1 << 62, 300)
+    sets = [np.concatenate([passage, rng.integers(0, 1 << 62, k)]) for k in (50, 60, 250, 300)] + [rng.integers(0, 1 << 62, 40)]
+    full = spark.createDataFrame([(c, s.astype(np.int64).tobytes()) for c, s in enumerate(sets)], "c long, `set` binary")
+    members = spark.createDataFrame([(1, c, len(s), c) for c, s in enumerate(sets)], "bucket long, c long, n long, label long")
+    for bits in (None, 1):
+        assert {r.c for r in op03_minhash._mostly_shared(members, full, 75, bits).collect()} == {0, 1}
+
+
+def test_signatures_of_long_texts():
+    """Unrelated sets hardly agree, however large they are; alike ones agree by their similarity."""
+    rng, circulant = np.random.default_rng(1), op03_minhash.Circulant()
+    x, y = (rng.integers(0, 1 << 63, 300_000, dtype=np.uint64) for _ in range(2))
+    sig = circulant.signature
+    assert (sig(x) == sig(y)).mean() < 0.02
+    assert 0.6 < (sig(x) == sig(np.concatenate([x[: len(x) * 6 // 7], y[: len(y) // 7]]))).mean() < 0.9
+
+
+@pytest.mark.parametrize("partitions", ["2", "9", "60"])
+def test_suffix_dedup(spark, partitions, monkeypatch):
+    monkeypatch.setattr(op02_suffix_dedup, "SMALL", 16)
+    monkeypatch.setattr(op02_suffix_dedup, "HEAP", 3000)
     rows = corpus(4)
+    rows += [(None, rows[0][1]), (None, None), (1 << 60, rows[3][1]), (1 << 60, rows[3][1])]
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
-        got = {r.doc_id: r for r in op02_suffix_dedup.suffix_dedup(frame(spark, rows), with_text=True).collect()}
+        every = op02_suffix_dedup.suffix_dedup(frame(spark, rows), with_text=True).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(str(r.doc_id) for r in every) == sorted(str(i) for i, _ in rows)
+    got = {(r.doc_id, r.n_bytes): r for r in every}
     n = op02_suffix_dedup.LENGTH
     seen = collections.Counter(t.encode()[p : p + n] for _, t in rows if t for p in range(len(t.encode()) - n + 1))
     for i, t in rows:
@@ -131,8 +184,9 @@ def test_suffix_dedup(spark, partitions):
                 gone[p : p + n] = True
         kept = bytes(b for b, g in zip(body, gone) if not g)
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans) == (len(body), int(gone.sum()), runs)
-        assert got[i].kept_sha256 == hashlib.sha256(kept).hexdigest() and bytes(got[i].kept or b"") == kept
+        r = got[i, len(body)]
+        assert (r.n_removed, r.n_spans) == (int(gone.sum()), runs)
+        assert r.kept_sha256 == hashlib.sha256(kept).hexdigest() and bytes(r.kept or b"") == kept
 
 
 def test_multikey_order():
@@ -195,6 +249,72 @@ def test_warc_round_trip(spark):
     assert some == {1, 3, 6}
 
 
+def test_warc_keys(spark, monkeypatch):
+    """Ids above 2^53 beside nulls, null and repeated page_ids."""
+    big, page = (1 << 60) + 1, words(random.Random(1), 400)
+    other = page + " x"
+    rows = [(big, "u", page), (big - 1, None, page), (None, "u", page), (None, "u", other), (None, "v", other), (3, "w", "small"), (3, "w", "small")]
+    got = op01_warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    want = [(big, "response", None), (big - 1, "revisit", big), (None, "revisit", big), (None, "response", None), (None, "response", None), (3, "response", None), (3, "response", None)]
+    assert sorted([(r.page_id, r.record_type, r.refers_to) for r in got], key=str) == sorted(want, key=str)
+
+
+def test_near_vectors_keys(spark):
+    """Null and repeated keys, keys above 2^53, copies."""
+    big, v, w = (1 << 60) + 1, [1.0, 2.0, 3.0], [3.0, -2.0, 0.5]
+    rows = [(big, v, 0, 1, 2, 3), (None, v, 0, 1, 2, 3), (big - 1, v, 0, 1, 2, 3), (None, w, 0, 1, 2, 3), (7, None, 0, 1, 2, 3), (None, None, 0, 1, 2, 3), (7, w, 0, 1, 2, 3), (7, w, 0, 1, 2, 3)]
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in op05_embeddings.near_vectors(vectors(spark, rows)).collect()]
+    want = [(big, 2, big - 1, False), (None, 2, big - 1, False), (big - 1, 2, big - 1, True), (None, 2, 7, False), (7, 0, 7, True), (None, 0, None, True), (7, 2, 7, True), (7, 2, 7, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_components_in_rounds(spark, monkeypatch):
+    """More links than one task takes: the same components by rounds of stars."""
+    from auditloom.llm import components as C
+
+    rng = np.random.default_rng(2)
+    links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(200)] + [tuple(map(int, rng.integers(2000, 2400, 2))) for _ in range(250)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(5)
+    want = brute_components(sorted({x for e in links for x in e}), lambda a, b: (a, b) in every or (b, a) in every) if (every := set(links)) else {}
+    for most in (1_000_000, 20):
+        monkeypatch.setattr(C, "LINKS_A_TASK", most)
+        got = {r.id: r.component for r in C.components(df).collect()}
+        assert got == {i: c for i, c in want.items() if i in got} and all(want[i] == i for i in set(want) - set(got))
+
+
+def test_permutations():
+    for n in (1, 2, 3, 5, 64, 1000, 4097):
+        got = op06_mixing.permuted(np.arange(n), n, 1, 0)
+        assert sorted(got.tolist()) == list(range(n))
+    assert (op06_mixing.permuted(np.arange(1000), 1000, 1, 0) != op06_mixing.permuted(np.arange(1000), 1000, 1, 1)).mean() > 0.9
+
+
+def test_shard_counts_meet_the_totals():
+    slots = [5_000_000_000, 3, 0, 700_000_123]
+    shards, segments = op06_mixing.shards_of(slots)
+    ends = [op06_mixing.span_of(slots, g)[:2] for g in range(segments)]
+    assert ends[0][0] == 0 and ends[-1][1] == shards and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+    for g in (0, 1, segments - 1):
+        counts, (begin, end) = op06_mixing.shard_counts(slots, g), ends[g]
+        assert (counts.sum(axis=0) == [m * end // shards - m * begin // shards for m in slots]).all()
+        assert np.ptp(counts.sum(axis=1)) <= len(slots) and counts[:, 0].std() > 0
+
+
+def test_mixed_documents_of_repeated_rows(spark):
+    """Each of equal rows has its own share, null ids and sources too."""
+    text = words(random.Random(3), 40)
+    rows = [(1, text)] * 5 + [(None, text)] * 3 + [(8, words(random.Random(4), 300)), (9, ""), (9, "")]
+    df = frame(spark, rows)
+    taken = collections.Counter()
+    for r in op06_mixing.mix(df).collect():
+        taken[r.doc_id] += r.taken
+    mixed = collections.Counter()
+    for r in op06_mixing.mixed_documents(df).collect():
+        mixed[r.doc_id] += len(r.text.split())
+    assert mixed == {k: v for k, v in taken.items() if v}
+    assert sum(taken.values()) == pytest.approx(1.5 * 620, abs=100)
+
+
 def test_mixing(spark):
     rows = corpus(6)
     df = frame(spark, rows)
@@ -309,6 +429,40 @@ def test_sharding(spark):
     assert all(s == set(range(len(s))) for s in shards.values())
 
 
+def test_sharding_by_metadata(spark):
+    """Cuts run along language and source where these are widest; copies of a text stay together; targets set the leaves."""
+    rng = random.Random(20)
+    rows = [(i, words(rng, 30), rng.choice(["de", "en"]), f"s{i % 4}", 9) for i in range(400)]
+    rows += [(1000 + i, rows[i % 20][1], "zz", "s9", 9) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    total = sum(len(t) + 1 for _, t, *_ in rows)
+    got = op09_sharding.kd_shards(df, target_bytes=total / 5).collect()
+    by_shard, of_text = collections.Counter(), collections.defaultdict(set)
+    texts = {i: t for i, t, *_ in rows}
+    for r in got:
+        by_shard[r.shard] += r.size
+        of_text[texts[r.doc_id]].add(r.shard)
+    assert set(by_shard) == set(range(5)) and max(by_shard.values()) - min(by_shard.values()) < 0.1 * total / 5
+    assert all(len(s) == 1 for s in of_text.values())
+    # The first cut is by language.
+    left = {r.doc_id for r in got if r.shard < 2}
+    langs = [lang for i, _, lang, *_ in rows if i in left and i < 400]
+    assert langs.count("de") > 0.95 * len(langs)
+
+
+def test_sharding_keys(spark):
+    """Null and repeated ids, repeated rows, a text that no cut may leave whole."""
+    rows = [(None, "same")] * 30 + [(7, "same")] * 30 + [(i, f"text {i}") for i in range(20)] + [((1 << 60) + 1, None)]
+    got = op09_sharding.kd_shards(frame(spark, rows), leaves=4).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 30 and sum(r.doc_id == (1 << 60) + 1 for r in got) == 1
+    size, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert max(size.values()) - min(size.values()) <= 20
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_sharding_splits_a_hot_group(spark):
     got = op09_sharding.kd_shards(frame(spark, [(i, "the same text") for i in range(80)])).collect()
     assert max(collections.Counter(r.shard for r in got).values()) <= 12

@@ -24,3 +24,6 @@ def test_null_and_repeated_ids(spark):
     of_b = [t for i, t in got if t in (b, near(b))]
     assert len(of_b) == 1
     assert got == sorted([(1, a), (None, of_b[0]), (3, c), (7, clean), (None, d)], key=str)
+    # Copies that reach this stage are near copies as well: one row of them stays, but rows without words all do.
+    rows = frame([(1, a), (2, a), (2, a), (3, near(a)), (4, ""), (5, ""), (5, None)])
+    assert told(corpus_pipeline.near_dedup(spark, rows, "")) == sorted([(1, a), (4, ""), (5, ""), (5, None)], key=str)
