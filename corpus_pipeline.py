@@ -42,23 +42,25 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the row with the least doc_id, then the least digest; null comes after all others.
 
-    Rows are numbered by a 64-bit fingerprint of doc_id and text, so that decisions take effect row by row,
-    whether doc_id is null or comes twice.
+    Texts are known by their digests, so that decisions take effect row by row, whether doc_id is null or comes twice.
+    Equal texts are near copies too, and one row of them stays. Rows without words link with nothing and all stay.
+    An empty table stays empty.
     """
     ship_package(spark)
-    digest = F.sha2(text_or_empty(), 256)
-    numbered = docs.withColumn("number", F.xxhash64(F.col("doc_id").isNull(), "doc_id", digest))
-    found = op03_minhash.near_dedup(numbered, key="number").select("number", "component_id").distinct()
-    found = durable(found)
-    several = found.groupBy("component_id").agg(F.count("*").alias("k")).where("k > 1").select("component_id")
-    members = durable(found.join(several, "component_id"))
+    digest = F.unhex(F.sha2(text_or_empty(), 256))
+    marked = docs.select(*COLUMNS).withColumn("__d", digest)
+    found = durable(op03_minhash.near_dedup(marked, key="__d").where("n_shingles > 0").groupBy("__d", "component_id").agg(F.count("*").alias("rows")))
+    several = found.groupBy("component_id").agg(F.sum("rows").alias("n")).where("n > 1").select("component_id")
+    members = durable(found.join(several, "component_id").select("__d", "component_id"))
     if members.isEmpty():
         return docs.select(*COLUMNS)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", digest.alias("digest"), "number")
-    places = numbered.select("number", place.alias("place")).join(small_or_shuffled(members), "number")
-    stays = places.groupBy("component_id").agg(F.min("place").getField("number").alias("number")).select("number")
-    dropped = durable(members.join(stays, "number", "left_anti").select("number"))
-    return numbered.join(small_or_shuffled(dropped), "number", "left_anti").select(*COLUMNS)
+    # Which row stays is found from ids and digests alone.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__d")
+    places = marked.select("doc_id", "__d").join(small_or_shuffled(members), "__d")
+    stays = durable(places.groupBy("component_id").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("__id"), F.col("p.__d").alias("__d")))
+    rest = marked.join(small_or_shuffled(members.select("__d")), "__d", "left_anti")
+    first = marked.join(small_or_shuffled(stays).withColumnRenamed("__d", "__d2"), (F.col("__d") == F.col("__d2")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return rest.unionByName(first.dropDuplicates(["__d"])).select(*COLUMNS)
 
 
 def _matching(marked: DataFrame, keys: DataFrame, how: str) -> DataFrame:
