@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.operators import ranks
+from auditloom.operators import ranks, unions
 
 _kept = ranks.kept
 
@@ -114,42 +113,17 @@ def temporal_paths(edges: DataFrame, pairs: DataFrame, max_hops: int, budget: in
     return done.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
-    """(node, component): the least node that links reach; pointers are shortened in every round."""
-    both = _kept(links.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(links.select(F.col(b).alias("a"), F.col(a).alias("b"))).distinct())
-    label = _kept(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
-    for _ in range(rounds):
-        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("near"))
-        hooked = label.join(near, label["node"] == near["a"], "left").select("node", "component", F.least("component", "near").alias("new"))
-        jump = hooked.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        moved = _kept(hooked.join(jump, "new", "left").select("node", F.coalesce("far", "new").alias("new"), "component"))
-        changed = not moved.where("new <> component").isEmpty()
-        label = moved.select("node", F.col("new").alias("component"))
-        if not changed:
-            return label
-    raise RuntimeError("components take more rounds than allowed")
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the least node that links reach; a node that is linked with itself alone is its own."""
+    ends = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
+    found = unions.components(ends).select(F.col("id").alias("node"), "component")
+    nodes = ends.where("a = b").select(F.col("a").alias("node")).distinct()
+    return found.unionByName(nodes.join(found, "node", "left_anti").withColumn("component", F.col("node")))
 
 
 def spanning_trees(links: DataFrame) -> DataFrame:
     """Of links (component, a, b, weight) those of the minimum spanning tree of each component, ties by (weight, a, b)."""
-
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        keep = []
-        for row in pdf.sort_values(["weight", "a", "b"]).itertuples(index=False):
-            x, y = root(row.a), root(row.b)
-            keep.append(x != y)
-            parent[x] = y
-        return pdf.sort_values(["weight", "a", "b"])[keep]
-
-    return links.select("component", "a", "b", "weight").groupBy("component").applyInPandas(tree, "component long, a long, b long, weight double")
+    return unions.spanning_forest(links)
 
 
 def pruned(links: DataFrame, protected: DataFrame, rounds: int = 1000) -> DataFrame:

@@ -181,13 +181,18 @@ def relaxed(rows: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
 
 def threshold_curve(rows: DataFrame, points: int = 300) -> DataFrame:
     """(threshold, tp, fp, fn, tn) at evenly spaced thresholds; each row is counted once, in the cell between two of them."""
-    span = rows.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    grid = span.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("threshold", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (points - 1))
-    total = rows.agg(F.count(F.when(F.col("y") == 1, 1)).alias("p"), F.count(F.when(F.col("y") == 0, 1)).alias("n"))
-    counted = rows.groupBy("score").agg(F.sum(F.col("y").cast("long")).alias("p1"), F.sum(1 - F.col("y").cast("long")).alias("n1"))
-    # Thresholds number a few hundred, whatever the input.
-    pairs = counted.join(F.broadcast(grid), counted["score"] > grid["threshold"]).groupBy("i").agg(F.sum("p1").alias("tp"), F.sum("n1").alias("fp"))
-    return grid.join(pairs, "i", "left").crossJoin(F.broadcast(total)).select("threshold", F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("fp", F.lit(0)).alias("fp"), (F.col("p") - F.coalesce("tp", F.lit(0))).alias("fn"), (F.col("n") - F.coalesce("fp", F.lit(0))).alias("tn"))
+    span = rows.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count(F.when(F.col("y") == 1, 1)).alias("p"), F.count(F.when(F.col("y") == 0, 1)).alias("n"))
+    at = lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (points - 1)
+    # The last threshold below the score: near by division, then by comparison with the thresholds themselves.
+    near = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (points - 1))).otherwise(0).cast("int")
+    cell = F.when(at(F.col("near") + 1) < F.col("score"), F.col("near") + 1).when(at(F.col("near")) < F.col("score"), F.col("near")).when(at(F.col("near") - 1) < F.col("score"), F.col("near") - 1).otherwise(F.col("near") - 2)
+    cells = rows.crossJoin(F.broadcast(span)).withColumn("near", near).groupBy(F.least(cell, F.lit(points - 1)).alias("i")).agg(F.sum(F.col("y").cast("long")).alias("p1"), F.sum(1 - F.col("y").cast("long")).alias("n1"))
+    grid = span.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    # One row a threshold from here on.
+    above = Window.orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(above)
+    c = grid.join(cells, "i", "left").select(at(F.col("i")).alias("threshold"), total("p1").alias("tp"), total("n1").alias("fp"), "p", "n")
+    return c.select("threshold", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("n") - F.col("fp")).alias("tn"))
 
 
 def coverage(nodes: DataFrame, truth: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Values up to which a quantile is taken in one aggregate; beyond, the place of the rank is narrowed by counts.
@@ -13,12 +13,21 @@ DIRECT = 1_000_000
 BINS = 1024
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the cluster's checkpoint folder, so that all that read it see the same rows and a lost executor costs no recomputation."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, one of the warehouse on a single machine, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if not spark.sparkContext.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_rounds"
         spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the cluster's checkpoint folder, so that all that read it see the same rows and a lost executor costs no recomputation."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

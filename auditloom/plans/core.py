@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from auditloom.functions import scalars as S
 from auditloom.operators import features, joins, provenance as P, scoring, windows
 from auditloom.plans.registry import query
-from auditloom.session import ship_package
 
 
 def edges(spark, d):
@@ -165,12 +164,6 @@ def seen_nodes(spark, d):
     return P.flagged(P.flagged(rows, P.endpoints(e.where("split = 'train'")), "node", "is_seen"), truth(e), "node", "y_true")
 
 
-@query("window_overlap", "a:l b:l shared:l", "WITH {E}, r AS (SELECT DISTINCT w, node FROM ends WHERE split = 'test') SELECT x.w AS a, y.w AS b, count(*) AS shared FROM r x JOIN r y ON x.node = y.node AND x.w < y.w GROUP BY x.w, y.w")
-def window_overlap(spark, d):
-    """J9, U3."""
-    return scoring.window_overlap(P.endpoints(edges(spark, d).where("split = 'test'"), "w"), "node")
-
-
 @query("seed_band_pairs", "a:l b:l share:b", """WITH {E}, s AS (SELECT e.* FROM e, thr WHERE split = 'test' AND loss >= thr)
     SELECT x.event_id AS a, y.event_id AS b, x.src IN (y.src, y.dst) OR x.dst IN (y.src, y.dst) AS share FROM s x JOIN s y ON abs(x.t - y.t) <= 3600000000000 AND (x.t < y.t OR (x.t = y.t AND x.event_id < y.event_id))""")
 def seed_band_pairs(spark, d):
@@ -537,6 +530,5 @@ def negative_edges(spark, d):
 @query("knn_outliers", "vec_id:l score:d")
 def knn_outliers(spark, d):
     """L9, A28."""
-    ship_package(spark)
     v = spark.read.parquet(f"{d}/embeddings.parquet")
     return features.knn_outliers(v, v)

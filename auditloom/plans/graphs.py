@@ -101,19 +101,19 @@ def components(spark, d):
     return G.components(s, "src", "dst")
 
 
-@query("spanning_trees", "component:l edges:l nodes:l")
+@query("spanning_trees", "component:l edges:l nodes:l weight:d")
 def spanning_trees(spark, d):
-    """A tree has one edge fewer than nodes, which the tests hold against brute force."""
+    """The tests hold trees and their weights against brute force."""
     e = edges(spark, d)
     s = A.seeds(e.where("split = 'test'"), A.threshold(e.where("split = 'val'"), "nodlink"))
     c = G.components(s, "src", "dst")
     links = s.join(c, s["src"] == c["node"]).groupBy("component", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min(1 / (1 + F.col("loss"))).alias("weight"))
     tree = G.spanning_trees(links)
     n = tree.select("component", F.explode(F.array("a", "b")).alias("node")).groupBy("component").agg(F.countDistinct("node").alias("nodes"))
-    return tree.groupBy("component").agg(F.count("*").alias("edges")).join(n, "component")
+    return tree.groupBy("component").agg(F.count("*").alias("edges"), F.sum("weight").alias("weight")).join(n, "component")
 
 
-@query("pruned", "a:l b:l")
+@query("pruned", "a:l b:l", f"""WITH RECURSIVE {{E}}, x AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e, thr WHERE split = 'test' AND loss >= thr), p0 AS (SELECT * FROM x), {", ".join(f"d{i} AS (SELECT node FROM (SELECT a AS node, b AS o FROM p{i} UNION SELECT b, a FROM p{i}) WHERE node NOT IN (SELECT node FROM truth) GROUP BY node HAVING count(DISTINCT o) <= 1), p{i + 1} AS MATERIALIZED (SELECT * FROM p{i} WHERE a NOT IN (SELECT node FROM d{i}) AND b NOT IN (SELECT node FROM d{i}))" for i in range(12))} SELECT * FROM p12""")
 def pruned(spark, d):
     """G21."""
     e = edges(spark, d)
@@ -335,9 +335,11 @@ def nearest_seeds(spark, d):
     return I.nearest_seed(x, A.seeds(x, A.threshold(e.where("split = 'val'"), "nodlink")))
 
 
-@query("complete_epochs", "epoch:l", "SELECT 2 AS epoch")
+@query("complete_epochs", "epoch:l", """WITH {E}, x AS (SELECT event_id, op FROM e WHERE split = 'test'), s AS (SELECT k AS epoch, event_id FROM x, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE (k <> 3 OR op <> 'error') UNION ALL SELECT 4, min(event_id) FROM x)
+    SELECT max(epoch) AS epoch FROM (SELECT epoch FROM s GROUP BY epoch HAVING count(*) = (SELECT count(*) FROM x) AND count(DISTINCT event_id) = (SELECT count(*) FROM x))""")
 def complete_epochs(spark, d):
-    """Of three epochs the third lacks a kind of event and the second is whole."""
+    """Of four epochs the third lacks an operation, and the fourth has an event twice."""
     e = test_edges(spark, d)
-    s = e.select(F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("epoch"), "event_id", "op")
-    return I.complete_epoch(s.where("epoch <> 3 or op <> 'error'"), e)
+    s = e.select(F.explode(F.array(*map(F.lit, range(1, 5)))).alias("epoch"), "event_id", "op")
+    again = e.agg(F.min("event_id").alias("event_id")).select(F.lit(4).alias("epoch"), "event_id")
+    return I.complete_epoch(s.where("epoch <> 3 or op <> 'error'").select("epoch", "event_id").unionByName(again), e)

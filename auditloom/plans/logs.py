@@ -9,7 +9,6 @@ from auditloom.operators import attacks, features, incidents as I, metrics as M,
 from auditloom.plans.core import edges, nodes, truth
 from auditloom.plans.graphs import incident_rows
 from auditloom.plans.registry import query
-from auditloom.session import ship_package
 from auditloom.sources import cdm, host_logs, reports
 
 #: How operations of the driver's events are written into logs.
@@ -164,7 +163,6 @@ def page_sources(spark, d):
 @query("batch_digests", "batch:l digest:s")
 def batch_digests(spark, d):
     """of batches of 256 test events."""
-    ship_package(spark)
     e = edges(spark, d).where("split = 'test'").withColumns({"edge_type": F.length("op"), "key": F.lit(0)})
     return windows.batch_digest(windows.batches(e, 256), ("src", "dst", "t", "edge_type", "key"))
 
@@ -195,7 +193,6 @@ def word_vectors(spark, d):
 @query("hierarchical_hashes", "node:l place:l value:d")
 def hierarchical_hashes(spark, d):
     """L7, F13, F14, F34."""
-    ship_package(spark)
     v = features.hierarchical_hashes(nodes(edges(spark, d)), 16)
     return v.select("node", F.posexplode("vector").alias("place", "value")).where("value <> 0")
 
@@ -203,7 +200,6 @@ def hierarchical_hashes(spark, d):
 @query("vector_novelty", "vec_id:l score:d")
 def vector_novelty(spark, d):
     """L10."""
-    ship_package(spark)
     v = spark.read.parquet(f"{d}/embeddings.parquet")
     return features.novelty(v, v)
 

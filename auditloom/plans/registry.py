@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -42,6 +44,7 @@ def query(name: str, columns: str, sql: str | None = None):
 
     def wrap(f: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             df = f(spark, sf_dir)
             cast = lambda c, t: F.round(F.col(c).cast("double"), 6) + 0.0 if t == "d" else F.col(c).cast(_SPARK[t])
             return df.select(*(cast(c, t).alias(c) for c, t in spec))

@@ -8,33 +8,35 @@ from auditloom.functions import scalars as S
 from auditloom.operators import features, memory as R, provenance as P
 from auditloom.plans.core import edges, nodes
 from auditloom.plans.registry import query
-from auditloom.session import ship_package
 from auditloom.sources import tables
 
 
-@query("fingerprints", "w:l n:l same:b", "WITH {E} SELECT w, count(*) AS n, true AS same FROM e WHERE split = 'test' GROUP BY w")
+@query("fingerprints", "w:l n:l fingerprint:s", """WITH {E}, h AS (SELECT w, sha256(t || '|' || src || '|' || dst || '|' || op) AS h FROM e), s AS (SELECT w, count(*) AS n, sum(CAST('0x' || h[1:15] AS BIGINT)) AS a, sum(CAST('0x' || h[16:30] AS BIGINT)) AS b, sum(CAST('0x' || h[31:45] AS BIGINT)) AS c, sum(CAST('0x' || h[46:60] AS BIGINT)) AS d FROM h GROUP BY w)
+    SELECT w, n, sha256(n || ',' || a || ',' || b || ',' || c || ',' || d) AS fingerprint FROM s""")
 def fingerprints(spark, d):
-    """The order of evidence doesn't matter."""
-    e = edges(spark, d).where("split = 'test'")
-    a = R.fingerprint(e, "w")
-    b = R.fingerprint(e.orderBy(F.col("loss").desc()), "w").withColumnRenamed("fingerprint", "f2")
-    return e.groupBy("w").agg(F.count("*").alias("n")).join(a, "w").join(b, "w").withColumn("same", F.col("fingerprint") == F.col("f2"))
+    """F26, M2."""
+    e = edges(spark, d)
+    return e.groupBy("w").agg(F.count("*").alias("n")).join(R.fingerprint(e, "w"), "w")
 
 
-def day_signatures(e):
-    e = e.withColumn("w", F.floor(F.col("w") / 24))
-    types, ops = ("subject", "file"), ("click", "error", "purchase", "signup", "view")
-    n = P.endpoints(e, "w").distinct().join(nodes(e).select("node", "type"), "node")
-    s = R.signatures(e, n, types, ops, "w", budget=50_000_000)
-    part = lambda a, b: S.l2(F.slice("signature", a + 1, b - a))
-    return s.select("w", F.size("signature").alias("dim"), part(0, 3).alias("n1"), part(3, 9).alias("n2"), F.element_at("signature", 8).alias("view"))
+_PARTS = [*(f"n{i}:d" for i in range(3)), *(f"r{i}:d" for i in range(6)), *(f"p{i}:d" for i in (0, 7, 14, 24, 28))]
+_OPS = ("click", "error", "purchase", "signup", "view")
+
 
+def _cell(i: int) -> str:
+    return f"coalesce((SELECT c.n FROM c WHERE c.day = d.day AND c.bin = {i}), 0) / nullif((SELECT sqrt(sum(n * n)) FROM c WHERE c.day = d.day), 0) * 0.5 AS p{i}"
 
-@query("signatures", "w:l dim:l n1:d n2:d view:d", """WITH {E}, x AS (SELECT *, w // 24 AS day FROM e), r AS (SELECT day, op, count(*) AS n FROM x GROUP BY day, op), k AS (SELECT day, sqrt(sum(n * n)) AS s FROM r GROUP BY day)
-    SELECT k.day AS w, 58 - 13 AS dim, 0.5 AS n1, 0.5 AS n2, coalesce((SELECT n FROM r WHERE r.day = k.day AND op = 'view'), 0) / s * 0.5 AS view FROM k""")
+
+@query("signatures", f"w:l dim:l {' '.join(_PARTS)}", f"""WITH {{E}}, x AS (SELECT *, w // 24 AS day FROM e), d AS (SELECT DISTINCT day FROM x), y AS (SELECT day, CASE WHEN node < 1000000 THEN 0 ELSE 1 END AS bin, count(DISTINCT node) AS n FROM (SELECT w // 24 AS day, node FROM ends) GROUP BY 1, 2),
+    r AS (SELECT day, list_position({list(_OPS)}, op) - 1 AS bin, count(*) AS n FROM x GROUP BY 1, 2), i AS (SELECT day, event_id, src, dst, t, list_position({list(_OPS)}, op) - 1 AS o FROM x), c AS (SELECT a.day, a.o * 6 + b.o AS bin, count(*) AS n FROM i a JOIN i b ON a.day = b.day AND a.dst = b.src AND a.t <= b.t AND a.event_id <> b.event_id GROUP BY 1, 2)
+    SELECT d.day AS w, 45 AS dim, {", ".join(f"coalesce((SELECT y.n FROM y WHERE y.day = d.day AND y.bin = {k}), 0) / (SELECT sqrt(sum(n * n)) FROM y WHERE y.day = d.day) * 0.5 AS n{k}" for k in range(3))}, {", ".join(f"coalesce((SELECT r.n FROM r WHERE r.day = d.day AND r.bin = {k}), 0) / (SELECT sqrt(sum(n * n)) FROM r WHERE r.day = d.day) * 0.5 AS r{k}" for k in range(6))}, {", ".join(_cell(k) for k in (0, 7, 14, 24, 28))} FROM d""".replace("/ nullif", "/ nullif"))
 def signatures(spark, d):
-    """All days as entries."""
-    return day_signatures(edges(spark, d))
+    """Days as entries: types of nodes, operations, and some pairs of operations on paths of two events."""
+    e = edges(spark, d).withColumn("w", F.floor(F.col("w") / 24))
+    n = P.endpoints(e, "w").distinct().join(nodes(e).select("node", "type"), "node")
+    s = R.signatures(e, n, ("subject", "file"), _OPS, "w", budget=50_000_000)
+    at = lambda i: F.element_at("signature", i + 1)
+    return s.select("w", F.size("signature").alias("dim"), *(at(i).alias(f"n{i}") for i in range(3)), *(at(3 + i).alias(f"r{i}") for i in range(6)), *(F.when(F.exists(F.slice("signature", 10, 36), lambda x: x > 0), at(9 + i)).alias(f"p{i}") for i in (0, 7, 14, 24, 28)))
 
 
 ALL_QUERIES = """WITH q AS (SELECT vec_id AS query, list_transform(embedding, lambda x: {sign} * x) AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, vec_id AS entry_id, label, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS similarity FROM embeddings, q),
@@ -44,7 +46,6 @@ ALL_QUERIES = """WITH q AS (SELECT vec_id AS query, list_transform(embedding, la
 
 def all_retrieved(spark, d, sign: int, at: float):
     """Every vector whose id is divisible by 50, times the sign, against all vectors."""
-    ship_package(spark)
     v = spark.read.parquet(f"{d}/embeddings.parquet")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.transform("embedding", lambda x: sign * x).alias("signature"))
     return R.retrieve(q, v.select(F.col("vec_id").alias("entry_id"), "label", F.col("embedding").alias("signature")), 3, at)

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # Checkpoints go when no frame needs them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -34,6 +38,21 @@ def seeds(stream: DataFrame, threshold: float) -> DataFrame:
     return stream.where(F.col("value") >= threshold)
 
 
+def last_neighbours(ends: DataFrame, k: int) -> DataFrame:
+    """W11, T7 on a stream of ends (node, other, t, event_id): (node, neighbours) for each node of a batch: its last k neighbours by event before the batch, oldest first.
+
+    A node's state is the last k events, whatever it has seen.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get)) if state.exists else []
+        new = [row for pdf in batches for row in zip(pdf["t"].tolist(), pdf["event_id"].tolist(), pdf["other"].tolist())]
+        yield pd.DataFrame({"node": [key[0]], "neighbours": [[o for _, _, o in held]]})
+        state.update(tuple(map(list, zip(*sorted([*held, *new])[-k:]))))
+
+    return ends.groupBy("node").applyInPandasWithState(update, "node long, neighbours array<long>", "t array<long>, event_id array<long>, other array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_once(frame: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """All that is there now, through the streaming engine, as a table in memory: for tests and small folders."""
     query = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom.functions import scalars as S
-from auditloom.operators import attacks, features, graph as G, incidents as I, joins as J, memory as R, metrics as M, ranks, scoring as A, windows as W
+from auditloom.operators import attacks, benchmarks, features, graph as G, incidents as I, joins as J, memory as R, metrics as M, ranks, scoring as A, unions, windows as W
 from auditloom.sources import cdm, host_logs, reports, tables
 from auditloom.streaming import windows as stream
 
@@ -95,16 +95,54 @@ def test_temporal_paths_against_enumeration(spark):
         assert want is None or got[pair] == pytest.approx(want)
 
 
-def test_spanning_tree_and_components(spark):
+def by_kruskal(links):
+    parent, tree = {}, set()
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for w, a, b in sorted((w, a, b) for a, b, w in links):
+        if root(a) != root(b):
+            parent[root(a)] = root(b)
+            tree.add((a, b, w))
+    return tree, {x: root(x) for e in links for x in e[:2]}
+
+
+@pytest.mark.parametrize("most", [1_000_000, 30])
+def test_spanning_trees_and_components(spark, monkeypatch, most):
+    """In one task, and in rounds; equal weights, several components, a loop."""
+    monkeypatch.setattr(unions, "LINKS_A_TASK", most)
     rng = random.Random(1)
-    links = [(rng.randrange(12), rng.randrange(12), rng.random()) for _ in range(25)]
-    links = [(a, b, w) for a, b, w in links if a != b]
-    df = spark.createDataFrame(links, "a long, b long, weight double")
-    comp = {r.node: r.component for r in G.components(df).collect()}
-    for a, b, _ in links:
-        assert comp[a] == comp[b]
-    tree = G.spanning_trees(df.withColumn("component", F.lit(0).cast("long"))).collect()
-    assert len(tree) == len(comp) - len(set(comp.values()))
+    links = list({(min(p), max(p)): (min(p), max(p), float(rng.randrange(6))) for p in ((rng.randrange(g, g + 40), rng.randrange(g, g + 40)) for g in (0, 100, 200) for _ in range(70)) if p[0] != p[1]}.values())
+    df = spark.createDataFrame(links, "a long, b long, weight double").repartition(7)
+    tree, roots = by_kruskal(links)
+    comp = {r.node: r.component for r in G.components(df.select("a", "b").union(spark.createDataFrame([(999, 999)], "a long, b long"))).collect()}
+    least = {}
+    for x, r in roots.items():
+        least[r] = min(least.get(r, x), x)
+    assert comp == {x: least[r] for x, r in roots.items()} | {999: 999}
+    named = df.join(spark.createDataFrame(list(comp.items()), "a long, component long"), "a")
+    got = G.spanning_trees(named).collect()
+    assert {(r.a, r.b, r.weight) for r in got} == tree and all(r.component == comp[r.a] for r in got)
+    assert G.spanning_trees(named.limit(0)).count() == 0
+
+
+def test_pruning(spark):
+    rng = random.Random(5)
+    links = {tuple(sorted((rng.randrange(30), rng.randrange(30)))) for _ in range(36)}
+    links = {p for p in links if p[0] != p[1]}
+    keep = {3, 7, 11}
+    left = set(links)
+    while True:
+        degree = {n: sum(n in p for p in left) for p in left for n in p}
+        gone = {n for n, k in degree.items() if k <= 1 and n not in keep}
+        if not gone:
+            break
+        left = {p for p in left if not gone & set(p)}
+    df = spark.createDataFrame(sorted(links), "a long, b long")
+    assert {tuple(r) for r in G.pruned(df, spark.createDataFrame([(n,) for n in keep], "node long")).collect()} == left
 
 
 def test_versions_order_by_time(spark):
@@ -490,3 +528,45 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {(r.window.start, r.n, r.max_loss) for r in live.collect()} == {(r.window.start, r.n, r.max_loss) for r in batch.collect()}
     once = stream.run_once(stream.distinct_events(stream.read_events(spark, str(tmp_path / "events")), "60 days"), "once", "append")
     assert once.count() == source.count()
+
+
+def test_stream_state(spark, tmp_path):
+    """Neighbours before each batch, as the batch operator has them."""
+    rng = random.Random(8)
+    rows = [(i, rng.randrange(4), 10 + rng.randrange(5), i) for i in range(60)]
+    schema = "event_id long, src long, dst long, t long"
+    for part in range(3):
+        spark.createDataFrame(rows[part * 20 : part * 20 + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "edges"))
+    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "edges"))
+    ends = e.select(F.col("src").alias("node"), F.col("dst").alias("other"), "t", "event_id").unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("other"), "t", "event_id"))
+    got = sorted((r.node, list(r.neighbours)) for r in stream.run_once(stream.last_neighbours(ends, 3), "neighbours", "append").collect())
+    whole = spark.createDataFrame([(*r, r[0] // 20) for r in rows], schema + ", batch long")
+    want = sorted((r.node, list(r.neighbours)) for r in W.last_neighbours(whole, 3).collect())
+    assert got == want
+
+
+def test_builder_under_the_clock(spark):
+    edges, validation, truth = benchmarks.synthetic_region(spark, 20)
+    assert edges.count() == 12 + 40
+    at = A.seed_threshold(validation)
+    report = benchmarks.benchmark(edges, at, {"near": I.IncidentConfig(max_gap=10 * benchmarks.SECOND, max_hops=4, context_hops=0), "apart": I.IncidentConfig(max_gap=1, context_hops=0)}, 2, truth)
+    near, apart = report["near"]["metrics"], report["apart"]["metrics"]
+    assert (near["incidents"], near["seeds"], near["connectors"], near["seed_retention"], near["coverage_core"]) == (2, 4, 6, 1.0, 1.0)
+    assert (apart["incidents"], apart["connectors"]) == (4, 0) and report["near"]["events_per_second"] > 0
+    with pytest.raises(ValueError):
+        benchmarks.benchmark(edges, at, {}, 1)
+
+
+def test_command_line(spark, tmp_path):
+    from auditloom.__main__ import main
+
+    edges, validation, _ = benchmarks.synthetic_region(spark, 3)
+    edges.write.parquet(str(tmp_path / "events"))
+    validation.write.parquet(str(tmp_path / "validation"))
+    call = ["incidents", "--events", str(tmp_path / "events"), "--output", str(tmp_path / "out"), "--validation", str(tmp_path / "validation"), "--max-hops", "4", "--context-hops", "0"]
+    main(call)
+    assert spark.read.parquet(str(tmp_path / "out")).where("role = 'seed'").count() == 4
+    with pytest.raises(Exception, match="exist"):
+        main(call)
+    with pytest.raises(SystemExit):
+        main(call[:5])
