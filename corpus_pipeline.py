@@ -26,7 +26,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id."""
+    """Of equal texts the document with the largest doc_id, null being less than all others; null texts equal the empty one.
+
+    Rows repeated with that doc_id keep one of them. Extra columns are dropped; an empty table stays empty.
+    """
     ship_package(spark)
     found = durable(op04_exact_dedup.exact_dedup(docs).where(~F.col("kept")).select("doc_id", "keep_id", "text_sha256"))
     left = _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256"))
@@ -75,13 +78,17 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a row for each time that words of a document are taken, holding these words."""
+    """The mix of sources: a row for each time that words of a document are taken, holding these words.
+
+    So a document comes up to twice, and one without words, or of which no slot takes any, doesn't come. A null source
+    is one of its own; null and repeated doc_ids are rows like any other; an empty table stays empty.
+    """
     ship_package(spark)
     return op06_mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The encoded corpus: doc_id, source, n_tokens, ids, and whether decoding gives the text back."""
+    """The encoded corpus: doc_id, source, n_tokens, ids, and whether decoding gives the text back. Null texts have no ids."""
     import public_tokenizers
 
     ship_package(spark)
@@ -95,11 +102,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written as Parquet and read again."""
-    folder = shared_dir(spark)
+    """All stages over the documents of sf_dir, each written as Parquet and read again; what a stage has read goes when its result is written."""
+    folder, last = shared_dir(spark), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}-{uuid.uuid4().hex[:8]}.parquet"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            at = spark._jvm.org.apache.hadoop.fs.Path(last)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        last = path
     return docs
