@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.operators.ranks import checkpoint_folder
+
 #: A word, as the contracts define it.
 WORD = r"[^\x20\x09-\x0D]+"
 #: At most so many keys are ever broadcast as hot ones.
@@ -19,16 +21,8 @@ HOT_KEYS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the one that the cluster names in spark.checkpoint.dir.
-
-    Only where that is unset (tests on one machine) a folder of the warehouse is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/auditloom-{uuid.uuid4().hex}"
+    """A fresh folder below the one that the cluster names in spark.checkpoint.dir (see checkpoint_folder)."""
+    return f"{checkpoint_folder(spark)}/auditloom-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame, eager: bool = True) -> DataFrame:

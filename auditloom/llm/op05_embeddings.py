@@ -146,8 +146,8 @@ def near_vectors(rows: DataFrame, cosine: float = 0.9, vector: str = "embedding"
     packed = durable(arrow_map(given, pack, "id long, raw binary").withColumn("digest", F.sha2("raw", 256)))
     valid = packed.where(F.col("raw").isNotNull())
     reps = valid.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
-    # The number of a vector stands for it from here on: keys may repeat.
-    reps = durable(reps.select("digest", "copies", "raw", "rep", F.xxhash64("digest").alias("u")))
+    # The number of a vector stands for it from here on, as keys may repeat; it lasts, as the table is written first.
+    reps = durable(reps.select("digest", "copies", "raw", "rep", F.monotonically_increasing_id().alias("u")))
     k, tables = parameters(reps.count(), cosine)
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

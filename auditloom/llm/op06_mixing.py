@@ -204,7 +204,8 @@ def _pieces(docs: DataFrame, text: str, key: str, source: str, seed: int, block:
     spans = F.when(F.col("size") > 0, F.expr(f"sequence(off div {block}, (off + size - 1) div {block})"))
     parts = placed.select("*", F.explode_outer(spans).alias("block"))
     slots = _slots(spark, found, seed, block) if any(p.slots for p in found) else spark.createDataFrame([], "s int, block long, takes array<int>")
-    parts = parts.join(slots, ["s", "block"], "left")
+    # Slots are as many as blocks, though they are made from next to nothing: they must not be sent to all tasks.
+    parts = parts.join(slots.hint("merge"), ["s", "block"], "left")
     begin = F.greatest(F.col("off") - F.col("block") * block, F.lit(0))
     end = F.least(F.col("off") + F.col("size") - F.col("block") * block, F.lit(block))
     takes = F.transform(F.coalesce("takes", F.array().cast("array<int>")), lambda t: F.greatest(F.least(end, t) - begin, F.lit(0)))

@@ -515,9 +515,21 @@ def test_fit_is_bounded_in_bytes(spark, monkeypatch):
     labels = labelled(spark, [(i, 1, i % 2) for i in range(200)])
     monkeypatch.setattr(op10_toxicity, "SAMPLE_BYTES", 120_000)
     seen = []
-    monkeypatch.setattr(op10_toxicity, "fit", lambda docs, y: seen.append(sum(d.nbytes for d in docs)) or op10_toxicity.Machine(0.0, np.zeros(8), np.zeros((8, 2))))
+    monkeypatch.setattr(op10_toxicity, "fit", lambda docs, y: seen.append((len(docs), y.mean())) or op10_toxicity.Machine(0.0, np.zeros(8), np.zeros((8, 2))))
     op10_toxicity.train(frame(spark, rows), labels)
-    assert 60_000 < seen[0] <= 120_000
+    each = np.mean([op10_toxicity.Terms().of(t).nbytes for _, t in rows])
+    assert 0.8 * 120_000 / each < seen[0][0] <= 1.2 * 120_000 / each < 100 and 0.3 < seen[0][1] < 0.7
+
+
+def test_fit_is_the_same_from_thinned_terms(spark):
+    """What the driver leaves out could not have taken part."""
+    rng = random.Random(31)
+    rows = [(i, words(rng, 60, 300) + (" moronic" if i % 3 == 0 else "")) for i in range(600)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(600)]
+    got = op10_toxicity.train(frame(spark, rows), labelled(spark, labels))
+    used = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    want = op10_toxicity.telling([op10_toxicity.Terms().of(t) for _, t in used], np.array([i % 3 == 0 for i, _ in used], np.float32))
+    assert set(np.flatnonzero(got.weights)) == set(np.flatnonzero(want)) != set()
 
 
 def test_toxicity_keys(spark):
