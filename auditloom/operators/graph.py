@@ -227,3 +227,31 @@ def temporal_walks(edges: DataFrame, start: DataFrame, length: int, half_life: i
         part = state.select("walk", "nodes") if done is None else done.unionByName(state.select("walk", "nodes"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def adjacency_walks(edges: DataFrame, length: int, times: int = 10, seed: int = 0) -> DataFrame:
+    """(way, start, i, path): from each node as many walks as `times` its distinct neighbours, of at most `length` steps, ahead along edges and back against them.
+
+    A step takes any neighbour, then any of the operations between the two, whatever their times; choices are hashes,
+    and one is looked up by its place, so that no step multiplies rows. path is `start,op,node,op,node...`.
+    """
+    out = None
+    for way, a, b in (("ahead", "src", "dst"), ("back", "dst", "src")):
+        each = edges.groupBy(F.col(a).alias("at"), F.col(b).alias("to")).agg(F.sort_array(F.collect_set("op")).alias("ops"))
+        links = _kept(each.withColumn("place", F.row_number().over(Window.partitionBy("at").orderBy("to")).cast("long") - 1))
+        degrees = _kept(links.groupBy("at").agg(F.count("*").alias("degree")))
+        start = degrees.select(F.col("at").alias("start"), F.explode(F.expr(f"sequence(0L, degree * {times} - 1)")).alias("i"))
+        state, done = start.select("start", "i", F.col("start").alias("at"), F.col("start").cast("string").alias("path")), None
+        for step in range(length):
+            drawn = lambda n, what: F.pmod(F.xxhash64(F.lit(way), "start", "i", F.lit(step), F.lit(what), F.lit(seed)), n)  # noqa: E731, B023
+            picked = state.join(degrees, "at").withColumn("place", drawn(F.col("degree"), "node")).join(links, ["at", "place"])
+            op = F.element_at("ops", (drawn(F.size("ops"), "op") + 1).cast("int"))
+            after = _kept(picked.select("start", "i", F.col("to").alias("at"), F.concat_ws(",", "path", op, F.col("to").cast("string")).alias("path")))
+            if step:
+                ended = state.join(degrees, "at", "left_anti").select("start", "i", "path")
+                done = ended if done is None else done.unionByName(ended)
+            state = after
+        part = state.select("start", "i", "path")
+        part = (part if done is None else done.unionByName(part)).withColumn("way", F.lit(way))
+        out = part if out is None else out.unionByName(part)
+    return out.select("way", "start", "i", "path")

@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.functions.scalars import l2
 from auditloom.operators.graph import _kept as durable
+from auditloom.operators.scoring import mean_vectors
 
 #: Of nearest references a task holds about so many rows a label, and so many labels.
 PENDING = 500_000
@@ -82,12 +84,13 @@ def _bin(value: Column, vocabulary: tuple[str, ...]) -> Column:
     return out
 
 
-def signatures(events: DataFrame, nodes: DataFrame, types: tuple[str, ...], relations: tuple[str, ...], key: str = "entry_id", budget: int = 1_000_000) -> DataFrame:
-    """(key, signature): histograms of node types, of relations and of pairs of consecutive relations on paths of two events.
+def signatures(events: DataFrame, nodes: DataFrame, types: tuple[str, ...], relations: tuple[str, ...], key: str = "entry_id", budget: int = 1_000_000, vectors: DataFrame | None = None, semantic: int = 0) -> DataFrame:
+    """(key, signature): the mean vector of the nodes, and histograms of node types, of relations and of pairs of consecutive relations on paths of two events.
 
-    events: (key, event_id, src, dst, t, op); nodes: (key, node, type). Each block has the norm one half, or
-    0 if nothing is in it; the last bin is for what isn't in the vocabulary. More paths than the budget in one
-    entry are an error.
+    events: (key, event_id, src, dst, t, op); nodes: (key, node, type); vectors: (key, node, vector) of `semantic`
+    numbers each, whose block comes first; without them there is none. Each block has the norm one half, or 0 if
+    nothing is in it; the last bin is for what isn't in the vocabulary. More paths than the budget in one entry, and
+    vectors of another length, are errors.
     """
     a = nodes.groupBy(key, _bin(F.col("type"), types).alias("bin")).agg(F.count("*").alias("n"))
     b = events.groupBy(key, _bin(F.col("op"), relations).alias("bin")).agg(F.count("*").alias("n"))
@@ -99,8 +102,13 @@ def signatures(events: DataFrame, nodes: DataFrame, types: tuple[str, ...], rela
     if not c.groupBy(key).agg(F.sum("n").alias("n")).where(F.col("n") > budget).isEmpty():
         raise RuntimeError("more paths than the budget")
     blocks = [(_block(a, key, len(types) + 1), len(types) + 1), (_block(b, key, k), k), (_block(c, key, k * k), k * k)]
-    out_ = events.select(key).distinct()
-    parts = []
+    out_, parts = events.select(key).distinct(), []
+    if vectors is not None:
+        size = F.size("vector")
+        right = F.when(size == semantic, F.col("vector")).otherwise(F.raise_error(F.lit("a vector of another length")).cast("array<double>"))
+        mean = mean_vectors(vectors.withColumn("vector", right), key, "vector")
+        out_ = out_.join(mean.select(key, F.transform("vector", lambda x: F.coalesce(F.try_divide(x, l2(F.col("vector"))), F.lit(0.0)) * 0.5).alias("semantic")), key, "left")
+        parts.append(F.coalesce("semantic", F.array_repeat(F.lit(0.0), semantic)))
     for i, (block, size) in enumerate(blocks):
         out_ = out_.join(block.withColumnRenamed("block", f"b{i}"), key, "left")
         parts.append(F.coalesce(f"b{i}", F.array_repeat(F.lit(0.0), size)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,11 +75,11 @@ def shortest(edges: DataFrame, ends: DataFrame, forward: bool, rounds: int = 100
     raise RuntimeError("a shortest path takes more rounds than allowed")
 
 
-def anomaly_subgraphs(edges: DataFrame, anomalous: DataFrame, per_type: int = 10, hops: int = 1, max_edges: int = 5000) -> DataFrame:
+def anomaly_subgraphs(edges: DataFrame, anomalous: DataFrame, per_type: int = 10, hops: int = 1, max_edges: int = 5000, least: float | None = None) -> DataFrame:
     """(seed, event_id): events between anomalous(node, type, score) nodes around the top seeds of each type.
 
     A seed's events beyond max_edges are thinned evenly by operation, by hash, and seeds with the same events
-    count once.
+    count once. With `least`, subgraphs whose losses don't sum up to more are left out.
     """
     inner = edges.join(anomalous.select(F.col("node").alias("src")), "src", "left_semi").join(anomalous.select(F.col("node").alias("dst")), "dst", "left_semi")
     tops = top_per(anomalous, "type", per_type, F.col("score").desc(), F.col("node")).select(F.col("node").alias("seed"))
@@ -93,7 +94,10 @@ def anomaly_subgraphs(edges: DataFrame, anomalous: DataFrame, per_type: int = 10
     thin = ranked.where((F.col("n") <= max_edges) | (F.col("rn") <= F.floor(F.col("k") * max_edges / F.col("n"))))
     sums = thin.groupBy("seed").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(event_id))").alias("h"))
     keep = sums.groupBy("m", "h").agg(F.min("seed").alias("seed")).select("seed")
-    return thin.join(keep, "seed", "left_semi").select("seed", "event_id")
+    kept = thin.join(keep, "seed", "left_semi").select("seed", "event_id")
+    if least is None:
+        return kept
+    return kept.join(severities(kept, edges).where(F.col("score") > least).select("seed"), "seed", "left_semi")
 
 
 def severities(subgraphs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -192,6 +196,25 @@ def bounded_slice(incidents: DataFrame, most: int) -> DataFrame:
     return top_per(incidents, "incident", most, order, F.col("event_id")).drop("rank")
 
 
+def bounded_reference(events: DataFrame, key: str, most_nodes: int, most_edges: int) -> DataFrame:
+    """M9: (key, event_id, truncated): of each entry's events (key, event_id, src, dst) in order those that a view can show.
+
+    An event is left out if the view is full, or if its nodes would be too many; `truncated` tells whether any was.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes, taken = set(), []
+        for event, src, dst in pdf.sort_values("event_id")[["event_id", "src", "dst"]].itertuples(index=False):
+            new = {src, dst} - nodes
+            if len(taken) < most_edges and len(nodes) + len(new) <= most_nodes:
+                taken.append(event)
+                nodes |= new
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(taken), "event_id": taken, "truncated": len(taken) < len(pdf)})
+
+    kind = dict(events.dtypes)[key]
+    return events.select(key, "event_id", "src", "dst").groupBy(key).applyInPandas(fold, f"{key} {kind}, event_id long, truncated boolean")
+
+
 def score_histogram(rows: DataFrame, bins: int = 20) -> DataFrame:
     """V7: (bin, n) of scores in equal cells between the least and greatest."""
     span = rows.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditloom.functions import scalars as S
-from auditloom.operators import attacks, features, incidents as I, metrics as M, provenance as P, scoring as A, windows
+from auditloom.operators import attacks, features, graph as G, incidents as I, metrics as M, provenance as P, triage as T, windows
 from auditloom.plans.core import edges, nodes, truth
 from auditloom.plans.graphs import incident_rows
 from auditloom.plans.registry import query
@@ -153,9 +153,9 @@ def entropy_losses(spark, d):
     return edges(spark, d).select("event_id", features.cross_entropy(F.array(x, F.lit(1.0), F.lit(2.0)), (i % 3).cast("int")).alias("ce"), features.binary_cross_entropy(x, i % 2).alias("bce"))
 
 
-@query("page_sources", "page_id:l source_id:s")
+@query("page_sources", "page_id:l source_id:s", "SELECT page_id, sha256(page_id || chr(0) || coalesce(html, '')) AS source_id FROM pages")
 def page_sources(spark, d):
-    """pages as files that are named by their ids; the tests hold it against hashes of the bytes."""
+    """pages as files that are named by their ids."""
     pages = spark.read.parquet(f"{d}/pages.parquet")
     return pages.select("page_id", reports.content_id(F.col("page_id").cast("string"), F.coalesce("html", F.lit(""))).alias("source_id"))
 
@@ -236,3 +236,18 @@ def checked_roles(spark, d):
     roles = rows.join(e.select("event_id", "src", "dst", F.col("event_id").alias("key"), "t", "op", "score"), "event_id")
     checked = I.checked_roles(roles.select("incident", "role", "src", "dst", "key", "t", "op", "score"), e.select("src", "dst", F.col("event_id").alias("key"), "t", "op", "score"))
     return checked.withColumnRenamed("key", "event_id")
+
+
+@query("adjacency_walks", "way:s start:l i:l path:s")
+def adjacency_walks(spark, d):
+    """One walk for each neighbour of a node of the test period, of at most four steps."""
+    return G.adjacency_walks(edges(spark, d).where("split = 'test'"), 4, 1)
+
+
+@query("memory_views", "w:l event_id:l truncated:b", """WITH RECURSIVE {E}, x AS (SELECT w // 24 AS w, event_id, src, dst, row_number() OVER (PARTITION BY w // 24 ORDER BY event_id) AS rn FROM e WHERE split = 'test'),
+    f AS (SELECT w, rn, [event_id] AS taken, list_distinct([src, dst]) AS nodes FROM x WHERE rn = 1 UNION ALL SELECT x.w, x.rn, CASE WHEN len(taken) < 25 AND len(list_distinct(list_concat(nodes, [src, dst]))) <= 30 THEN list_append(taken, event_id) ELSE taken END, CASE WHEN len(taken) < 25 AND len(list_distinct(list_concat(nodes, [src, dst]))) <= 30 THEN list_distinct(list_concat(nodes, [src, dst])) ELSE nodes END FROM f JOIN x ON x.w = f.w AND x.rn = f.rn + 1)
+    SELECT w, unnest(taken) AS event_id, len(taken) < rn AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY rn DESC) AS last FROM f) WHERE last = 1""")
+def memory_views(spark, d):
+    """M9: what a view of 30 nodes and 25 events shows of each day."""
+    e = edges(spark, d).where("split = 'test'").withColumn("w", F.floor(F.col("w") / 24).cast("long"))
+    return T.bounded_reference(e, "w", 30, 25)

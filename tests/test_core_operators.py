@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom.functions import scalars as S
-from auditloom.operators import attacks, benchmarks, features, graph as G, incidents as I, joins as J, memory as R, metrics as M, ranks, scoring as A, unions, windows as W
+from auditloom.operators import attacks, benchmarks, evaluation, features, graph as G, incidents as I, joins as J, memory as R, metrics as M, ranks, scoring as A, triage as T, unions, windows as W
 from auditloom.sources import cdm, host_logs, reports, tables
 from auditloom.streaming import windows as stream
 
@@ -443,6 +443,17 @@ def test_signature_blocks(spark):
     assert got[6:] == pytest.approx([0, 0.5, 0, 0, 0, 0, 0, 0, 0])
 
 
+def test_signature_with_vectors(spark):
+    nodes = spark.createDataFrame([("e", 1, "process"), ("e", 2, "file"), ("f", 3, "file")], "entry_id string, node long, type string")
+    events = spark.createDataFrame([("e", 0, 1, 2, 10, "1"), ("f", 1, 3, 3, 10, "9")], "entry_id string, event_id long, src long, dst long, t long, op string")
+    vectors = spark.createDataFrame([("e", 1, [3.0, 0.0]), ("e", 2, [3.0, 8.0]), ("f", 3, [0.0, 0.0])], "entry_id string, node long, vector array<double>")
+    got = {r.entry_id: r.signature for r in R.signatures(events, nodes, ("process", "file"), ("1", "2"), vectors=vectors, semantic=2).collect()}
+    assert got["e"][:2] == pytest.approx([0.3, 0.4]) and got["f"][:2] == [0, 0] and len(got["e"]) == R.dimension(2, 2, 2)
+    assert got["f"][2:8] == pytest.approx([0, 0.5, 0, 0, 0, 0.5])  # the operation is unknown, and an event is no path
+    with pytest.raises(Exception, match="another length"):
+        R.signatures(events, nodes, ("process", "file"), ("1", "2"), vectors=vectors, semantic=3).collect()
+
+
 ENTRY = "entry_id string, label string, source_id string, host_id string, techniques array<string>, events array<string>"
 
 
@@ -570,3 +581,74 @@ def test_command_line(spark, tmp_path):
         main(call)
     with pytest.raises(SystemExit):
         main(call[:5])
+
+
+def test_evaluation(spark, tmp_path):
+    """Three epochs, the last of which lacks a window; attack nodes that aren't there; a report that is made once."""
+    ns = 1658188800000000000
+    rows = [(0, "val", 0, 100, 101, ns, "1", 1.0), (1, "val", 0, 101, 102, ns + 1, "1", 2.0), (2, "test", 1, 1, 2, ns + 10, "1", 4.0), (3, "test", 1, 2, 3, ns + 11, "1", 0.2), (4, "test", 1, 3, 4, ns + 12, "1", 4.0), (5, "test", 2, 1, 5, ns + 100, "1", 4.0), (6, "test", 2, 6, 7, ns + 101, "1", 0.1)]
+    e = spark.createDataFrame(rows, "event_id long, split string, w long, src long, dst long, t long, op string, loss double")
+    scores = e.select(F.explode(F.array(*map(F.lit, (2, 10, 11)))).alias("epoch"), "event_id", "loss", "w").where("epoch <> 11 or w <> 2").drop("w")
+    truth = spark.createDataFrame([(n, 0) for n in (1, 3, 6, 999)], "node long, attack long")
+    go = lambda **more: evaluation.evaluate(e.drop("loss"), scores, truth, str(tmp_path / "r"), I.IncidentConfig(max_gap=100, context_hops=0), **more)
+    got = go()
+    run, cover = got["run"].first(), got["coverage"].first()
+    assert (run.epoch, run.threshold, run.events, run.present, run.absent) == (10, 2.0, 5, 3, 1)
+    assert (cover.coverage_seeds, cover.coverage_core, cover.fragmentation) == (pytest.approx(2 / 3), pytest.approx(2 / 3), 2.0)
+    assert got["incidents"].select("incident").distinct().count() == 2
+    first = reports.latest(spark, str(tmp_path / "r"))
+    go()
+    assert reports.latest(spark, str(tmp_path / "r")) == first
+    assert go(epoch=2)["run"].first().epoch == 2 and reports.latest(spark, str(tmp_path / "r")) != first
+    with pytest.raises(ValueError):
+        go(epoch=11)
+
+
+def test_adjacency_walks(spark):
+    rows = [(1, 2, "a"), (1, 2, "b"), (1, 3, "a"), (2, 4, "c"), (4, 1, "d"), (3, 3, "e")]
+    e = spark.createDataFrame(rows, "src long, dst long, op string")
+    got = G.adjacency_walks(e, 3, 20).collect()
+    count = {(r.way, r.start): 0 for r in got}
+    for r in got:
+        count[r.way, r.start] += 1
+        parts = r.path.split(",")
+        assert int(parts[0]) == r.start and len(parts) % 2 == 1
+        steps = [(int(parts[k]), parts[k + 1], int(parts[k + 2])) for k in range(0, len(parts) - 2, 2)]
+        assert all(((a, b, op) if r.way == "ahead" else (b, a, op)) in rows for a, op, b in steps) and len(steps) == 3
+    assert count == {("ahead", 1): 40, ("ahead", 2): 20, ("ahead", 4): 20, ("ahead", 3): 20, ("back", 2): 20, ("back", 3): 40, ("back", 4): 20, ("back", 1): 20}
+    ends = {r.path.split(",")[1] for r in got if (r.way, r.start) == ("ahead", 1)}
+    assert ends == {"a", "b"}
+    short = {r.path for r in G.adjacency_walks(e.where("op in ('a', 'c') and dst <> 3"), 3, 1).collect()}
+    assert short == {"1,a,2,c,4", "2,c,4", "2,a,1", "4,c,2,a,1"}
+
+
+def test_subgraphs_of_anomalies(spark):
+    """Events between anomalous nodes around the best of each type; equal ones once; evenly thinned; by severity."""
+    rows = [(i, s, d, o, float(w)) for i, (s, d, o, w) in enumerate([(1, 10, "r", 5), (10, 2, "w", 6), (2, 11, "r", 7), (3, 12, "w", 1), (9, 10, "r", 50), (12, 3, "x", 1)])]
+    e = spark.createDataFrame(rows, "event_id long, src long, dst long, op string, loss double")
+    bad = spark.createDataFrame([(1, "p", 9.0), (2, "p", 8.0), (3, "p", 7.0), (10, "f", 9.0), (11, "f", 1.0), (12, "f", 8.0)], "node long, type string, score double")
+    sub = lambda **more: {(r.seed, r.event_id) for r in T.anomaly_subgraphs(e, bad, per_type=2, **more).collect()}
+    assert sub() == {(1, 0), (2, 1), (2, 2), (10, 0), (10, 1), (12, 3), (12, 5)}
+    assert sub(least=6.0) == {(2, 1), (2, 2), (10, 0), (10, 1)}
+    assert len(sub(max_edges=1)) < 7
+
+
+def test_campaign_by_hops(spark):
+    rng = random.Random(4)
+    links = {(rng.randrange(60), rng.randrange(60)) for _ in range(70)}
+    e = spark.createDataFrame([(a, b) for a, b in links], "src long, dst long")
+    bad = {1, 2, 3}
+    want, front = dict.fromkeys(bad, 0), set(bad)
+    for hop in (1, 2, 3):
+        front = {y for a, b in links for x, y in ((a, b), (b, a)) if x in front} - want.keys()
+        want |= dict.fromkeys(front, hop)
+    start = spark.createDataFrame([(n,) for n in bad], "node long")
+    assert {r.node: r.hop for r in T.campaign(e, start).collect()} == want
+    capped = {r.node: r.hop for r in T.campaign(e, start, (3, 2, 1)).collect()}
+    assert sorted(capped.values()) == [0, 0, 0, 1, 1, 2] and capped.items() <= want.items() or len(capped) == 6
+
+
+def test_slices_by_role(spark):
+    rows = [(1, "context", 1), (1, "seed", 9), (1, "connector", 3), (1, "connector", 2), (2, "context", 4)]
+    df = spark.createDataFrame(rows, "incident long, role string, event_id long")
+    assert {tuple(r) for r in T.bounded_slice(df, 2).select("incident", "event_id").collect()} == {(1, 9), (1, 2), (2, 4)}
