@@ -101,18 +101,34 @@ def _ratio(table: np.ndarray) -> np.ndarray:
     return 2 * out
 
 
+def counted(docs: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each bucket the texts that have it, and those of them with label 1."""
+    have, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for at in range(0, len(docs), 1024):
+        part, y = docs[at : at + 1024], np.asarray(labels[at : at + 1024]) > 0
+        have += np.bincount(np.concatenate(part), minlength=BUCKETS)
+        if y.any():
+            toxic += np.bincount(np.concatenate([d for d, bad in zip(part, y) if bad]), minlength=BUCKETS)
+    return have, toxic
+
+
+def alone(have: np.ndarray, toxic: np.ndarray, n: int, positive: float) -> np.ndarray:
+    """Of each bucket: does it tell by itself?"""
+    return _ratio(np.stack([toxic, have - toxic, positive - toxic, n - have - positive + toxic])) >= TELLING
+
+
+def usual_ones(have: np.ndarray, n: int) -> np.ndarray:
+    """The most frequent buckets, of which pairs are tried; what all texts or next to none hold can't tell."""
+    usual = np.argsort(-np.where(have < n, have, 0), kind="stable")[:PAIRED]
+    return usual[(have[usual] >= 10) & (have[usual] < n)]
+
+
 def telling(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Of each bucket: does it take part, by itself or in a pair?"""
     n, positive = len(docs), float(np.sum(labels))
-    lengths = [len(d) for d in docs]
-    ids = np.concatenate(docs)
-    have = np.bincount(ids, minlength=BUCKETS).astype(float)
-    toxic = np.bincount(ids, weights=np.repeat(labels, lengths), minlength=BUCKETS)
-    out = _ratio(np.stack([toxic, have - toxic, positive - toxic, n - have - positive + toxic])) >= TELLING
-    # Pairs of the most frequent terms; what all texts or next to none hold can't tell.
-    usual = np.argsort(-np.where(have < n, have, 0), kind="stable")[:PAIRED]
-    usual = usual[have[usual] >= 10]
-    usual = usual[have[usual] < n]
+    have, toxic = counted(docs, labels)
+    out = alone(have, toxic, n, positive)
+    usual = usual_ones(have, n)
     place = np.full(BUCKETS, -1, np.int64)
     place[usual] = np.arange(len(usual))
     both, bad = (np.zeros((len(usual), len(usual)), np.float32) for _ in range(2))
@@ -202,14 +218,41 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
             yield {"id": batch.column("id"), "y": batch.column("y"), "terms": [np.sort(terms.of(t)).tobytes() for t in batch.column("text").to_pylist()]}
 
     given = texts.select("id", F.col("__y").alias("y"), "text")
-    rows = durable(arrow_map(given, hashed, f"id {given.schema['id'].dataType.simpleString()}, y int, terms binary"))
-    order = [F.xxhash64("id"), F.col("id"), F.md5("terms")]
-    sizes = rows.select("id", F.octet_length("terms").alias("n"), F.md5("terms").alias("m")).orderBy(F.xxhash64("id"), "id", "m").limit(sample_rows).collect()
+    rows = arrow_map(given, hashed, f"id {given.schema['id'].dataType.simpleString()}, y int, terms binary")
+    rows = durable(rows.select("y", "terms", F.xxhash64("id").alias("h"), F.md5("terms").alias("m")))
+    sizes = rows.select("h", "m", F.octet_length("terms").alias("n")).orderBy("h", "m").limit(sample_rows).collect()
     most = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), SAMPLE_BYTES, side="right"))
-    rows = rows.orderBy(*order).limit(min(most, len(sizes))).collect() if most else []
-    if not rows:
-        return Machine(0.0, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
-    return fit([np.frombuffer(r["terms"], dtype=np.int32) for r in rows], np.array([r["y"] for r in rows], dtype=np.float32))
+    empty = Machine(0.0, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
+    if not most:
+        return empty
+    last = sizes[min(most, len(sizes)) - 1]
+    chosen = rows.where((F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("m") <= last["m"])))
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        have, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for batch in batches:
+            for part, total in zip(counted([np.frombuffer(t, np.int32) for t in batch.column("terms").to_pylist()], np.array(batch.column("y").to_pylist())), (have, toxic)):
+                total += part
+        found = np.flatnonzero(have)
+        yield {"bucket": found.astype(np.int32), "have": have[found].astype(np.int64), "toxic": toxic[found].astype(np.int64)}
+
+    # One row a bucket. Only what can take part goes on to the driver: most terms tell nothing and are rare.
+    sums = arrow_map(chosen.select("y", "terms"), totals, "bucket int, have long, toxic long").groupBy("bucket").agg(F.sum("have").alias("have"), F.sum("toxic").alias("toxic")).toArrow()
+    have, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for name, total in (("have", have), ("toxic", toxic)):
+        total[sums.column("bucket").to_numpy()] = sums.column(name).to_numpy()
+    n, positive = chosen.agg(F.count("*"), F.sum("y")).first()
+    wanted = alone(have, toxic, n, positive)
+    wanted[usual_ones(have, n)] = True
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            terms = (np.frombuffer(t, np.int32) for t in batch.column("terms").to_pylist())
+            yield {"y": batch.column("y"), "terms": [t[wanted[t]].tobytes() for t in terms], "h": batch.column("h"), "m": batch.column("m")}
+
+    found = arrow_map(chosen, thinned, "y int, terms binary, h long, m string").orderBy("h", "m").select("y", "terms").toArrow()
+    docs = [np.frombuffer(t, dtype=np.int32) for t in found.column("terms").to_pylist()]
+    return fit(docs, found.column("y").to_numpy().astype(np.float32))
 
 
 def score(docs: DataFrame, model: Machine, text: str = "text", keep: tuple[str, ...] = ("doc_id",), below: float | None = None) -> DataFrame:
