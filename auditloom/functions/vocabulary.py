@@ -15,9 +15,6 @@ RELATIONS_CDM = (
     "EVENT_SENDMSG", "EVENT_SENDTO", "EVENT_WRITE", "EVENT_CLONE",
 )
 
-# Node types in the order of their ids from 1.
-NODE_TYPES = ("subject", "file", "netflow")
-
 # Operations between types of nodes.
 ALLOWED_CDM = {
     ("subject", "subject"): ("EVENT_READ", "EVENT_WRITE", "EVENT_OPEN", "EVENT_CONNECT", "EVENT_RECVFROM", "EVENT_SENDTO", "EVENT_CLONE", "EVENT_SENDMSG", "EVENT_RECVMSG"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditloom.functions import scalars as S
+from auditloom.functions.vocabulary import ALLOWED_CDM, RELATIONS_CDM
 from auditloom.operators import attacks, features, graph as G, incidents as I, metrics as M, provenance as P, triage as T, windows
 from auditloom.plans.core import edges, nodes, truth
 from auditloom.plans.graphs import incident_rows
@@ -93,6 +94,16 @@ def cdm20_events(spark, d):
     return cdm.cdm_events(log, table, 20)
 
 
+@query("cdm_allowed", "event_uuid:s op:s relation:l", f"WITH {{E}} SELECT 'E' || event_id AS event_uuid, {_KIND} AS op, list_position({list(RELATIONS_CDM)}, {_KIND}) AS relation FROM ev WHERE op <> 'error'")
+def cdm_allowed(spark, d):
+    """P1, P16 by the fixed vocabulary: operations that are kept, between types that allow them, with their ids."""
+    *_, table, log = _cdm(spark, d, 18)
+    kind = lambda end: table.select(F.col("index_id").alias(end), F.col("node_type").alias(f"{end}_type"))
+    e = cdm.cdm_events(log, table).join(kind("src"), "src").join(kind("dst"), "dst")
+    kept = P.typed(P.allowed(e, RELATIONS_CDM), ALLOWED_CDM)
+    return kept.withColumn("relation", F.array_position(F.array(*map(F.lit, RELATIONS_CDM)), F.col("op")))
+
+
 def host_actions(spark, d):
     """Actions of one host: even events are of it; reads on files and inbound flows come back to the actor."""
     e = P.events(spark, d)
