@@ -26,8 +26,12 @@ from pyspark.sql import functions as F
 from auditloom.llm.common import arrow_map, slices, text_or_empty
 
 #: Entries and characters of a worker's memory of pre-tokens; it is emptied when either is reached, and after each task.
-CACHE = 60_000
+CACHE = 100_000
 CACHE_CHARS = 4 << 20
+#: Pre-tokens from which sentencepiece is called for all of them at once; for fewer the call costs more than it saves.
+MANY = 1000
+#: Characters of texts that are encoded together.
+GROUP_CHARS = 1 << 20
 
 
 def _byte_map() -> list[str]:
@@ -101,7 +105,17 @@ class Codec:
         self.held = 0
 
     def _encode(self, tokens: list[str]) -> list[list[int]]:
-        return self.pieces.encode([t.encode().decode("latin-1").translate(_TABLE) for t in tokens], num_threads=1)
+        mapped = [t.encode().decode("latin-1").translate(_TABLE) for t in tokens]
+        return self.pieces.encode(mapped, num_threads=1) if len(mapped) >= MANY else list(map(self.pieces.encode, mapped))
+
+    def split(self, texts: list[str]) -> Iterator[list[list[str]]]:
+        """The pre-tokens of texts, of about GROUP_CHARS characters or one text at a time."""
+        size, start = 0, 0
+        for k, text in enumerate(texts):
+            size += len(text)
+            if size >= GROUP_CHARS or k + 1 == len(texts):
+                yield list(map(self.pattern.findall, texts[start : k + 1]))
+                size, start = 0, k + 1
 
     def _learn(self, tokens: set[str]) -> None:
         new = list(tokens)
@@ -111,8 +125,7 @@ class Codec:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """Of each text the ids, and the same in decimal joined by commas."""
-        for at in range(0, len(texts), 32):
-            split = list(map(self.pattern.findall, texts[at : at + 32]))
+        for split in self.split(texts):
             if len(self.known) >= CACHE or self.held >= CACHE_CHARS:
                 self.forget()
             self._learn(set(chain.from_iterable(split)).difference(self.known))
@@ -122,13 +135,17 @@ class Codec:
 
     def counts(self, tokens: list[str]) -> Iterator[int]:
         """How many ids each pre-token has."""
-        if len(self.sizes) >= CACHE or self.held >= CACHE_CHARS:
+        self.measure(set(tokens))
+        return map(self.sizes.__getitem__, tokens)
+
+    def measure(self, tokens: set[str]) -> None:
+        """Remembers how many ids the pre-tokens have; others may be forgotten."""
+        if len(self.sizes) >= 2 * CACHE or self.held >= 2 * CACHE_CHARS:
             self.forget()
-        new = list(set(tokens).difference(self.sizes))
+        new = list(tokens.difference(self.sizes))
         if new:
             self.held += sum(map(len, new))
             self.sizes.update(zip(new, map(len, self._encode(new))))
-        return map(self.sizes.__getitem__, tokens)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

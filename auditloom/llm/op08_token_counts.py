@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,15 @@ class CountTree:
         self.encoded = 0
 
     @classmethod
-    def build(cls, text: str, coder: Codec) -> CountTree:
-        tree = cls(text, np.zeros(2, np.int32), np.zeros(2, np.int32))
-        tree._grow(*tree._blocks(coder.pattern.findall(text), coder))
-        return tree
+    def build(cls, texts: list[str], coder: Codec) -> Iterator[CountTree]:
+        """The trees of texts, whose new pre-tokens are encoded together."""
+        at = iter(texts)
+        for split in coder.split(texts):
+            coder.measure(set(chain.from_iterable(split)))
+            for pieces in split:
+                tree = cls(next(at), np.zeros(2, np.int32), np.zeros(2, np.int32))
+                tree._grow(*tree._blocks(pieces, coder))
+                yield tree
 
     def _blocks(self, pieces: list[str], coder: Codec) -> tuple[np.ndarray, np.ndarray]:
         """Characters and tokens of blocks of fresh pre-tokens."""
@@ -141,8 +147,8 @@ def build_trees(docs: DataFrame, ranks: str, pattern: str, text: str = "text", k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         coder = codec(model, pattern)
         try:
-            for batch in slices(batches, 128):
-                trees = [CountTree.build(t, coder) for t in batch.column("text").to_pylist()]
+            for batch in slices(batches):
+                trees = list(CountTree.build(batch.column("text").to_pylist(), coder))
                 yield {"id": batch.column("id"), "text": batch.column("text"), "n_tokens": [t.count for t in trees], "n_pre_tokens": [t.encoded for t in trees], "chars": _lists([t.chars for t in trees]), "tokens": _lists([t.tokens for t in trees])}
         finally:
             coder.forget()

@@ -369,7 +369,7 @@ def test_edited_counts(spark):
     some = lambda n: "".join(rng.choice("ab  \n\té1!'svre") for _ in range(rng.randint(0, n)))
     for _ in range(60):
         text = some(rng.choice([0, 10, 300, 3000]))
-        tree = op08_token_counts.CountTree.build(text, coder)
+        (tree,) = op08_token_counts.CountTree.build([text], coder)
         for _ in range(12):
             at, gone, new = rng.randint(0, len(text)), rng.choice([0, 0, 1, 3, 50, 500]), some(rng.choice([0, 2, 10, 400, 6000]))
             tree.edit(at, gone, new, coder)
