@@ -314,7 +314,8 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
     facts = classes.select("c", *same, F.col("rep.id").alias("rep"), "copies").join(found.withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     facts = durable(facts)
     least = facts.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n_in"))
-    facts = join_group_facts(facts, least, ["component"], "n_in").select(*same, "copies", "component_id")
+    facts = durable(join_group_facts(facts, least, ["component"], "n_in").select(*same, "copies", "component_id"))
+    release(docs.sparkSession)
     linked = join_group_facts(rows.where("n > 0"), facts, same, "copies").select("id", "n", "component_id")
     alone = rows.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
