@@ -151,16 +151,9 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(model: Broadcast, pattern: str) -> Codec:
-    """The worker's codec of a model that the driver has sent to the executors; one is kept, without its memory."""
-    key = (hashlib.sha256(model.value).hexdigest(), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(model.value, pattern)
-    return _codecs[key]
+    """A codec of a model that the driver has sent to the executors: made for each task, so that none stays in a reused worker."""
+    return Codec(model.value, pattern)
 
 
 def distribute(spark, ranks: str) -> Broadcast:
