@@ -49,7 +49,7 @@ def mimicry(edges: DataFrame, processes: DataFrame, files: DataFrame, truth: Dat
     bad = truth.select("node").distinct()
     own = edges.join(bad.withColumnRenamed("node", "src"), "src", "left_semi").join(bad.withColumnRenamed("node", "dst"), "dst", "left_semi")
     roots = windows.roots(own).select("node").withColumn("t", F.lit(-(1 << 62)).cast("long"))
-    reached = graph.temporal_reach(edges, roots, 1000).select("node").distinct().join(processes.select("node"), "node", "left_semi")
+    reached = graph.temporal_reachable(edges, roots, 1000).select("node").join(processes.select("node"), "node", "left_semi")
     acts = edges.select(F.col("src").alias("node"), "t").unionByName(edges.select(F.col("dst").alias("node"), "t")).join(reached, "node", "left_semi").select("node", "t")
     moments = ranks.kept(acts.withColumn("moment", F.row_number().over(Window.partitionBy("node").orderBy("t")).cast("long") - 1))
     counts = moments.groupBy("node").agg(F.count("*").alias("times"))
