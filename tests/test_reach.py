@@ -118,3 +118,16 @@ def test_points_share_the_way_to_an_end(spark, monkeypatch):
     monkeypatch.setattr(T.graph, "_kept", lambda df: (most.append((kept := keep(df)).count()), kept)[1])
     ends = spark.createDataFrame([(i, 2000) for i in range(300)], "poi long, end long")
     assert T.shortest(frame(spark, links), ends, True).where("node = 1299").count() == 300 and max(most) <= 300 * 10 + 900 + 1
+
+
+def test_budget_is_that_of_a_search(spark):
+    """As in the reference: 20 searches of 5 states keep to a budget of 10, one of 30 doesn't."""
+    rows = [(p * 10 + i, p * 10 + i, p * 10 + i + 1, i, 1.0) for p in range(20) for i in range(4)]
+    e = spark.createDataFrame(rows, "event_id long, src long, dst long, t long, cost double")
+    pairs = spark.createDataFrame([(p, p * 10, p * 10 + 4, 0, 9) for p in range(20)], "pair long, start long, target long, lo long, hi long")
+    got = {r.pair: (r.cost, r.path) for r in G.temporal_paths(e, pairs, 5, budget=10).collect()}
+    assert got == {p: (4.0, [p * 10 + i for i in range(4)]) for p in range(20)}
+    star = spark.createDataFrame([(i, 0, i, i, 1.0) for i in range(1, 31)], e.schema)
+    with pytest.raises(RuntimeError, match="budget"):
+        G.temporal_paths(star, spark.createDataFrame([(0, 0, 7, 0, 99)], pairs.schema), 2, budget=10).collect()
+
