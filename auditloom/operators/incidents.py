@@ -81,7 +81,11 @@ def seed_pairs(seeds: DataFrame, config: IncidentConfig) -> DataFrame:
 
 def shared_ends(pairs: DataFrame) -> DataFrame:
     """Pairs of which the seeds share a node."""
-    return pairs.where("src = src_r or src = dst_r or dst = src_r or dst = dst_r")
+    return pairs.where(_shared())
+
+
+def _shared() -> Column:
+    return F.expr("src = src_r or src = dst_r or dst = src_r or dst = dst_r")
 
 
 def ancestor_links(edges: DataFrame, pairs: DataFrame, config: IncidentConfig) -> DataFrame:
@@ -123,24 +127,55 @@ def ancestor_links(edges: DataFrame, pairs: DataFrame, config: IncidentConfig) -
     return both.withColumn("rn", F.row_number().over(top)).where("rn = 1").drop("rn")
 
 
+def neighbours(seeds: DataFrame, config: IncidentConfig) -> DataFrame:
+    """(a, b) of seeds that share a node in a window, each with the next at most max_gap later: all that lie as close are joined by these."""
+    ends = seeds.select("event_id", "w", "t", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"))
+    next_ = Window.partitionBy("w", "node").orderBy("t", "event_id")
+    then = ends.select(F.col("event_id").alias("a"), F.lead("event_id").over(next_).alias("b"), (F.lead("t").over(next_) - F.col("t")).alias("gap"))
+    return then.where(F.col("gap") <= config.max_gap).select("a", "b").distinct()
+
+
+def seed_paths(edges: DataFrame, seeds: DataFrame, config: IncidentConfig) -> DataFrame:
+    """(a, b, cost, path): the cheapest path in time between seeds of a window that lie at most max_gap apart and share no node.
+
+    Each seed is searched from once; what it finds is joined with the seeds that begin there, so that no row is made
+    for a pair without a path. Of seeds at the same time each may come first.
+    """
+    groups = {f"__g{i}": metadata(seeds.columns, g) for i, g in enumerate(config.group_by)}
+    rows = graph._kept(seeds.select("event_id", "w", "src", "dst", "t", *(c.alias(n) for n, c in groups.items())))
+    latest = rows.groupBy("w").agg(F.max("t").alias("__latest"))
+    sources = rows.join(latest, "w").groupBy(F.col("dst").alias("start"), F.col("t").alias("lo")).agg(F.max(F.least(F.col("t") + config.max_gap, "__latest")).alias("hi"))
+    found, _ = graph.searched(graph.path_links(edges), sources, config.max_hops, config.max_search_states, rows.select(F.col("src").alias("node")))
+    first = rows.withColumns({"start": F.col("dst"), "lo": F.col("t")})
+    second = rows.withColumnsRenamed({c: f"{c}_r" for c in rows.columns})
+    both = found.select("start", "lo", "node", "at", "cost", "path").join(first, ["start", "lo"]).join(second, (F.col("node") == F.col("src_r")) & (F.col("w") == F.col("w_r")))
+    both = both.where((F.col("at") <= F.col("t_r")) & (F.col("t_r") - F.col("t") <= config.max_gap) & (F.col("event_id") != F.col("event_id_r")) & ~_shared())
+    for g in groups:  # a conflict only if both are known
+        both = both.where(F.col(g).isNull() | F.col(f"{g}_r").isNull() | (F.col(g) == F.col(f"{g}_r")))
+    ordered = (F.col("t") < F.col("t_r")) | (F.col("event_id") < F.col("event_id_r"))
+    named = both.select(F.when(ordered, F.col("event_id")).otherwise(F.col("event_id_r")).alias("a"), F.when(ordered, F.col("event_id_r")).otherwise(F.col("event_id")).alias("b"), "cost", "path")
+    return _cheapest(named)
+
+
+def _cheapest(links: DataFrame) -> DataFrame:
+    """Of each (a, b) the cheapest, of equal ones that of fewest events, then of least ids."""
+    return links.groupBy("a", "b").agg(F.min(F.struct("cost", F.size("path").alias("n"), "path")).alias("m")).select("a", "b", "m.cost", "m.path")
+
+
 def affinity(edges: DataFrame, seeds: DataFrame, config: IncidentConfig) -> DataFrame:
     """(a, b, cost, path) of pairs of seeds that belong together: by a shared node, a path in time, or a common ancestor; the cheapest counts.
 
-    edges need `cost`. Path lists the connecting events.
+    edges need `cost`. Path lists the connecting events. Of seeds that share a node only neighbours in time are linked,
+    at no cost, which joins them all; only groups, which such links could cross, and ancestry, which is asked of each
+    pair, need all pairs, and these are bounded by max_seed_pairs.
     """
-    pairs = graph._kept(seed_pairs(seeds, config))
-    direct = shared_ends(pairs).select(F.col("event_id").alias("a"), F.col("event_id_r").alias("b"), F.lit(0.0).alias("cost"), F.array().cast("array<long>").alias("path"))
-    known = direct.select("a", "b")
-    open_ = graph._kept(pairs.join(known, (pairs["event_id"] == known["a"]) & (pairs["event_id_r"] == known["b"]), "left_anti"))
-    ahead = open_.select(F.struct(F.col("event_id").alias("a"), F.col("event_id_r").alias("b")).alias("pair"), F.col("dst").alias("start"), F.col("src_r").alias("target"), F.col("t").alias("lo"), F.col("t_r").alias("hi"))
-    # Of seeds at the same time each may come first.
-    again = open_.where("t = t_r").select(F.struct(F.col("event_id").alias("a"), F.col("event_id_r").alias("b")).alias("pair"), F.col("dst_r").alias("start"), F.col("src").alias("target"), F.col("t").alias("lo"), F.col("t_r").alias("hi"))
-    found = [graph.temporal_paths(edges, p, config.max_hops, config.max_search_states).select("pair.a", "pair.b", "cost", "path") for p in (ahead, again)]
-    every = direct.unionByName(found[0]).unionByName(found[1])
+    none = (F.lit(0.0).alias("cost"), F.array().cast("array<long>").alias("path"))
+    pairs = graph._kept(seed_pairs(seeds, config)) if config.group_by or config.ancestry_ops else None
+    direct = shared_ends(pairs).select(F.col("event_id").alias("a"), F.col("event_id_r").alias("b")) if config.group_by else neighbours(seeds, config)
+    every = direct.select("a", "b", *none).unionByName(seed_paths(edges, seeds, config))
     if config.ancestry_ops:
-        every = every.unionByName(ancestor_links(edges, open_, config))
-    best = Window.partitionBy("a", "b").orderBy("cost", F.size("path"), "path")
-    return every.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn")
+        every = every.unionByName(ancestor_links(edges, graph._kept(pairs.where(~_shared())), config))
+    return _cheapest(every)
 
 
 def context(edges: DataFrame, core: DataFrame, seeds: DataFrame, config: IncidentConfig) -> DataFrame:
@@ -179,7 +214,7 @@ def build_incidents(edges: DataFrame, threshold: float, config: IncidentConfig =
     links = graph._kept(affinity(costed, seeds, config))
     found = graph.components(links)
     named = seeds.select(F.col("event_id").alias("node")).join(found, "node", "left").select(F.coalesce("component", "node").alias("incident"), F.col("node").alias("event_id"))
-    weighed = links.join(found, links["a"] == found["node"]).select("component", "a", "b", F.col("cost").alias("weight"))
+    weighed = links.join(found, links["a"] == found["node"]).select("component", "a", "b", F.when(F.size("path") == 0, -1.0).otherwise(F.col("cost")).alias("weight"))  # what shares a node comes first
     trees = graph.spanning_trees(weighed).select(F.col("component").alias("incident"), "a", "b")
     connectors = trees.join(links, ["a", "b"]).select("incident", F.explode("path").alias("event_id")).distinct()
     crossing = connectors.join(named.withColumnRenamed("incident", "other"), "event_id").where("incident <> other")

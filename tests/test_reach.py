@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.operators import graph as G, strong, triage as T
+from auditloom.operators import graph as G, incidents as I, strong, triage as T
 
 
 def graphs():
@@ -131,3 +131,41 @@ def test_budget_is_that_of_a_search(spark):
     with pytest.raises(RuntimeError, match="budget"):
         G.temporal_paths(star, spark.createDataFrame([(0, 0, 7, 0, 99)], pairs.schema), 2, budget=10).collect()
 
+
+def test_seeds_are_searched_from_once(spark):
+    """The links of seeds are those of a search for each pair, and seeds that share nodes are joined by neighbours alone."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = [(i, rng.randrange(2), rng.randrange(14), rng.randrange(14), rng.randrange(40), float(rng.randrange(1, 5))) for i in range(90)]
+        e = spark.createDataFrame(rows, "event_id long, w long, src long, dst long, t long, cost double")
+        marked = [r for r in rows if r[0] % 5 == 0]
+        config = I.IncidentConfig(max_gap=9, max_hops=2, max_seed_pairs=1)
+        asked, shared = [], set()
+        for a in marked:
+            for b in marked:
+                if a[1] == b[1] and a[0] != b[0] and 0 <= b[4] - a[4] <= 9:
+                    one, two = sorted((a, b), key=lambda r: (r[4], r[0]))
+                    if {a[2], a[3]} & {b[2], b[3]}:
+                        shared.add((one[0], two[0]))
+                    else:
+                        asked.append((one[0] * 1000 + two[0], a[0], a[3], b[2], a[4], b[4]))
+        p = spark.createDataFrame([((x[0], x[1]), *x[2:]) for x in asked], "pair struct<name:long, way:long>, start long, target long, lo long, hi long")
+        want = {}
+        for r in G.temporal_paths(e, p, 2).collect():
+            key, value = divmod(r.pair.name, 1000), (r.cost, len(r.path), r.path)
+            want[key] = min(want.get(key, value), value)
+        seeds = e.where("event_id % 5 = 0")
+        got = {(r.a, r.b): (r.cost, len(r.path), r.path) for r in I.seed_paths(e, seeds, config).collect()}
+        assert got == want and want
+        near = {tuple(r) for r in I.neighbours(seeds, config).collect()}
+        assert near <= shared
+        far = lambda links: {n: reach([*links, *((b, a) for a, b in links)], n) for n, *_ in marked}
+        assert far(list(near)) == far(list(shared))
+
+
+def test_incidents_of_more_pairs_than_the_budget(spark):
+    """Pairs that are never made need no budget: 40 seeds of one node, and one that a path leads to."""
+    rows = [(i, 0, 1, 100 + i, i, "a", 10.0) for i in range(40)] + [(50, 0, 139, 300, 41, "a", 0.1), (51, 0, 300, 301, 42, "a", 10.0), (60, 0, 900, 901, 42, "a", 10.0)]
+    e = spark.createDataFrame(rows, "event_id long, w long, src long, dst long, t long, op string, loss double")
+    got = {tuple(r) for r in I.build_incidents(e, 5.0, I.IncidentConfig(max_gap=60, max_hops=2, max_seed_pairs=1, context_hops=0)).collect()}
+    assert got == {(0, i, "seed") for i in (*range(40), 51)} | {(0, 50, "connector"), (60, 60, "seed")}
