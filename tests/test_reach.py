@@ -127,6 +127,8 @@ def test_budget_is_that_of_a_search(spark):
     pairs = spark.createDataFrame([(p, p * 10, p * 10 + 4, 0, 9) for p in range(20)], "pair long, start long, target long, lo long, hi long")
     got = {r.pair: (r.cost, r.path) for r in G.temporal_paths(e, pairs, 5, budget=10).collect()}
     assert got == {p: (4.0, [p * 10 + i for i in range(4)]) for p in range(20)}
+    turns = G.temporal_paths(e, pairs, 5, budget=10, slice_=7).collect()  # each start has an edge: three turns
+    assert {r.pair: (r.cost, r.path) for r in turns} == got and len(turns) == 20
     star = spark.createDataFrame([(i, 0, i, i, 1.0) for i in range(1, 31)], e.schema)
     with pytest.raises(RuntimeError, match="budget"):
         G.temporal_paths(star, spark.createDataFrame([(0, 0, 7, 0, 99)], pairs.schema), 2, budget=10).collect()
